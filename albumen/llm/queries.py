@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, ngram_join, substring_dedup
 from .storage import read_table
 
 
@@ -15,5 +15,17 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digest(read_table(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op7_byte_bpe": op7_byte_bpe}
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_components(read_table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digest(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_substring_dedup": op8_substring_dedup,
+}
 ORACLES: dict[str, str] = {}
