@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, ngram_join, substring_dedup
+from . import bpe, decontaminate, html_extract, langid, ngram_join, substring_dedup
 from .storage import read_table
 
 
@@ -32,11 +32,16 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontaminate": op9_decontaminate,
+    "op10_html_extract": op10_html_extract,
 }
 ORACLES: dict[str, str] = {}
