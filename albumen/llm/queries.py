@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_extract, langid, ngram_join, substring_dedup
+from . import bpe, decontaminate, fingerprint, html_extract, langid, ngram_join, sharding, substring_dedup
 from .storage import read_table
 
 
@@ -36,9 +36,19 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op5_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(read_table(spark, sf_dir, "documents"))
+
+
+def op6_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_label_propagation_shards": op5_label_propagation_shards,
+    "op6_multiset_fingerprint": op6_multiset_fingerprint,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontaminate": op9_decontaminate,
