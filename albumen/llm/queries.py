@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, html_extract, langid, ngram_join, sharding, substring_dedup
+from . import bpe, decontaminate, fingerprint, html_extract, langid, licenses, ngram_join, sharding, substring_dedup, tokenbin
 from .storage import read_table
 
 
+def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenbin.written_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +55,8 @@ def op6_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_binary": op1_token_binary,
+    "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_label_propagation_shards": op5_label_propagation_shards,
