@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] | None = ())
     return put
 
 
-from . import filter_plans, ingest_plans, maintain_plans, stats_plans, vector_plans  # noqa: E402,F401  the modules register themselves
+from . import filter_plans, ingest_plans, maintain_plans, search_plans, stats_plans, vector_plans  # noqa: E402,F401  the modules register themselves
