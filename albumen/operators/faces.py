@@ -95,14 +95,14 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFram
         near = edges.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("l"))
         step = labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("l", "label")).alias("label"))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        after = _cut(step.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")))
+        after = cut(step.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")))
         labels = after.select("node", "label")
         if not after.filter("was <> label").limit(1).count():
             return labels
     raise RuntimeError("no fixed point")
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the session's checkpoint folder; one is set only where there is none, as in tests."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -121,13 +121,13 @@ def cluster_faces(faces: DataFrame, eps: float = 0.87, min_pts: int = 2, absorb:
     """
     vec = faces.filter("embedding is not null").select("face_id", "embedding")
     least = 1 - eps * eps / 2  # of unit vectors: distance eps
-    pairs = _cut(similarity_pairs(vec, vec.select(F.col("face_id").alias("ref_id"), "embedding"), least).filter("face_id <> ref_id").select(F.col("face_id").alias("a"), F.col("ref_id").alias("b")))
+    pairs = cut(similarity_pairs(vec, vec.select(F.col("face_id").alias("ref_id"), "embedding"), least).filter("face_id <> ref_id").select(F.col("face_id").alias("a"), F.col("ref_id").alias("b")))
     core = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= min_pts).select(F.col("a").alias("node"))
-    core = _cut(core)
+    core = cut(core)
     inner = pairs.join(core.withColumnRenamed("node", "a"), "a", "left_semi").join(core.withColumnRenamed("node", "b"), "b", "left_semi")
     labels = components(inner, core).select(F.col("node").alias("face_id"), "label")
     border = pairs.join(labels.select(F.col("face_id").alias("b"), "label"), "b").join(labels.select(F.col("face_id").alias("a")), "a", "left_anti").groupBy(F.col("a").alias("face_id")).agg(F.min("label").alias("label"))
-    placed = _cut(labels.unionByName(border))
+    placed = cut(labels.unionByName(border))
     members = vec.join(placed, "face_id")
     centres = _centres(members)
     noise = vec.join(placed, "face_id", "left_anti")
@@ -152,7 +152,7 @@ def assign_to_clusters(faces: DataFrame, clusters: DataFrame, absorb: float = 1.
     """(face_id, cluster_id): faces join the nearest centroid of clusters(cluster_id, embedding) within `absorb`; the rest are clustered among themselves."""
     vec = faces.filter("embedding is not null").select("face_id", "embedding")
     near = similarity_pairs(vec, clusters.select(F.col("cluster_id").alias("ref_id"), "embedding"), 1 - absorb * absorb / 2)
-    got = _cut(near.groupBy("face_id").agg(F.max_by("ref_id", F.struct("sim", -F.col("ref_id"))).alias("cluster_id")))
+    got = cut(near.groupBy("face_id").agg(F.max_by("ref_id", F.struct("sim", -F.col("ref_id"))).alias("cluster_id")))
     rest = cluster_faces(vec.join(got, "face_id", "left_anti"), absorb=absorb, **options)
     return got.unionByName(rest.select("face_id", F.col("cluster_id").cast(got.schema["cluster_id"].dataType).alias("cluster_id")))
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .faces import _cut, components
+from .faces import components, cut
 from .stats import taken, visible
 
 RADIUS_KM = 6371.0
@@ -57,7 +57,7 @@ def gps_clusters(photos: DataFrame, radius: float = 1.5, least: int = 3) -> Data
     edge = F.least(F.lit(89.0), F.greatest(F.abs(F.floor(band / 8) * 8 * side), F.abs((F.floor(band / 8) * 8 + 8) * side)))
     p = p.withColumn("cy", band).withColumn("wide", F.lit(side) / F.cos(F.radians(edge))).withColumn("cx", F.floor(F.col("lon") / F.col("wide")))
     cell = lambda y, x: F.xxhash64(y, x)
-    p = _cut(p.withColumn("cell", cell(F.col("cy"), F.col("cx"))).withColumn("zone", F.floor(F.col("cy") / 8)))
+    p = cut(p.withColumn("cell", cell(F.col("cy"), F.col("cx"))).withColumn("zone", F.floor(F.col("cy") / 8)))
     cells = p.groupBy("cell", "cy", "cx", "zone", "wide").agg(F.count(F.lit(1)).alias("n"))
     step = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
     around = cells.select("cell", "zone", step.alias("s"), "cy", "cx").select(F.col("cell").alias("a"), "zone", (F.col("cy") + F.col("s.dy")).alias("cy"), (F.col("cx") + F.col("s.dx")).alias("cx"))
@@ -79,7 +79,7 @@ def gps_clusters(photos: DataFrame, radius: float = 1.5, least: int = 3) -> Data
         return d[["photo_id", "cluster_id"]]
 
     found = p.join(sets, "cell").select("set", "photo_id", "lat", "lon").groupBy("set").applyInPandas(run, "photo_id long, cluster_id long")
-    big = _cut(found)
+    big = cut(found)
     keep = big.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("cluster_id")
     return big.join(keep, "cluster_id", "left_semi")
 

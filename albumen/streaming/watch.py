@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.faces import cut
 from ..operators.filters import prefix_match, touch_watch_folders
 from ..operators.ingest import ingest_new_files
 from ..sources.media import SCHEMA, classify_media, content_hash, only_media
@@ -32,13 +33,11 @@ def watch_ingest(files: DataFrame, library_path: str, checkpoint: str, available
     def put(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         library = spark.read.schema(batch.schema).option("ignoreMissingFiles", True).parquet(library_path)
-        new = ingest_new_files(batch, library, dedupe_within_batch=True).filter("not path_conflict").select(*batch.columns).persist()
-        try:
-            new.write.mode("append").parquet(library_path)
-            if after is not None:
-                after(new, batch_id)
-        finally:
-            new.unpersist()
+        # cut off from the library, which is about to change
+        new = cut(ingest_new_files(batch, library, dedupe_within_batch=True).filter("not path_conflict").select(*batch.columns))
+        new.write.mode("append").parquet(library_path)
+        if after is not None:
+            after(new, batch_id)
 
     spark = files.sparkSession
     empty = spark.createDataFrame([], files.schema)
