@@ -1,8 +1,9 @@
 """Balanced label propagation: documents with equal texts move to one shard under row quotas. DataFrame functions only.
 
 Linked documents hang on their text's hash. In each round a text's documents look at where the others are and move to
-the best-liked shard that still has room; moves are settled on (text, shard) counts, not on rows, so a text with a third
-of all rows is a few cells. At the end the rows, in order of label and text, are cut into shards of equal counts.
+the best-liked shard that still has room; a text that fills several shards gets several. Moves are settled on (text, shard) counts, not on rows, so a text with a third
+of all rows is a few cells. At the end the rows, linked ones first in order of label and text, are cut into
+shards of equal counts; documents that nothing is linked with fill up what is left.
 """
 
 from __future__ import annotations
@@ -31,14 +32,16 @@ def _propagate(rows: DataFrame, shards: int, rounds: int) -> DataFrame:
     linked = cells.join(cells.groupBy("k", "l").agg(F.sum("n").alias("of")).filter("of > 1"), ["k", "l"])
     alone = store(cells.join(linked.select("k", "l").distinct(), ["k", "l"], "left_anti").select("k", "l", "label", "n"), "alone")
     cells = store(linked.select("k", "l", "label", "n"), "linked")
-    fixed = alone.groupBy("label").agg(F.sum("n").alias("n"))
     for turn in range(rounds):
         every = rows.sparkSession.range(shards).select(F.col("id").cast("int").alias("label"))
-        load = every.join(fixed.unionByName(cells.groupBy("label").agg(F.sum("n").alias("n"))).groupBy("label").agg(F.sum("n").alias("load")), "label", "left").select("label", F.coalesce("load", F.lit(0)).alias("load"))
-        # a text's aim: the label of most of its documents, among equals the emptiest
+        load = every.join(cells.groupBy("label").agg(F.sum("n").alias("load")), "label", "left").select("label", F.coalesce("load", F.lit(0)).alias("load"))
+        # a text's homes: the labels of most of its documents, among equals the emptiest; one, or as many as it fills
         liked = cells.join(F.broadcast(load), "label")
-        aim = liked.groupBy("k", "l").agg(F.max_by("label", F.struct("n", -F.col("load"), F.xxhash64("k", F.lit(turn), "label"))).alias("aim"))
-        moves = cells.join(aim, ["k", "l"]).withColumn("asks", F.when(F.col("label") != F.col("aim"), F.col("n")).otherwise(0))
+        order = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "load", F.xxhash64("k", F.lit(turn), "label").alias("h"), "label")))  # `shards` entries at most
+        homes = liked.groupBy("k", "l").agg(F.transform(F.slice(order, F.lit(1), F.ceil(F.sum("n") / room_of).cast("int")), lambda x: x["label"]).alias("homes"))
+        moves = cells.join(homes, ["k", "l"]).withColumn("at_home", F.array_contains("homes", F.col("label")))
+        away = F.get("homes", F.pmod(F.xxhash64("label", F.lit(turn), "k"), F.size("homes")).cast("int"))
+        moves = moves.withColumn("aim", F.when(F.col("at_home"), F.col("label")).otherwise(away)).withColumn("asks", F.when(F.col("at_home"), 0).otherwise(F.col("n"))).drop("homes", "at_home")
         asked = moves.groupBy("aim").agg(F.sum("asks").alias("asked"))
         left = moves.groupBy("label").agg(F.sum("asks").alias("left"))
         # each shard lets in the same share of what every text asks for, up to its room
@@ -66,7 +69,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     # the place of a document within its text, as a share of the hash range: no numbering of a large text in one task
     place = F.pmod(F.xxhash64("doc_id", "l"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("of")
     label = F.coalesce(F.element_at(F.filter("runs", lambda r: r["upto"] > place), 1)["label"], F.element_at("runs", -1)["label"])
-    labelled = spread.select("doc_id", "size", "text_crc32", "k", label.alias("label"))
+    labelled = spread.select("doc_id", "size", "text_crc32", "k", F.when(F.col("of") > 1, label).otherwise(shards).alias("label"))
     n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = labelled.repartitionByRange(n, "label", "k", "doc_id").sortWithinPartitions("label", "k", "doc_id")
     ordered = store(ordered.select("doc_id", "size", "text_crc32", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")), "ordered")
