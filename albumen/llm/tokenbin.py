@@ -34,61 +34,84 @@ ID_BITS = 16
 _CLASSES = ID_BITS + 1
 _HIT1, _HIT2 = _CLASSES, _CLASSES + 1
 _SYMBOLS = _CLASSES + 2
-_SLOTS = 1 << 11
+_SLOTS = 1 << 10
 _LIMIT = 1 << 13
 _TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
 _U = np.uint64
 
 
 class _Model:
-    """The lanes' predictions and statistics; coder and decoder run the same steps."""
+    """The lanes' predictions and statistics; coder and decoder run the same steps. Tables are flat, a lane after another; symbol counts stand symbol by symbol."""
 
     def __init__(self, lanes: int):
-        self.rows = np.arange(lanes)
-        self.one = np.zeros((lanes, _SLOTS), np.int32)  # confidence << ID_BITS | id
-        self.two = np.zeros((lanes, _SLOTS), np.int32)
-        self.plain = np.ones((lanes, _SYMBOLS), np.int32)
-        self.mixed = np.zeros((lanes, 16, _SYMBOLS), np.int32)
+        self.one = np.zeros(lanes * _SLOTS, np.int32)  # confidence << ID_BITS | id
+        self.two = np.zeros(lanes * _SLOTS, np.int32)
+        self.plain = np.ones((_SYMBOLS, lanes), np.int32)
+        self.mixed = np.zeros((lanes * 16, _SYMBOLS), np.int32)
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
+        self._lanes(lanes)
+
+    def _lanes(self, n: int) -> None:
+        self.rows = np.arange(n)
+        self.slot0, self.context0 = self.rows * _SLOTS, self.rows * 16
+        self.run = np.empty((_SYMBOLS, n), np.int32)
+        self.counts = np.empty((_SYMBOLS, n), np.int32)
 
     def keep(self, live: int) -> None:
         """The first `live` lanes go on (lanes stand by falling length)."""
-        for name in ("rows", "one", "two", "plain", "mixed", "last", "before"):
-            setattr(self, name, getattr(self, name)[:live])
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """(running counts, their sum) of the symbols."""
-        self.at1 = (self.last * 0x9E3779B1 >> 7) & (_SLOTS - 1)
-        self.at2 = ((self.last * 0x85EBCA6B + self.before * 0xC2B2AE35) >> 9) & (_SLOTS - 1)
-        e1, e2 = self.one[self.rows, self.at1], self.two[self.rows, self.at2]
+        self.plain, self.last, self.before = np.ascontiguousarray(self.plain[:, :live]), self.last[:live], self.before[:live]
+        self._lanes(live)
+
+    def predict(self) -> np.ndarray:
+        """The sum of the symbols' counts; self.run has the running sums."""
+        self.at1 = self.slot0 + ((self.last * 0x9E3779B1 >> 7) & (_SLOTS - 1))
+        self.at2 = self.slot0 + (((self.last * 0x85EBCA6B + self.before * 0xC2B2AE35) >> 9) & (_SLOTS - 1))
+        e1, e2 = self.one.take(self.at1), self.two.take(self.at2)
         self.conf1, self.conf2 = e1 >> ID_BITS, e2 >> ID_BITS
         self.id1, self.id2 = e1 & ((1 << ID_BITS) - 1), e2 & ((1 << ID_BITS) - 1)
-        self.context = self.conf2 * 4 + self.conf1
-        self.counts = self.plain + self.mixed[self.rows, self.context]
-        run = np.cumsum(self.counts, axis=1)
-        return run, run[:, -1].astype(np.uint64)
+        self.context = self.context0 + (self.conf2 * 4 + self.conf1)
+        np.add(self.plain, self.mixed.take(self.context, axis=0).T, out=self.counts)
+        self.run[0] = self.counts[0]
+        for j in range(1, _SYMBOLS):
+            np.add(self.run[j - 1], self.counts[j], out=self.run[j])
+        return self.run[-1].astype(np.uint64)
+
+    def bounds(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(running sum before the symbol, its count)."""
+        at = symbols * len(self.rows) + self.rows
+        freq = self.counts.ravel().take(at)
+        return (self.run.ravel().take(at) - freq).astype(np.uint64), freq.astype(np.uint64)
+
+    def find(self, place: np.ndarray) -> np.ndarray:
+        """The symbol whose interval holds the place."""
+        place, out = place.astype(np.int32), np.zeros(len(self.rows), np.int8)
+        for j in range(_SYMBOLS):
+            out += self.run[j] <= place
+        return out.astype(np.int64)
 
     def symbol(self, ids: np.ndarray) -> np.ndarray:
-        out = _BITS[ids]
-        out = np.where((self.conf1 > 0) & (self.id1 == ids), _HIT1, out)
-        return np.where((self.conf2 > 0) & (self.id2 == ids), _HIT2, out)
+        out = _BITS.take(ids)
+        out[(self.conf1 > 0) & (self.id1 == ids)] = _HIT1
+        out[(self.conf2 > 0) & (self.id2 == ids)] = _HIT2
+        return out
 
     def update(self, ids: np.ndarray, symbols: np.ndarray) -> None:
-        self.plain[self.rows, symbols] += 12
-        self.mixed[self.rows, self.context, symbols] += 40
-        for table in (self.plain, self.mixed):
-            top = table[self.rows, symbols] if table is self.plain else table[self.rows, self.context, symbols]
-            full = np.flatnonzero(top > _LIMIT // 4)
-            if len(full):
-                if table is self.plain:
-                    table[full] = (table[full] + 1) >> 1
-                else:
-                    table[full, self.context[full]] >>= 1
+        plain, at = self.plain.ravel(), symbols * len(self.rows) + self.rows
+        now = plain.take(at) + 12
+        plain[at] = now
+        if len(full := np.flatnonzero(now > _LIMIT // 4)):
+            self.plain[:, full] = (self.plain[:, full] + 1) >> 1
+        mixed, at = self.mixed.ravel(), self.context * _SYMBOLS + symbols
+        now = mixed.take(at) + 40
+        mixed[at] = now
+        if len(full := np.flatnonzero(now > _LIMIT // 4)):
+            self.mixed[self.context[full]] >>= 1
+        ids = ids.astype(np.int32)
         for table, at, conf, guess in ((self.one, self.at1, self.conf1, self.id1), (self.two, self.at2, self.conf2, self.id2)):
-            right = (conf > 0) & (guess == ids)
-            table[self.rows, at] = np.where(right, np.minimum(conf + 1, 3), 1) << ID_BITS | ids
-        self.before, self.last = self.last, ids
+            grown = np.where((guess == ids) & (conf > 0), np.minimum(conf + 1, 3), 1)
+            table[at] = grown << ID_BITS | ids
+        self.before, self.last = self.last, ids.astype(np.int64)
 
 
 _BITS = np.array([int(i).bit_length() for i in range(1 << ID_BITS)], np.int64)
@@ -122,12 +145,11 @@ def encode_blocks(ids: np.ndarray) -> tuple[list[bytes], list[int]]:
         if not live:
             break
         s = grid[:live, t]
-        run, total = model.predict()
+        total = model.predict()
         symbol = model.symbol(s)
-        high = run[model.rows, symbol].astype(np.uint64)
-        freq = model.counts[model.rows, symbol].astype(np.uint64)
+        under, freq = model.bounds(symbol)
         step = span[:live] // total
-        lo = low[:live] + step * (high - freq)
+        lo = low[:live] + step * under
         sp = step * freq
         bits = np.where(symbol < _CLASSES, np.maximum(symbol - 1, 0), 0).astype(np.uint64)
         sp >>= bits
@@ -172,13 +194,11 @@ def decode_blocks(blocks: list[bytes], sums: list[int], n: int) -> np.ndarray:
             model.keep(live)
         if not live:
             break
-        run, total = model.predict()
+        total = model.predict()
         step = span[:live] // total
-        place = np.minimum((code[:live] - low[:live]) // step, total - _U(1)).astype(np.int64)
-        symbol = (run <= place[:, None]).sum(axis=1)
-        high = run[model.rows, symbol].astype(np.uint64)
-        freq = model.counts[model.rows, symbol].astype(np.uint64)
-        lo = low[:live] + step * (high - freq)
+        symbol = model.find(np.minimum((code[:live] - low[:live]) // step, total - _U(1)))
+        under, freq = model.bounds(symbol)
+        lo = low[:live] + step * under
         sp = step * freq
         bits = np.where(symbol < _CLASSES, np.maximum(symbol - 1, 0), 0).astype(np.uint64)
         sp >>= bits
