@@ -308,3 +308,18 @@ def sidecar_xml(sidecars: DataFrame) -> DataFrame:
 
 
 _ = (classify_media, extension)
+
+
+def fix_health(photos: DataFrame, listing: DataFrame, children: dict[str, DataFrame], usage: DataFrame) -> dict[str, DataFrame]:
+    """All tables without the photos that have no file."""
+    from .maintain import delete_photos
+
+    return delete_photos(missing_files(photos, listing), photos, children, usage)
+
+
+def tag_and_export(tags: DataFrame, photos: DataFrame, ids: DataFrame, new_tags: list[str], faces: DataFrame, persons: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tags with the new ones on ids(photo_id), the sidecars of those photos)."""
+    from .maintain import add_manual_tags
+
+    after = add_manual_tags(tags, ids, new_tags)
+    return after, metadata_sidecars(photos.join(ids.select("photo_id").distinct(), "photo_id", "left_semi"), after, faces, persons)

@@ -254,3 +254,8 @@ def drop_overlapping_boxes(new: DataFrame, faces: DataFrame, limit: float = 0.4)
     named = faces.filter("assignment = 'named'").select("photo_id", *[F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")])
     bad = new.join(named, "photo_id").filter(iou() > limit).select("face_id").distinct()
     return new.join(bad, "face_id", "left_anti").select(*new.columns)
+
+
+def representatives(faces: DataFrame, order: str = "face_id") -> DataFrame:
+    """(person_id, face_id): the last face assigned to each person."""
+    return faces.filter("assignment = 'named'").groupBy("person_id").agg(F.max_by("face_id", order).alias("face_id"))

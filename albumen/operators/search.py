@@ -246,12 +246,42 @@ def date_keyword_range(keyword: Column, as_of: Column) -> Column:
     )
 
 
+def row_condition(f: Column) -> Column:
+    """Whether a photo row (with tags) meets a field of a parsed query: struct(field, value); `!` negates. Persons are joined apart."""
+    from .filters import FIELDS
+    from .ranking import extension
+    from .stats import taken
+
+    name, value = F.regexp_replace(f["field"], "^!", ""), F.lower(f["value"])
+    is_kind = lambda kind: name.isin(*[k for k, v in FIELDS.items() if v == kind])
+    day = taken().cast("string")
+    year = lambda at: F.try_to_number(F.regexp_extract(value, r"^(\d{4})(?:-(\d{4}))?$", at), F.lit("9999")).cast("int")
+    sign, number = F.regexp_extract(value, r"^(>=|<=|>|<|=)?", 1), F.regexp_extract(value, r"(-?\d+)$", 1).try_cast("int")
+    rated = F.coalesce("rating", F.lit(0))
+    stars = F.when(sign == ">=", rated >= number).when(sign == "<=", rated <= number).when(sign == ">", rated > number).when(sign == "<", rated < number).otherwise(rated == number)
+    met = (
+        F.when(is_kind("tag"), F.exists("tags", lambda t: F.lower(t).contains(value)))
+        .when(is_kind("folder"), F.lower(F.concat("folder", F.lit("/"), "path")).contains(value))
+        .when(is_kind("year"), F.year(taken()).between(year(1), F.coalesce(year(2), year(1))))
+        .when(is_kind("before"), taken().isNull() | (day < value))
+        .when(is_kind("after"), day >= value)
+        .when(is_kind("rating"), stars)
+        .when(is_kind("fav"), F.col("favorite") == value.isin("", "1", "true", "yes"))
+        .when(is_kind("media"), F.col("media_type") == value)
+        .when(is_kind("ext"), extension() == F.regexp_replace(value, r"^\.", ""))
+    )
+    negated = f["field"].startswith("!")
+    known = name.isin(*[k for k, v in FIELDS.items() if v != "person"])
+    return F.when(is_kind("person"), True).when(~known, ~negated).otherwise(F.when(negated, ~F.coalesce(met, F.lit(False))).otherwise(F.coalesce(met, F.lit(False))))
+
+
 def search(queries: DataFrame, photos: DataFrame, tags: DataFrame, synonyms: DataFrame, persons: DataFrame | None = None, limit: int = 500) -> DataFrame:
     """(query_id, photo_id, score, rank) of queries(query_id, text).
 
-    photos: summaries with tags, tag_count, path, description, favorite, rating, private. Every group of alternatives
-    (with synonyms and word forms) must be met by tags, path or description; a query whose words hit nothing falls back
-    to tags near in spelling. Excluded terms drop photos; results are ordered by relevance.
+    photos: summaries with tags, tag_count, folder, path, description, media_type, favorite, rating, private, created_at,
+    date_taken. Every group of alternatives (with synonyms and word forms) and every start of a word (`sea*`) must be met
+    by tags, path or description; a query whose words hit nothing falls back to tags near in spelling; one of fields only
+    takes all photos. Fields and excluded terms drop photos; results are ordered by relevance.
     """
     parsed = parse_searches(queries)
     groups = parsed.select("query_id", F.posexplode(F.col("must")).alias("group_id", "alts")).select("query_id", "group_id", F.explode("alts").alias("term"))
@@ -264,13 +294,18 @@ def search(queries: DataFrame, photos: DataFrame, tags: DataFrame, synonyms: Dat
     by_tag = search_tags(tags, as_queries)
     by_path = search_path(visible.select("photo_id", "path", "description"), as_queries)
     hits = by_tag.unionByName(by_path).select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.group_id").alias("group_id"), "photo_id").distinct()
-    need = groups.groupBy("query_id").agg(F.countDistinct("group_id").alias("need"))
+    wild = parsed.select("query_id", F.posexplode("wildcards").alias("g", "text")).select("query_id", (F.col("g") + 20_000).alias("group_id"), "text")
+    starts = search_tags(tags, wild.select(F.struct("query_id", "group_id").alias("query_id"), "text"), prefix=True)
+    hits = hits.unionByName(starts.select("query_id.query_id", "query_id.group_id", "photo_id"))
+    need = groups.select("query_id", "group_id").unionByName(wild.select("query_id", "group_id")).groupBy("query_id").agg(F.countDistinct("group_id").alias("need"))
     full = hits.groupBy("query_id", "photo_id").agg(F.countDistinct("group_id").alias("have")).join(need, "query_id").filter("have = need").select("query_id", "photo_id")
     none = groups.join(full.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "term").distinct()
     fuzzy = tags.select("photo_id", F.lower("tag").alias("tag")).join(fuzzy_tags(tags, none).select("query_id", "tag").distinct(), "tag").select("query_id", "photo_id")
-    found = full.unionByName(fuzzy).distinct()
-    rows = visible.join(found, "photo_id").join(parsed.select("query_id", "must", "phrases", "must_not"), "query_id")
-    rows = exclude_terms(rows).withColumn("score", relevance())
+    bare = parsed.filter(F.size("fields") > 0).join(need.select("query_id"), "query_id", "left_anti").select("query_id")
+    of_fields = visible.select("photo_id").crossJoin(F.broadcast(bare)) if bare.limit(1).count() else full.limit(0).select("photo_id", "query_id")
+    found = full.unionByName(fuzzy).unionByName(of_fields.select("query_id", "photo_id")).distinct()
+    rows = visible.join(found, "photo_id").join(parsed.select("query_id", "must", "phrases", "must_not", "fields"), "query_id")
+    rows = exclude_terms(rows.filter(F.forall("fields", row_condition))).withColumn("score", relevance())
     if persons is not None:
         who = persons.select("photo_id", F.lower("name").alias("name"))
         asked = parsed.select("query_id", F.explode("fields").alias("f")).filter("f.field = 'person'").select("query_id", F.lower("f.value").alias("who"))

@@ -229,3 +229,14 @@ def _(lib):
 @query("sidecar_xml")
 def _(lib):
     return I.sidecar_xml(I.metadata_sidecars(lib.photos, lib.tags, lib.faces, lib.persons))
+
+
+@query("fix_health", "SELECT photo_id, tag FROM tags WHERE photo_id IN (SELECT photo_id FROM photos WHERE photo_id % 4 IN (0, 2)) OR photo_id NOT IN (SELECT photo_id FROM photos)", ("photos", "tags"))
+def _(lib):
+    return I.fix_health(lib.photos, listing(lib), {"tags": lib.tags}, lib.provider_usage)["tags"].select("photo_id", "tag")
+
+
+@query("tag_and_export", "SELECT p.photo_id, len(list_distinct(list_concat(coalesce(t.tags, []), ['holiday']))) + len(coalesce(f.names, [])) AS n FROM photos p LEFT JOIN (SELECT photo_id, list(tag) tags FROM tags GROUP BY 1) t USING (photo_id) LEFT JOIN (SELECT photo_id, list(DISTINCT name) names FROM faces JOIN persons USING (person_id) GROUP BY 1) f USING (photo_id) WHERE p.photo_id % 30 = 0", ("photos", "tags", "faces", "persons"))
+def _(lib):
+    side = I.tag_and_export(lib.tags, lib.photos, lib.photos.filter("photo_id % 30 = 0"), ["holiday"], lib.faces, lib.persons)[1]
+    return side.select("photo_id", F.size("subjects").cast("long").alias("n"))

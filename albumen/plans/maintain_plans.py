@@ -224,3 +224,21 @@ def _(lib):
     move = (F.col("face_id") % 9).cast("int")
     new = f.select((F.col("face_id") + 1000000).alias("face_id"), "photo_id", (F.col("x1") + move).alias("x1"), "y1", (F.col("x2") + move).alias("x2"), "y2")
     return M.drop_overlapping_boxes(new, f, 0.7).select("face_id")
+
+
+@query("append_faces", "SELECT face_id, assignment FROM faces UNION ALL SELECT face_id + 1000000, 'unassigned' FROM faces WHERE face_id % 3 = 1", ("faces",))
+def _(lib):
+    f = lib.faces
+    new = f.filter("face_id % 3 = 1").withColumn("face_id", F.col("face_id") + 1000000).withColumn("assignment", F.lit("unassigned")).withColumn("person_id", F.lit(None).cast("long"))
+    return M.append_faces(f, new).select("face_id", "assignment")
+
+
+@query("set_provider", "SELECT photo_id, coalesce(u.provider, 'none') AS provider FROM photos LEFT JOIN (SELECT photo_id, max(provider) provider FROM provider_usage GROUP BY 1) u USING (photo_id)", ("photos", "provider_usage"))
+def _(lib):
+    p = lib.photos.withColumn("provider", F.lit("none"))
+    return M.update_columns(p, lib.provider_usage.groupBy("photo_id").agg(F.max("provider").alias("provider")), "photo_id", ["provider"]).select("photo_id", "provider")
+
+
+@query("person_representatives", "SELECT person_id, max(face_id) AS face_id FROM faces WHERE assignment = 'named' GROUP BY 1", ("faces",))
+def _(lib):
+    return M.representatives(lib.faces)
