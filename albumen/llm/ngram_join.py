@@ -4,8 +4,8 @@ Texts with the same shingle set are one class. Each class orders its shingles fr
 prefix that any partner must hit. Classes meet on prefix shingles, pass length, positional and suffix filters, and each
 pair is verified once on the whole sets.
 
-A shingle that many classes post is never paired all with all: first each class meets one leader of the shingle (a few
-leaders in turn), and only classes that are still in different components meet directly. Pairs inside one component
+A shingle that many classes post is never paired all with all: first each class meets the leaders of its shingles (a
+shingle has one leader at a time, a class a few), and only classes that are still in different components meet directly. Pairs inside one component
 could not change it, so components are exact.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import store
+from .storage import discard, store
 from .textops import mix, shingle_sets, slices, words_of
 
 #: Counters of shingle frequency, over all documents; only the order of work depends on them.
@@ -26,8 +26,16 @@ BUCKETS = 1 << 18
 SALT_ROWS = 1 << 14
 #: Ids up to this many are broadcast to pick their texts from the table; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
-#: Rounds in which a shingle's classes meet one leader only.
-LEADER_ROUNDS = 3
+#: Leaders that a class meets in a round, those it shares most shingles with.
+LEADERS = 8
+#: Most rounds in which a shingle's classes meet one leader only.
+LEADER_ROUNDS = 6
+#: Pairs of classes on shared shingles, for each post, that are few enough to meet directly.
+PAIRS_PER_POST = 4
+#: Least share of a round's pairs that must link for another round with leaders.
+FRUITFUL = 0.05
+#: Longs of a class's bitmap, 64 buckets each.
+LONGS = 8
 #: Parts of the hash range whose counts bound the overlap (the suffix filter).
 PARTS = 16
 
@@ -83,6 +91,29 @@ def _prefixes(docs: DataFrame, k: int, percent: int, counts) -> DataFrame:
     return docs.mapInArrow(run, "gram long, salt int, class long, n int, pos int")
 
 
+def _bitmaps(texts: DataFrame, k: int) -> DataFrame:
+    """(class, s0, s1, ..): the buckets of the hash range that the class's shingles fall in."""
+    names = [f"s{i}" for i in range(LONGS)]
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offs in slices(batch.column(1)):
+                rows, grams = shingle_sets(words_of(data, offs, lower=True), k)
+                bits = np.zeros((hi - lo, LONGS * 64), np.uint8)
+                bits[rows, ((grams >> np.uint64(20)) % np.uint64(LONGS * 64)).astype(np.int64)] = 1
+                packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *[pa.array(packed[:, i].copy()) for i in range(LONGS)]], ["class", *names])
+
+    return texts.select("class", "text").mapInArrow(run, "class long, " + ", ".join(f"{n} long" for n in names))
+
+
+def _may_overlap(percent: int):
+    """The suffix filter on bitmaps: shingles in buckets that the other class leaves empty are not shared."""
+    alone = lambda x, y: sum((F.bit_count(F.col(f"s{i}_{x}").bitwiseAND(F.bitwise_not(F.col(f"s{i}_{y}")))) for i in range(1, LONGS)), F.bit_count(F.col(f"s0_{x}").bitwiseAND(F.bitwise_not(F.col(f"s0_{y}")))))
+    most = F.least(F.col("n_a") - alone("a", "b"), F.col("n_b") - alone("b", "a"))
+    return F.lit(100) * most >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - most)
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that reach the similarity."""
 
@@ -123,12 +154,21 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return pairs.join(left, "a").join(right, "b").select("a", "b", F.coalesce("text_a", F.lit("")).alias("text_a"), F.coalesce("text_b", F.lit("")).alias("text_b")).mapInArrow(run, "a long, b long")
 
 
+def _without_echoes(posts: DataFrame) -> DataFrame:
+    """posts of one shingle only among those that the same classes post, with how many there are (times).
+
+    Such shingles, the runs of a shared passage, would bring the same pairs again and again.
+    """
+    signs = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(5))).alias("y"))
+    first = signs.groupBy("c", "x", "y").agg(F.min("gram").alias("gram"), F.count(F.lit(1)).alias("times")).select("gram", "times")
+    return posts.join(first, "gram")
+
+
 def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Length and positional filters on rows (a, n_a, pos_a, b, n_b, pos_b); each pair once, smaller class first."""
+    """Length and positional filters on rows (a, n_a, pos_a, b, n_b, pos_b)."""
     least, need = F.least("n_a", "n_b"), F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
     room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) + F.least("pos_a", "pos_b")
-    kept = pairs.filter((F.col("a") != F.col("b")) & (F.lit(100) * least >= F.lit(percent) * F.greatest("n_a", "n_b")) & (room >= need))
-    return kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.filter((F.col("a") != F.col("b")) & (F.lit(100) * least >= F.lit(percent) * F.greatest("n_a", "n_b")) & (room >= need))
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -153,6 +193,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     same = Window.partitionBy("gram", "salt")
     posts = posts.withColumn("least", F.min("class").over(same)).withColumn("most", F.max("class").over(same))
     posts = store(posts.filter("least <> most or salt > 0").select("gram", "class", "n", "pos"), "posts")
+    every, posts = posts, store(_without_echoes(posts), "lone-posts")
+    discard(every)
 
     used = posts.select("class").distinct()
     members = store(signed.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "classes")
@@ -160,34 +202,46 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     few = wanted.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("class", "text").dropDuplicates(["class"])
     texts = store(texts, "texts")
+    bitmaps = store(_bitmaps(texts, k), "bitmaps")
 
-    links, seen, roots = None, None, None
-    for turn in range(LEADER_ROUNDS + 1):
-        here = posts if roots is None else posts.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-        here = here.withColumn("root", F.col("class")) if roots is None else here
+    links, seen, roots, turn, last, fruitful = None, None, None, 0, False, True
+    while not last:
+        here = posts.withColumn("root", F.col("class")) if roots is None else posts.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
         if roots is not None:  # only shingles whose classes are still apart
             apart = here.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("gram")
             here = store(here.join(apart, "gram"), "apart")
-        side = here.select("gram", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("root").alias("root_b"))
-        if turn < LEADER_ROUNDS:
-            chosen = F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("o"), F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("root").alias("root_a")))
-            lead = store(here.groupBy("gram").agg(chosen.alias("l")).select("gram", "l.a", "l.n_a", "l.pos_a", "l.root_a"), "leaders")
+        # all pairs once they are in proportion to the posts, or leaders bring little; else leaders first
+        sizes = here.groupBy("gram").agg(F.count(F.lit(1)).cast("double").alias("c")).agg(F.sum("c").alias("rows"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).first()
+        last = turn >= LEADER_ROUNDS or not fruitful or (sizes.pairs or 0) <= PAIRS_PER_POST * (sizes.rows or 0)
+        marked = here.join(bitmaps, "class") if last else here
+        bits = [f"s{i}" for i in range(LONGS)] if last else []
+        one = lambda x: [F.col("class").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "root", *bits)]]  # noqa: B023, E731
+        if last:
+            met = marked.select("gram", *one("b")).join(marked.select("gram", *one("a")), "gram").filter("root_a <> root_b and a < b").filter(_may_overlap(percent))
+            pairs = _filtered(met, percent)
         else:
-            lead = here.select("gram", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("root").alias("root_a"))
-        met = side.join(lead, "gram").filter("root_a <> root_b")
-        pairs = _filtered(met.filter("a < b") if turn == LEADER_ROUNDS else met, percent)
+            chosen = F.min(F.struct(F.xxhash64("class", "gram", F.lit(turn)).alias("o"), *one("a")))
+            lead = store(here.groupBy("gram").agg(chosen.alias("l")).select("gram", "l.a", "l.n_a", "l.pos_a", "l.root_a"), "leaders")
+            met = here.select("gram", "times", *one("b")).join(lead, "gram").filter("root_a <> root_b")
+            # each class meets the leaders it shares most with
+            best = Window.partitionBy("b").orderBy(F.desc("times"), F.xxhash64("a", F.lit(turn)))
+            pairs = _filtered(met, percent).groupBy("b", "a").agg(F.sum("times").alias("times")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= LEADERS)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = store(pairs, "pairs")
-        if not pairs.limit(1).count():
-            if turn < LEADER_ROUNDS and roots is not None:
-                continue
-            if turn == LEADER_ROUNDS:
-                break
+        if roots is not None:
+            discard(here)
+        turn += 1
+        met_now = pairs.count()
+        if not met_now:
+            fruitful = False
+            continue
         seen = pairs if seen is None else seen.unionByName(pairs)
         found = store(_verify(pairs, texts, k, percent), "links")
+        fruitful = found.count() >= FRUITFUL * met_now
         links = found if links is None else links.unionByName(found)
-        roots = store(connected_components(links).select(F.col("node").alias("class"), "root"), "roots")
+        roots = connected_components(links).select(F.col("node").alias("class"), "root")
 
     named = members if roots is None else members.join(roots, "class", "left")
     named = named.withColumn("root", F.col("class") if roots is None else F.coalesce("root", "class"))
