@@ -21,6 +21,7 @@ BUCKETS = 1 << 15
 DIM = 12
 #: Labelled rows of each language that are learned from, about (the bound of the training sample).
 ROWS_PER_LANGUAGE = 600
+BROADCAST_LANGUAGES = 10_000
 EPOCHS = 6
 #: Share of the sample that is kept from training for calibration.
 CALIBRATE = 0.25
@@ -133,6 +134,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = rows.filter("lang is not null and text is not null and crc % 3 <> 1").filter(F.col("text").rlike("\\p{L}"))
     counts = rows.groupBy("lang").count()
     share = counts.select(F.col("lang").alias("l"), F.least(F.lit(1.0), F.lit(float(ROWS_PER_LANGUAGE)) / F.col("count")).alias("share"))
+    # sent to every task where the languages are few, so that a language of most rows is no large task
+    share = F.broadcast(share) if counts.count() <= BROADCAST_LANGUAGES else share
     picked = rows.join(share, rows["lang"] == share["l"]).filter(F.pmod("order", F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30)).select("text", "lang", "order")
 
     def run(batches):
