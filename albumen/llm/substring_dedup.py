@@ -187,7 +187,8 @@ def _removals(docs: DataFrame, window: int, batches: int) -> tuple[DataFrame, Da
     """(doc_id, win) of windows to remove, and (doc_id) of whole copies of an earlier document's text."""
     spark = docs.sparkSession
     keys = store(docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("k"), F.xxhash64(F.lit(7), "text").alias("l")), "keys")
-    firsts = keys.groupBy("k", "l").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    # read back, so that the partition of a text with very many copies can be split
+    firsts = store(keys.groupBy("k", "l").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last"), "firsts")
     copies = store(keys.join(firsts, ["k", "l"]).filter("doc_id > first").select("doc_id").distinct(), "copies")
     few = copies.count() <= BROADCAST_IDS
     alone = docs.filter("doc_id is not null").join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
