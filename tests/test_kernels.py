@@ -1,6 +1,7 @@
 """Kernels and operators without SQL against brute force, and edge rules."""
 
 import datetime as dt
+import hashlib
 import math
 import random
 
@@ -17,6 +18,7 @@ from albumen.operators import search as H
 from albumen.operators import stats as S
 from albumen.operators import vectors as V
 from albumen.operators.ranking import collision_free_names
+from albumen.plans import registry
 from pyspark.sql import functions as F
 
 
@@ -141,6 +143,24 @@ def test_pixels():
     assert P.dominant(two)[0] == "#ff0000"
 
 
+@pytest.mark.parametrize("name, side, channels", [("perceptual_hash", 32, 1), ("blur_metrics", 256, 1), ("dominant_colours", 48, 3)])
+def test_pixel_queries_take_every_photo(spark, name, side, channels):
+    sf = "/root/testdata/sf0.001"
+    got = {r.photo_id: r for r in registry.QUERIES[name](spark, sf).collect()}
+    ids = [r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()]
+    assert set(got) == set(ids) and any(i % 40 for i in ids)
+    for i in ids[:3]:
+        n = side * side * channels
+        drawn = b"".join(hashlib.sha256(f"{i}-{j}".encode()).digest() for j in range(-(-n // 32)))[:n]
+        image = np.frombuffer(drawn, np.uint8).reshape((1, side, side) if channels == 1 else (side, side, channels))
+        if name == "perceptual_hash":
+            assert got[i].phash == f"{int(P.phash(image)[0]):016x}"
+        elif name == "blur_metrics":
+            assert got[i].blur_score == pytest.approx(P.blur(image)["blur_score"][0])
+        else:
+            assert got[i].dominant_colors == P.dominant(image)
+
+
 def test_search_texts():
     p = H.parse_search('cat OR dog "red car" -night !rating:>=4 year:2020 beach* x:y -"old barn"')
     assert p == {"must": [["cat", "dog"], ["x:y"]], "phrases": ["red car"], "must_not": ["night", "old barn"], "fields": [("!rating", ">=4"), ("year", "2020")], "wildcards": ["beach"]}
