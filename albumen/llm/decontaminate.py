@@ -2,14 +2,14 @@
 
 Words become templates: numbers, units and names are typed placeholders, other words are stripped of marks and put in
 lower case. Windows of template words of a document are hash-joined with those of the benchmark; hits are summed by
-offset diagonal, and a long enough run is checked for slot consistency: each value in a slot of the item must always
+offset diagonal, split into runs at gaps, and a long enough run is checked for slot consistency: each value in a slot of the item must always
 stand for one value in the document, and the other way round. So a question with other numbers or names is caught, and
 a chance likeness of placeholders is not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import store
@@ -53,6 +53,18 @@ def _windows(df: DataFrame, key: str, pos: str) -> DataFrame:
     return df.select(key, template(F.col("w")).alias("t")).select(key, F.posexplode(hashes).alias(pos, "win"))
 
 
+def _runs(hits: DataFrame) -> DataFrame:
+    """(doc_id, item_id, diag, first, last) of hits (doc_id, item_id, ipos, diag): each run of windows without a gap, and
+    the whole span of a diagonal of several runs that cover 75 % of its words."""
+    diagonal = Window.partitionBy("doc_id", "item_id", "diag")
+    rows = hits.distinct().withColumn("run", F.col("ipos") - F.row_number().over(diagonal.orderBy("ipos")))
+    runs = rows.groupBy("doc_id", "item_id", "diag", "run").agg(F.min("ipos").alias("first"), F.max("ipos").alias("last"))
+    whole = runs.groupBy("doc_id", "item_id", "diag").agg(F.collect_list(F.struct("first", "last")).alias("parts"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum(F.col("last") - F.col("first") + WINDOW).alias("n"))
+    bridged = (F.size("parts") > 1) & (F.col("n") * 4 >= (F.col("last") - F.col("first") + WINDOW) * 3)
+    parts = F.when(bridged, F.concat("parts", F.array(F.struct("first", "last")))).otherwise(F.col("parts"))
+    return whole.select("doc_id", "item_id", "diag", F.explode(parts).alias("p")).select("doc_id", "item_id", "diag", "p.first", "p.last")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_words, coverage, kind) of each document and item that it contains.
 
@@ -66,11 +78,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     marks = store(_windows(b, "item_id", "ipos"), "item-windows")
     small = marks.count() <= BROADCAST_ROWS
     hits = _windows(d, "doc_id", "dpos").join(F.broadcast(marks) if small else marks, "win")
-    runs = hits.select("doc_id", "item_id", "ipos", (F.col("dpos") - F.col("ipos")).alias("diag")).groupBy("doc_id", "item_id", "diag").agg(F.min("ipos").alias("first"), F.max("ipos").alias("last"), F.countDistinct("ipos").alias("n"))
+    runs = _runs(hits.select("doc_id", "item_id", "ipos", (F.col("dpos") - F.col("ipos")).alias("diag")))
     sizes = b.select("item_id", F.size("w").alias("size"), F.col("w").alias("iw"))
     runs = runs.join(F.broadcast(sizes) if small else sizes, "item_id")
     span = F.col("last") - F.col("first") + WINDOW
-    runs = store(runs.filter((span >= F.least(F.lit(LEAST_WORDS), F.col("size"))) & (F.col("n") * 4 >= (F.col("last") - F.col("first") + 1) * 3)), "runs")
+    runs = store(runs.filter(span >= F.least(F.lit(LEAST_WORDS), F.col("size"))), "runs")
 
     few = runs.count() <= BROADCAST_ROWS
     held = d.join(F.broadcast(runs) if few else runs, "doc_id")

@@ -153,6 +153,15 @@ def test_slots_must_agree(spark, documents):
     assert [(r.doc_id, r.kind) for r in decontaminate.contaminated(documents(rows), bench).collect()] == [(1, "reparameterised")]
 
 
+def test_a_changed_word_leaves_its_runs(spark, documents):
+    item = sentence(random.Random(12), 30).split()
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    worn = lambda *at: " ".join("zzz" if i in at else w for i, w in enumerate(item))
+    rows = [(i, f"before it {worn(i)} after") for i in range(30)] + [(100, " ".join(item[13:])), (101, worn(11, 23)), (102, worn(10, 20)), (103, " ".join(item[:11]))]
+    got = {r.doc_id: r.n_words for r in decontaminate.contaminated(documents(rows), bench).collect()}
+    assert got == {**{i: 30 for i in range(30)}, 0: 29, 29: 29, **{i: max(i, 29 - i) for i in [*range(1, 8), *range(22, 29)]}, 100: 17, 101: 23, 102: 30}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     import public_tokenizers
