@@ -4,7 +4,8 @@ Words become templates: numbers, units and names are typed placeholders, other w
 lower case. Windows of template words of a document are hash-joined with those of the benchmark; hits are summed by
 offset diagonal, split into runs at gaps, and a long enough run is checked for slot consistency: each value in a slot of the item must always
 stand for one value in the document, and the other way round. So a question with other numbers or names is caught, and
-a chance likeness of placeholders is not.
+a chance likeness of placeholders is not. Words that agree as they stand, but for case and outer marks, need no such
+check; and items too short for a run are looked for word by word, by one hash of the whole item.
 """
 
 from __future__ import annotations
@@ -29,13 +30,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
+def bare(word: Column) -> Column:
+    """The word in lower case without outer marks."""
+    return F.lower(F.regexp_replace(word, "^[^\\p{L}\\p{N}%$€£°]+|[^\\p{L}\\p{N}%$€£°]+$", ""))
+
+
 def template(raw: Column) -> Column:
     """Template words of an array of words; one for each word."""
-    bare = lambda w: F.regexp_replace(w, "^[^\\p{L}\\p{N}%$€£°]+|[^\\p{L}\\p{N}%$€£°]+$", "")
 
     def one(w: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get(raw, i - 1)).otherwise(F.lit("."))
-        low = F.lower(bare(w))
+        low = bare(w)
         return (
             F.when(w.rlike("[0-9]"), "<num>")
             .when(low.isin(*UNITS), "<unit>")
@@ -53,6 +58,25 @@ def _windows(df: DataFrame, key: str, pos: str) -> DataFrame:
     return df.select(key, template(F.col("w")).alias("t")).select(key, F.posexplode(hashes).alias(pos, "win"))
 
 
+def _short(d: DataFrame, items: DataFrame) -> DataFrame | None:
+    """(doc_id, item_id, n_words, size, kind, first) of items of LEAST_WORDS words or fewer that stand word by word in d, or None if no item is so short."""
+    whole = items.select("item_id", F.transform("w", bare).alias("w")).filter((F.size("w") <= LEAST_WORDS) & F.exists("w", lambda w: w != ""))
+    sizes = sorted(r.n for r in whole.select(F.size("w").alias("n")).distinct().collect())  # LEAST_WORDS rows at most
+    if not sizes:
+        return None
+    few = whole.count() <= BROADCAST_ROWS
+    whole = whole.select("item_id", F.size("w").alias("size"), F.xxhash64("w").alias("win"))
+
+    def of(k: int) -> Column:
+        at = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(F.lit(k).alias("size"), F.xxhash64(F.slice("w", i, F.lit(k))).alias("win")))
+
+    prints = F.array_distinct(F.concat(*map(of, sizes)))
+    held = d.select("doc_id", F.transform("w", bare).alias("w")).select("doc_id", F.explode(prints).alias("p")).select("doc_id", "p.size", "p.win")
+    found = held.join(F.broadcast(whole) if few else whole, ["size", "win"]).select("doc_id", "item_id", "size").distinct()
+    return found.select("doc_id", "item_id", F.col("size").alias("n_words"), "size", F.lit("verbatim").alias("kind"), F.lit(0).alias("first"))
+
+
 def _runs(hits: DataFrame) -> DataFrame:
     """(doc_id, item_id, diag, first, last) of hits (doc_id, item_id, ipos, diag): each run of windows without a gap, and
     the whole span of a diagonal of several runs that cover 75 % of its words."""
@@ -68,13 +92,16 @@ def _runs(hits: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_words, coverage, kind) of each document and item that it contains.
 
-    n_words: words of the longest consistent run, at least LEAST_WORDS or the item's length; coverage: their share of
-    the item; kind: `verbatim` where all template words' raw forms agree, else `reparameterised`. Null or empty texts,
-    and items shorter than a window, match nothing. Repeated documents give one row; equal runs count by the earliest
+    n_words: words of the longest accepted run, at least LEAST_WORDS or the item's length; coverage: their share of
+    the item; kind: `verbatim` where all slots' values agree but for case and outer marks, else `reparameterised`. A run
+    is accepted where slots are one-to-one and half of its words are no number, unit or name; where they are not, by its
+    longest stretch of words that agree. Items shorter than a window match verbatim only; null or empty texts match
+    nothing. Repeated documents give one row; equal runs count by the earliest
     place. Empty tables give no rows; further columns are ignored.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
-    b = store(benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text)).alias("w")).filter(F.size("w") >= WINDOW), "items")
+    b = store(benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text)).alias("w")).filter(F.size("w") > 0), "items")
+    short = _short(d, b)
     marks = store(_windows(b, "item_id", "ipos"), "item-windows")
     small = marks.count() <= BROADCAST_ROWS
     hits = _windows(d, "doc_id", "dpos").join(F.broadcast(marks) if small else marks, "win")
@@ -88,13 +115,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     held = d.join(F.broadcast(runs) if few else runs, "doc_id")
     part = lambda words, start: F.slice(words, start + 1, span)
     held = held.select("doc_id", "item_id", "size", "first", span.alias("n_words"), part(F.col("w"), F.col("first") + F.col("diag")).alias("dw"), part(F.col("iw"), F.col("first")).alias("iw"))
-    held = held.withColumn("dt", template(F.col("dw"))).withColumn("it", template(F.col("iw")))
+    held = held.withColumn("dt", template(F.col("dw"))).withColumn("it", template(F.col("iw"))).withColumn("dw", F.transform("dw", bare)).withColumn("iw", F.transform("iw", bare))
     pairs = F.arrays_zip("dw", "iw", "dt", "it")
     slots = F.array_distinct(F.transform(F.filter(pairs, lambda p: (p["it"] == p["dt"]) & p["it"].isin("<num>", "<unit>", "<name>")), lambda p: F.struct(p["it"].alias("kind"), p["iw"].alias("i"), p["dw"].alias("d"))))
-    held = held.withColumn("slots", slots)
+    step = lambda s, same: F.struct(F.when(same, s["now"] + 1).otherwise(0).alias("now"), F.greatest(s["most"], F.when(same, s["now"] + 1).otherwise(0)).alias("most"))
+    stretch = F.aggregate(F.zip_with("dw", "iw", lambda x, y: F.coalesce(x == y, F.lit(False))), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"]
+    held = held.withColumn("slots", slots).withColumn("stretch", stretch)
     one_to_one = (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["i"]))))) & (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["d"])))))
     plain = F.size(F.filter(F.col("it"), lambda t: ~t.isin("<num>", "<unit>", "<name>"))) * 2 >= F.col("n_words")
-    held = held.filter(one_to_one & plain).withColumn("kind", F.when(F.forall("slots", lambda s: s["i"] == s["d"]), "verbatim").otherwise("reparameterised"))
+    held = held.withColumn("whole", one_to_one & plain).filter(F.col("whole") | (F.col("stretch") >= F.least(F.lit(LEAST_WORDS), F.col("size"))))
+    held = held.withColumn("kind", F.when(~F.col("whole") | F.forall("slots", lambda s: s["i"] == s["d"]), "verbatim").otherwise("reparameterised"))
+    held = held.select("doc_id", "item_id", F.when(F.col("whole"), F.col("n_words")).otherwise(F.col("stretch")).alias("n_words"), "size", "kind", "first")
+    if short is not None:
+        held = held.unionByName(short)
     best = F.max_by(F.struct("n_words", "size", "kind"), F.struct("n_words", -F.col("first"), "kind")).alias("x")
     return held.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("x.n_words").cast("long").alias("n_words"), (F.col("x.n_words") / F.col("x.size")).alias("coverage"), "x.kind")
 

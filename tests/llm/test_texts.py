@@ -162,6 +162,18 @@ def test_a_changed_word_leaves_its_runs(spark, documents):
     assert got == {**{i: 30 for i in range(30)}, 0: 29, 29: 29, **{i: max(i, 29 - i) for i in [*range(1, 8), *range(22, 29)]}, 100: 17, 101: 23, 102: 30}
 
 
+def test_verbatim_runs_need_no_slots(spark, documents):
+    numbers = "table 4 8 15 16 23 42 then 7 9 11 13 17 19 with 3 5 rows"
+    titles = "the Old Man And The Sea By Ernest Hemingway Tells Of Santiago Catching One Giant Marlin"
+    twice = "so Paul gave the small red box back to Paul and went home before it rained again"
+    items = [(1, numbers), (2, titles), (3, twice), (4, "what is the capital of Norway"), (5, "(...) --"), (6, "Who wrote the ninth book of that long series")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    other = numbers.replace("16", "99").replace("15", "99").replace("13", "98").replace("17", "98")
+    rows = [(1, f"see {numbers} there"), (2, f"read {titles} now"), (3, twice.replace("to Paul", "to Paul,")), (4, "Well: What is the capital of Norway? Oslo"), (5, other), (6, "what is the capital of France"), (7, "and Who wrote the ninth book of that long series"), (8, numbers.replace("19", "20").replace("17", "20")), (9, "... -- (...) --")]
+    got = {(r.doc_id, r.item_id): (r.n_words, r.coverage, r.kind) for r in decontaminate.contaminated(documents(rows), bench).collect()}
+    assert got == {(1, 1): (18, 1, "verbatim"), (2, 2): (16, 1, "verbatim"), (3, 3): (17, 1, "verbatim"), (4, 4): (6, 1, "verbatim"), (7, 6): (9, 1, "verbatim"), (8, 1): (12, 12 / 18, "verbatim")}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     import public_tokenizers
