@@ -12,6 +12,10 @@ from .faces import components, cut
 from .stats import taken, visible
 
 RADIUS_KM = 6371.0
+#: Coordinates of a connected set up to which it is worked through in order, in one group.
+SET_POINTS = 10_000
+#: Parts of a grid cell's side, for larger sets.
+FINE = 16
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -48,7 +52,8 @@ def gps_clusters(photos: DataFrame, radius: float = 1.5, least: int = 3) -> Data
     """(photo_id, cluster_id) of visible photos with coordinates, in clusters of at least `least`; cluster_id is the first photo's.
 
     Photos join, in order of their ids, the nearest cluster centre within the radius. Points that could ever meet lie in
-    connected cells of a grid of 2.1 radii, so each connected set is worked through by itself.
+    connected cells of a grid of 2.1 radii, so each connected set is worked through by itself. Photos of equal coordinates
+    join together, at the place of the first; sets of over SET_POINTS coordinates are clustered by joins of small cells.
     """
     side = 2.1 * radius / (RADIUS_KM * math.pi / 180)  # degrees of latitude
     p = visible(photos).filter("gps_lat is not null and gps_lon is not null").select("photo_id", F.col("gps_lat").alias("lat"), F.col("gps_lon").alias("lon"))
@@ -72,16 +77,50 @@ def gps_clusters(photos: DataFrame, radius: float = 1.5, least: int = 3) -> Data
     edges = same.unionByName(across).unionByName(across.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     sets = components(edges, cells.select(F.col("cell").alias("node")).distinct()).select(F.col("node").alias("cell"), F.col("label").alias("set"))
 
+    points = p.groupBy("cell", "cy", "zone", "wide", "lat", "lon").agg(F.count(F.lit(1)).alias("n"), F.min("photo_id").alias("photo_id"))
+    points = cut(points.join(sets, "cell"))
+    sizes = points.groupBy("set").agg((F.count(F.lit(1)) > SET_POINTS).alias("large"))
+    points = cut(points.join(sizes, "set"))
+
     def run(d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values("photo_id")
-        d["c"] = leaders(list(zip(d.photo_id, d.lat, d.lon, [1] * len(d), strict=True)), radius)
+        d["c"] = leaders(list(zip(d.photo_id, d.lat, d.lon, d.n, strict=True)), radius)
         d["cluster_id"] = d.groupby("c").photo_id.transform("min")
-        return d[["photo_id", "cluster_id"]]
-
-    found = p.join(sets, "cell").select("set", "photo_id", "lat", "lon").groupBy("set").applyInPandas(run, "photo_id long, cluster_id long")
-    big = cut(found)
-    keep = big.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("cluster_id")
-    return big.join(keep, "cluster_id", "left_semi")
+        return d[["lat", "lon", "n", "cluster_id"]]
+
+    small = points.filter("not large").select("set", "photo_id", "lat", "lon", "n").groupBy("set").applyInPandas(run, "lat double, lon double, n long, cluster_id long")
+    found = cut(small.unionByName(_large(points.filter("large"), edges, side, radius)))
+    keep = found.groupBy("cluster_id").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("cluster_id")
+    kept = cut(found.join(keep, "cluster_id", "left_semi").select("lat", "lon", "cluster_id"))
+    return p.join(kept, ["lat", "lon"]).select("photo_id", "cluster_id")
+
+
+def _large(points: DataFrame, edges: DataFrame, side: float, radius: float) -> DataFrame:
+    """(lat, lon, n, cluster_id) of points by cells of a FINE-th of the grid's: centres are cells that no earlier one, in
+    hashed order, has within the radius, found in rounds; each cell joins the nearest centre."""
+    points = points.withColumn("f", F.xxhash64("cell", F.floor(F.col("lat") * (FINE / side)), F.floor(F.col("lon") * FINE / F.col("wide"))))
+    cells = points.groupBy("f", "cell").agg((F.sum(F.col("lat") * F.col("n")) / F.sum("n")).alias("lat"), (F.sum(F.col("lon") * F.col("n")) / F.sum("n")).alias("lon"), F.min("photo_id").alias("first"))
+    cells = cut(cells)
+    if cells.isEmpty():
+        return points.select("lat", "lon", "n", F.col("photo_id").alias("cluster_id"))
+    mates = edges.select("a", "b").unionByName(cells.select(F.col("cell").alias("a"), F.col("cell").alias("b")).distinct())
+    left = cells.select(F.col("f"), F.col("cell").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
+    right = cells.select(F.col("f").alias("g"), F.col("cell").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    near = left.join(mates, "a").join(right, "b").withColumn("d", haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
+    near = cut(near.filter((F.col("d") <= radius) | (F.col("f") == F.col("g"))).select("f", "g", "d"))
+    live, centres = cut(cells.select("f")), []
+    while not live.isEmpty():
+        among = near.join(live, "f", "left_semi").join(live.select(F.col("f").alias("g")), "g", "left_semi")
+        won = cut(among.groupBy("f").agg(F.min(F.struct(F.xxhash64("g"), "g"))["g"].alias("g")).filter("f = g").select("g"))
+        centres.append(won)
+        live = cut(live.join(near.join(won, "g", "left_semi").select("f"), "f", "left_anti"))
+    all_centres = centres[0]
+    for c in centres[1:]:
+        all_centres = all_centres.unionByName(c)
+    joined = near.join(all_centres, "g", "left_semi").groupBy("f").agg(F.min(F.struct("d", "g"))["g"].alias("g"))
+    joined = cut(joined.join(cells.select("f", "first"), "f"))
+    names = joined.groupBy("g").agg(F.min("first").alias("cluster_id"))
+    return points.join(joined.join(names, "g").select("f", "cluster_id"), "f").select("lat", "lon", "n", "cluster_id")
 
 
 def list_clusters(photos: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -129,6 +129,35 @@ def test_gps_clusters_are_the_sequential_ones(spark, lat):
     assert got == {i: first[c] for (i, *_), c in zip(pts, G.leaders(pts, 1.5), strict=True)}
 
 
+def test_large_gps_sets_are_clustered_by_joins(spark, monkeypatch):
+    rng = random.Random(9)
+    pts = [(i, 38 + rng.uniform(0, 0.15), 20 + rng.uniform(0, 0.15), False) for i in range(250)] + [(1000 + i, 38.07, 20.07, False) for i in range(200)] + [(5000, 50.0, 3.0, False)]
+
+    def counted(points, radius, leaders=G.leaders):
+        if len(points) > 40:
+            raise AssertionError("a group of an unbounded size")
+        return leaders(points, radius)
+
+    monkeypatch.setattr(G, "SET_POINTS", 40)
+    monkeypatch.setattr(G, "leaders", counted)
+    df = spark.createDataFrame(pts, "photo_id long, gps_lat double, gps_lon double, private boolean")
+    got = {r.photo_id: r.cluster_id for r in G.gps_clusters(df, 1.5, 1).collect()}
+    assert set(got) == {i for i, *_ in pts} and got[5000] == 5000 and len({got[1000 + i] for i in range(200)}) == 1
+    members = {}
+    for i, a, b, _ in pts:
+        members.setdefault(got[i], []).append((i, a, b))
+    assert 10 < len(members) < 120
+    for c, m in members.items():
+        assert c == min(i for i, *_ in m) and all(G._km(x[1], x[2], y[1], y[2]) <= 2 * 1.5 * 1.2 for x in m for y in m)
+    assert {r.photo_id for r in G.gps_clusters(df, 1.5, 100).collect()} >= {1000 + i for i in range(200)}
+
+
+def test_equal_coordinates_join_together(spark):
+    df = spark.createDataFrame([(i, 10.0 + 0.01 * (i % 3), 20.0, False) for i in range(300)], "photo_id long, gps_lat double, gps_lon double, private boolean")
+    got = {r.photo_id: r.cluster_id for r in G.gps_clusters(df, 1.5, 3).collect()}
+    assert len(got) == 300 and len({(i % 3, c) for i, c in got.items()}) == 3
+
+
 def test_pixels():
     rng = np.random.default_rng(5)
     g = rng.integers(0, 256, (3, 32, 32)).astype(np.uint8)
