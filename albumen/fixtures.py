@@ -66,4 +66,4 @@ class Library:
 
 def ctes(*names: str) -> str:
     """`WITH` clauses of the named views for DuckDB; all where none is named."""
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n].format(**{t: t for t in RAW})})" for n in names or VIEWS)
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({VIEWS[n].format(**{t: t for t in RAW})})" for n in names or VIEWS)

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import components, cut
 from .maintain import assign_faces
 from .vectors import cosine, robust_centroid, similarity_pairs
 
@@ -87,31 +88,6 @@ def triage_unknown(faces: DataFrame, shown: DataFrame, best: float = 0.65, margi
     return rows.select("face_id", decision.alias("decision"), F.when(decision == "assign", F.col("_p")).alias("person_id"))
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, label): the least node reachable over edges(a, b), each given in both directions."""
-    labels = nodes.select("node", F.col("node").alias("label")).persist()
-    edges = edges.persist()
-    for _ in range(rounds):
-        near = edges.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("l"))
-        step = labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("l", "label")).alias("label"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        after = cut(step.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")))
-        labels = after.select("node", "label")
-        if not after.filter("was <> label").limit(1).count():
-            return labels
-    raise RuntimeError("no fixed point")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the session's checkpoint folder; one is set only where there is none, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="albumen-"))
-    return df.checkpoint()
-
-
 def cluster_faces(faces: DataFrame, eps: float = 0.87, min_pts: int = 2, absorb: float = 1.0) -> DataFrame:
     """(face_id, cluster_id, size, representative) by DBSCAN on unit vectors.
 

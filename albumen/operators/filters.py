@@ -67,35 +67,38 @@ def smart_collection(photos: DataFrame, tags: DataFrame, rules: list[dict], stri
 
 
 FIELDS = {"tag": "tag", "folder": "folder", "in": "folder", "path": "folder", "year": "year", "before": "before", "to": "before", "after": "after", "from": "after", "rating": "rating", "stars": "rating", "fav": "fav", "favorite": "fav", "media": "media", "type": "media", "ext": "ext", "person": "person"}
+# fixed values: fields that a query may name but that no photo row answers
+OTHER_FIELDS = ("date", "camera", "lens", "location", "place", "city", "country", "iso", "aperture", "focal", "color")
 
 
-def field_condition(field: str, value: str) -> Column | None:
-    """The condition of one search field over a photo row with `tags`; undated rows pass `before`. None: not a column condition."""
-    kind, day = FIELDS.get(field), taken().cast("string")
-    if kind == "tag":
-        return F.exists("tags", lambda t: F.lower(t).contains(value.lower()))
-    if kind == "folder":
-        return F.lower(F.concat("folder", F.lit("/"), "path")).contains(value.lower())
-    if kind == "year":
-        lo, _, hi = value.partition("-")
-        return F.year(taken()).between(int(lo), int(hi or lo)) if lo.isdigit() and (hi or lo).isdigit() else F.lit(False)
-    if kind == "before":
-        return taken().isNull() | (day < value)
-    if kind == "after":
-        return day >= value
-    if kind == "rating":
-        m = re.fullmatch(r"(>=|<=|>|<|=)?\s*(-?\d+)", value)
-        if not m:
-            return F.lit(False)
-        r, n = F.coalesce("rating", F.lit(0)), int(m[2])
-        return {">=": r >= n, "<=": r <= n, ">": r > n, "<": r < n}.get(m[1], r == n)
-    if kind == "fav":
-        return F.col("favorite") == F.lit(value.lower() in ("", "1", "true", "yes"))
-    if kind == "media":
-        return F.col("media_type") == value.lower()
-    if kind == "ext":
-        return extension() == value.lower().lstrip(".")
-    return None
+def field_met(name: Column, value: Column) -> Column:
+    """Whether a photo row (with `tags`) meets a search field, without its `!`; true for fields that no row answers.
+
+    Dates are compared as text, so `before:2020` leaves out 2020; undated rows pass `before`.
+    """
+    of = lambda kind: name.isin(*[k for k, v in FIELDS.items() if v == kind])
+    low = F.lower(value)
+    day = F.coalesce(F.col("date_taken").cast("date").cast("string"), F.lit(""))
+    bound = F.substring(F.regexp_replace(F.trim(low), "[:/]", "-"), 1, 10)
+    year = F.substring(day, 1, 4)
+    span = low.rlike("^[0-9]{4}-[0-9]{4}$")
+    years = F.when(span, year.between(F.substring(low, 1, 4), F.substring(low, 6, 4))).otherwise((F.length(low) == 4) & (year == low))
+    sign, number = F.regexp_extract(low, "^(>=|<=|>|<)?", 1), F.regexp_extract(low, r"^(?:>=|<=|>|<)?([+-]?\d+)$", 1).try_cast("int")
+    stars = F.coalesce("rating", F.lit(0))
+    rated = F.when(sign == ">=", stars >= number).when(sign == "<=", stars <= number).when(sign == ">", stars > number).when(sign == "<", stars < number).otherwise(stars == number)
+    met = (
+        F.when(of("tag"), F.exists("tags", lambda t: F.lower(t).contains(low)))
+        .when(of("folder"), F.lower("path").contains(low))
+        .when(of("year"), years)
+        .when(of("before"), (day <= bound) | (day < low))
+        .when(of("after"), (day >= bound) | (day > low))
+        .when(of("rating"), rated)
+        .when(of("fav"), F.col("favorite") == low.isin("1", "true", "yes", "y", "on"))
+        .when(of("media"), F.lower("media_type") == low)
+        .when(of("ext"), F.lower("path").endswith(F.concat(F.lit("."), low)))
+        .otherwise(True)
+    )
+    return F.coalesce(met, F.lit(False))
 
 
 def field_filter(photos: DataFrame, filters: list[tuple[str, str]], persons: DataFrame | None = None) -> DataFrame:
@@ -109,11 +112,8 @@ def field_filter(photos: DataFrame, filters: list[tuple[str, str]], persons: Dat
             ids = persons.filter(contains("name", value)).select("photo_id").distinct()
             photos = photos.join(ids, "photo_id", "left_anti" if no else "left_semi")
             continue
-        c = field_condition(field, value)
-        if c is None:
-            photos = photos.filter(F.lit(False)) if no else photos
-        else:
-            photos = photos.filter(~F.coalesce(c, F.lit(False)) if no else F.coalesce(c, F.lit(False)))
+        met = field_met(F.lit(field), F.lit(value))
+        photos = photos.filter(~met if no else met)
     return photos
 
 
@@ -199,7 +199,12 @@ def tag_cooccurrence(tags: DataFrame, least: int = 2) -> DataFrame:
     return t.withColumnRenamed("tag", "a").join(t.withColumnRenamed("tag", "b"), "photo_id").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
-ART_TAGS = ("painting", "drawing", "illustration", "artwork", "sketch", "cartoon", "anime", "render", "statue", "sculpture")
+# fixed values
+ART_TAGS = (
+    "painting", "drawing", "cartoon", "illustration", "anime", "manga", "comic", "comic book", "sculpture", "statue", "artwork", "digital art",
+    "concept art", "pencil drawing", "ink drawing", "oil painting", "watercolor", "sketch", "poster", "graffiti",
+    "resim", "çizim", "karikatür", "illüstrasyon", "heykel", "tablo", "sanat eseri", "çizgi film", "çizgi roman", "suluboya", "yağlı boya", "eskiz",
+)
 
 
 def faces_to_scan(photos: DataFrame, faces: DataFrame, tags: DataFrame, folder: str | None = None, art_tags: tuple[str, ...] = ART_TAGS) -> DataFrame:

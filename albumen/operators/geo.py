@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .faces import components, cut
+from .iterate import components, cut
 from .stats import taken, visible
 
 RADIUS_KM = 6371.0

@@ -36,6 +36,18 @@ def ingest_new_files(files: DataFrame, library: DataFrame, dedupe_within_batch:
     return new.join(known, "path", "left").withColumn("path_conflict", F.coalesce("path_conflict", F.lit(False)))
 
 
+def resume_scan(files: DataFrame, done: DataFrame) -> DataFrame:
+    """files(path, length, modificationTime, ..) that a broken-off scan has yet to take: those not in done as they are now."""
+    return files.join(done.select("path", "length", "modificationTime"), ["path", "length", "modificationTime"], "left_anti")
+
+
+def scan_checkpoint(files: DataFrame, done: DataFrame) -> DataFrame:
+    """(folder, last_path, processed, total) of each folder's scan; last_path is null where nothing is done."""
+    ok = done.select("path", "length", "modificationTime", F.lit(True).alias("_done")).distinct()
+    rows = files.join(ok, ["path", "length", "modificationTime"], "left").withColumn("folder", F.regexp_replace("path", r"/[^/]*$", ""))
+    return rows.groupBy("folder").agg(F.max(F.when(F.col("_done"), F.col("path"))).alias("last_path"), F.count("_done").alias("processed"), F.count(F.lit(1)).alias("total"))
+
+
 def scan_log(ingested: DataFrame, found: DataFrame, folder: str, started: dt.datetime, ended: dt.datetime) -> DataFrame:
     """One row on a scan: new, skipped and total files."""
     new = ingested.agg(F.count_if(~F.col("path_conflict")).alias("new_files"))

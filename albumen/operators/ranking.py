@@ -12,9 +12,13 @@ def extension(path: str = "path") -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
+# fixed values
+RAW_ORIGINALS = ("cr2", "cr3", "nef", "arw", "dng", "orf", "rw2", "raf", "pef", "srw", "x3f", "3fr")
+
+
 def format_priority(path: str = "path") -> Column:
     e = extension(path)
-    return F.when(e.isin("cr2", "cr3", "nef", "arw", "dng", "raf", "orf", "rw2", "pef", "srw", "raw", "nrw"), 800).when(e.isin("heic", "heif", "avif"), 500).when(e == "png", -50).when(e.isin("bmp", "tif", "tiff"), -200).otherwise(0)
+    return F.when(e.isin(*RAW_ORIGINALS), 800).when(e.isin("heic", "heif", "avif"), 500).when(e == "png", -50).when(e.isin("bmp", "tif", "tiff"), -200).otherwise(0)
 
 
 def is_invested() -> Column:

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, lower, strip_accents, term_variants, tokens
+from .filters import FIELDS, OTHER_FIELDS, field_met
+from .iterate import cut
 
 # fixed values
-STOP_WORDS = ("a", "an", "the", "and", "or", "of", "in", "on", "at", "to", "for", "with", "by", "from", "is", "are", "was", "were", "be", "my", "me", "i", "we", "our", "you", "your", "it", "its", "this", "that", "these", "those", "show", "find", "photo", "photos", "picture", "pictures", "image", "images", "some", "any", "all", "as", "into", "about", "near", "there", "their", "his", "her", "has", "have", "had", "not", "no")
+STOP_WORDS = (
+    "the", "a", "an", "in", "on", "at", "of", "by", "to", "for", "with", "is", "are", "was", "were", "be", "been", "from", "and", "or", "but",
+    "this", "that", "these", "those", "into", "over", "after", "under", "about", "between", "through", "up", "out", "its", "it", "as", "all",
+    "both", "than", "too", "also", "some", "any", "my", "your", "our", "his", "her", "their", "i", "we", "you", "he", "she", "they",
+)
+
+#: Letters of a word's start that meet in a prefix search; longer words are compared in whole after that.
+LONGEST_START = 24
+#: Query words up to this many are sent to every task; more are joined by a shuffle.
+BROADCAST_WORDS = 1 << 16
 
 
 def token_table(rows: DataFrame, id_col: str, text_col: str, field: str) -> DataFrame:
@@ -34,11 +42,13 @@ def search_all_words(index: DataFrame, queries: DataFrame, doc: list[str], prefi
 def _hits(index: DataFrame, words: DataFrame, doc: list[str], prefix: bool) -> DataFrame:
     if not prefix:
         return index.join(words, index["token"] == words["word"]).select("query_id", "word", *doc)
-    # words meet the starts of tokens, so a prefix search is an equi-join too
-    lengths = F.sequence(F.lit(1), F.least(F.length("token"), F.lit(24)))
-    starts = index.select(*doc, "token").withColumn("start", F.explode(F.transform(lengths, lambda n: F.substring(F.col("token"), F.lit(1), n))))
-    short = words.withColumn("start", F.substring("word", 1, 24))
-    return starts.join(short, "start").filter(F.col("token").startswith(F.col("word"))).select("query_id", "word", *doc)
+    # words meet the starts of tokens, of the lengths that words have, so a prefix search is an equi-join too
+    short = words.withColumn("start", F.substring("word", 1, LONGEST_START))
+    sizes = {r.n: r.c for r in short.groupBy(F.length("start").alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()}  # LONGEST_START rows at most
+    lengths = F.filter(F.array(*map(F.lit, sorted(sizes))).cast("array<int>"), lambda n: n <= F.length("token"))
+    starts = index.select(*doc, "token", F.explode(lengths).alias("n")).withColumn("start", F.substring(F.col("token"), F.lit(1), F.col("n")))
+    few = sum(sizes.values()) <= BROADCAST_WORDS
+    return starts.join(F.broadcast(short) if few else short, "start").filter(F.col("token").startswith(F.col("word"))).select("query_id", "word", *doc)
 
 
 def search_any_word(index: DataFrame, queries: DataFrame, doc: list[str], least: int = 2, prefix: bool = False) -> DataFrame:
@@ -54,9 +64,15 @@ def search_phrase(index: DataFrame, queries: DataFrame, doc: list[str]) -> DataF
     return found.groupBy("query_id", *doc, "start", "n").agg(F.countDistinct("at").alias("c")).filter("c = n").select("query_id", *doc).distinct()
 
 
+def matching_tags(tags: DataFrame, queries: DataFrame, prefix: bool = False) -> DataFrame:
+    """(query_id, tag): the distinct tags that have all words of a query."""
+    vocabulary = tags.select("tag").distinct().select("tag", F.explode(F.array_distinct(tokens(F.col("tag")))).alias("token"))
+    return search_all_words(vocabulary, queries, ["tag"], prefix)
+
+
 def search_tags(tags: DataFrame, queries: DataFrame, prefix: bool = False) -> DataFrame:
-    """(query_id, photo_id): all the words in one tag."""
-    return search_all_words(tag_tokens(tags), queries, ["photo_id", "tag"], prefix).select("query_id", "photo_id").distinct()
+    """(query_id, photo_id): all the words in one tag. Words meet each distinct tag once."""
+    return tags.select("photo_id", "tag").join(matching_tags(tags, queries, prefix), "tag").select("query_id", "photo_id").distinct()
 
 
 def search_tags_multi(tags: DataFrame, queries: DataFrame) -> DataFrame:
@@ -74,7 +90,7 @@ def search_tag_exact(tags: DataFrame, queries: DataFrame) -> DataFrame:
 def search_path(photos: DataFrame, queries: DataFrame) -> DataFrame:
     """Any word of two bytes or more as a start of a word of file name, folder or description. photos: photo_id, path, description."""
     text = F.concat_ws(" ", "path", F.coalesce("description", F.lit("")))
-    return search_any_word(token_table(photos.withColumn("_t", text), "photo_id", "_t", "path"), queries, ["doc"], prefix=True).withColumnRenamed("doc", "photo_id")
+    return search_any_word(photos.select("photo_id", F.explode(F.array_distinct(tokens(text))).alias("token")), queries, ["photo_id"], prefix=True)
 
 
 def search_description(descriptions: DataFrame, queries: DataFrame) -> DataFrame:
@@ -83,60 +99,81 @@ def search_description(descriptions: DataFrame, queries: DataFrame) -> DataFrame
 
 # --- query texts
 
-_PARTS = re.compile(r'(-|!)?(?:([a-z]+):("[^"]*"|\S+)|"([^"]*)"|(\S+))', re.I)
-_KNOWN = frozenset("tag folder in path year before to after from rating stars fav favorite media type ext person date".split())
-
-
-def parse_search(text: str) -> dict:
-    """must (groups of alternatives), phrases, must_not, fields and wildcards of one query text."""
-    out: dict = {"must": [], "phrases": [], "must_not": [], "fields": [], "wildcards": []}
-    joined = False
-    for no, field, value, phrase, word in _PARTS.findall(text or ""):
-        if field and field.lower() in _KNOWN:
-            out["fields"].append((("!" if no else "") + field.lower(), value.strip('"')))
-            continue
-        word = f"{field}:{value}" if field else word
-        if word == "OR" and not no:
-            joined = bool(out["must"])
-            continue
-        body = phrase or word
-        if not body.strip():
-            continue
-        if no:
-            out["must_not"].append(body.lower())
-        elif phrase:
-            out["phrases"].append(phrase.lower())
-        elif body.endswith("*") and len(body) > 1:
-            out["wildcards"].append(body[:-1].lower())
-        elif joined:
-            out["must"][-1].append(body.lower())
-        else:
-            out["must"].append([body.lower()])
-        joined = False
-    return out
-
-
-PARSED = "query_id long, must array<array<string>>, phrases array<string>, must_not array<string>, fields array<struct<field:string,value:string>>, wildcards array<string>"
-
-
-def parse_searches(queries: DataFrame) -> DataFrame:
-    """The parts of queries(query_id, text)."""
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                p = parse_search(text)
-                rows.append({"query_id": i, **p, "fields": [{"field": f, "value": v} for f, v in p["fields"]]})
-            kind = pa.schema([("query_id", pa.int64()), ("must", pa.list_(pa.list_(pa.string()))), ("phrases", pa.list_(pa.string())), ("must_not", pa.list_(pa.string())), ("fields", pa.list_(pa.struct([("field", pa.string()), ("value", pa.string())]))), ("wildcards", pa.list_(pa.string()))])
-            yield pa.RecordBatch.from_pylist(rows, schema=kind)
-
-    return queries.select(F.col("query_id").cast("long").alias("query_id"), "text").mapInArrow(run, PARSED)
+PARSED = "query_id long, words array<array<string>>, must array<array<string>>, phrases array<string>, must_not array<string>, fields array<struct<field:string,value:string>>, wildcards array<string>"
+
+
+def _parts(text: Column) -> Column:
+    """The parts of a query text in order: struct(kind, body, field, value)."""
+    raw = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r'(-?"[^"]*"?|-?[^\s"]+)'), 1)
+
+    def part(t: Column) -> Column:
+        no = t.startswith("-")
+        body = F.when(no, F.substring(t, F.lit(2), F.length(t))).otherwise(t)
+        quoted = body.startswith('"')
+        said = F.lower(F.when(quoted, F.trim(F.regexp_replace(body, '"', ""))).otherwise(body))
+        field, value = F.lower(F.regexp_extract(body, r"^([^:]+):", 1)), F.trim(F.regexp_extract(body, r"^[^:]+:(.+)$", 1))
+        kind = (
+            F.when(said == "", "nothing")
+            .when(~quoted & field.isin(*FIELDS, *OTHER_FIELDS) & (value != ""), "field")
+            .when(no, "not")
+            .when(quoted, "phrase")
+            .when(said == "or", "or")
+            .when(said == "and", "nothing")
+            .when(said.endswith("*") & (F.length(said) > 1), "start")
+            .otherwise("word")
+        )
+        return F.struct(kind.alias("kind"), said.alias("body"), F.concat(F.when(no, "!").otherwise(""), field).alias("field"), value.alias("value"))
+
+    return F.transform(raw, part)
+
+
+def parse_searches(queries: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """The parts of queries(query_id, text), in lower case.
+
+    words: groups of alternatives (`a or b`); must: the same with the words' forms; phrases: `"a b"`; must_not: `-a`,
+    `-"a b"`; fields: `key:value`, negated with `!` before the key, date words turned into days before or after, as of
+    today or `as_of`; wildcards: starts of words, from `a*`. Null text has no parts.
+    """
+    of = lambda kind: F.filter("parts", lambda p: p["kind"] == kind)
+    bodies = lambda kind: F.transform(of(kind), lambda p: p["body"])
+    none = F.array().cast("array<array<string>>")
+
+    def grouped(state: Column, p: Column) -> Column:
+        groups, word = state["groups"], F.array(p["body"])
+        head = lambda n: F.slice(groups, F.lit(1), F.greatest(n, F.lit(0)))
+        joined = F.concat(head(F.size(groups) - 1), F.array(F.concat(F.element_at(groups, -1), word)))
+        after = F.when(p["kind"] != "word", groups).when(state["or"] & (F.size(groups) > 0), joined).otherwise(F.concat(groups, F.array(word)))
+        return F.struct(after.alias("groups"), (p["kind"] == "or").alias("or"))
+
+    today = F.current_date() if as_of is None else as_of
+
+    def resolved(f: Column) -> Column:
+        span = date_keyword_range(f["value"], today)
+        end = lambda name, at: F.struct(F.lit(name).alias("field"), span[at].cast("string").alias("value"))
+        same = F.array(F.struct(f["field"].alias("field"), f["value"].alias("value")))
+        return (
+            F.when(span.isNull(), same)
+            .when(f["field"].isin("before", "to"), F.array(end("before", "end")))
+            .when(f["field"].isin("after", "from"), F.array(end("after", "start")))
+            .when(f["field"].isin("date", "year"), F.array(end("after", "start"), end("before", "end")))
+            .otherwise(same)
+        )
+
+    rows = queries.select(F.col("query_id").cast("long").alias("query_id"), _parts(F.col("text")).alias("parts"))
+    words = F.aggregate("parts", F.struct(none.alias("groups"), F.lit(False).alias("or")), grouped)["groups"]
+    rows = rows.withColumn("words", words)
+    return rows.select(
+        "query_id", "words",
+        F.transform("words", lambda g: F.array_distinct(F.flatten(F.transform(g, term_variants)))).alias("must"),
+        bodies("phrase").alias("phrases"), bodies("not").alias("must_not"),
+        F.flatten(F.transform(of("field"), resolved)).alias("fields"),
+        F.transform(bodies("start"), lambda w: F.regexp_replace(w, r"\*+$", "")).alias("wildcards"),
+    )
 
 
 def remove_stop_words(words: Column) -> Column:
-    """words without stop words, or all of them where nothing would be left."""
-    left = F.array_except(words, F.array(*map(F.lit, STOP_WORDS)))
+    """words without stop words in any case, or all of them where nothing would be left."""
+    left = F.filter(words, lambda w: ~F.lower(w).isin(*STOP_WORDS))
     return F.when(F.size(left) == 0, words).otherwise(left)
 
 
@@ -186,7 +223,7 @@ def relevance(must: str = "must", phrases: str = "phrases") -> Column:
     groups = F.aggregate(must, F.lit(0.0), lambda s, g: s + F.coalesce(F.array_max(F.transform(g, term)), F.lit(0.0)))
     extra = F.aggregate(phrases, F.lit(0.0), lambda s, p: s + phrase(p))
     rating = F.greatest(F.lit(0), F.least(F.coalesce("rating", F.lit(0)), F.lit(5)))
-    return groups + extra + F.least("tag_count", F.lit(20)) / 5.0 + F.when(F.col("favorite"), 1.0).otherwise(0.0) + rating
+    return groups + extra + F.floor(F.least("tag_count", F.lit(20)) / 5) + F.when(F.col("favorite"), 1.0).otherwise(0.0) + rating
 
 
 def exclude_terms(rows: DataFrame, must_not: str = "must_not") -> DataFrame:
@@ -220,97 +257,87 @@ def translate_terms(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     return whole.unionByName(lists.join(whole.select("query_id"), "query_id", "left_anti"))
 
 
+# fixed values: units of `3days`, in English and Turkish
+UNITS = {
+    "day": ("day", "days", "gun", "günler", "gün", "günü"),
+    "week": ("week", "weeks", "hafta", "haftalar"),
+    "month": ("month", "months", "ay", "aylar"),
+    "year": ("year", "years", "yil", "yıl", "yillar", "yıllar"),
+}
+
+
 def date_keyword_range(keyword: Column, as_of: Column) -> Column:
-    """struct(start, end) of a date word, null for other words. Months and years move to day 28 at most."""
-    k = F.regexp_replace(lower(F.trim(keyword)), r"[\s_-]+", "")
+    """struct(start, end) of a date word, null for other words. Months and years back move to day 28 at most."""
+    k = F.regexp_replace(lower(F.trim(keyword)), "_", "-")
     d = as_of.cast("date")
-    monday = F.trunc(d, "week")
-    number = F.try_to_number(F.regexp_extract(k, r"^(\d{1,4})(?:day|week|month|year)s?ago$", 1), F.lit("9999")).cast("int")
-    unit = F.regexp_extract(k, r"^\d{1,4}(day|week|month|year)s?ago$", 1)
-    capped = F.least(d, F.date_add(F.trunc(d, "month"), 27))
+    monday, month, year = F.trunc(d, "week"), F.trunc(d, "month"), F.trunc(d, "year")
+    counted = r"^(\d{1,6})-*([^\d-].*)$"
+    number, unit = F.regexp_extract(k, counted, 1).try_cast("int"), F.regexp_extract(k, counted, 2)
+    capped = F.least(d, F.date_add(month, 27))
     one = lambda a, b: F.struct(a.cast("date").alias("start"), b.cast("date").alias("end"))
     back = lambda months: F.add_months(capped, -months)
+    ago = F.when(unit.isin(*UNITS["day"]), F.date_sub(d, number)).when(unit.isin(*UNITS["week"]), F.date_sub(d, number * 7)).when(unit.isin(*UNITS["month"]), back(number)).when(unit.isin(*UNITS["year"]), back(number * 12))
     return (
-        F.when(k.isin("today", "bugün", "bugun"), one(d, d))
-        .when(k.isin("yesterday", "dün", "dun"), one(F.date_sub(d, 1), F.date_sub(d, 1)))
-        .when(k.isin("thisweek", "buhafta"), one(monday, F.date_add(monday, 6)))
-        .when(k.isin("lastweek", "geçenhafta", "gecenhafta"), one(F.date_sub(monday, 7), F.date_sub(monday, 1)))
-        .when(k.isin("thismonth", "buay"), one(F.trunc(d, "month"), F.last_day(d)))
-        .when(k.isin("lastmonth", "geçenay", "gecenay"), one(F.add_months(F.trunc(d, "month"), -1), F.date_sub(F.trunc(d, "month"), 1)))
-        .when(k.isin("thisyear", "buyıl", "buyil"), one(F.trunc(d, "year"), F.date_sub(F.add_months(F.trunc(d, "year"), 12), 1)))
-        .when(k.isin("lastyear", "geçenyıl", "gecenyil"), one(F.add_months(F.trunc(d, "year"), -12), F.date_sub(F.trunc(d, "year"), 1)))
-        .when(unit == "day", one(F.date_sub(d, number), F.date_sub(d, number)))
-        .when(unit == "week", one(F.date_sub(d, number * 7), F.date_sub(d, number * 7)))
-        .when(unit == "month", one(back(number), back(number)))
-        .when(unit == "year", one(back(number * 12), back(number * 12)))
+        F.when(k.isin("today", "bugun", "bugün"), one(d, d))
+        .when(k.isin("yesterday", "dun", "dün"), one(F.date_sub(d, 1), F.date_sub(d, 1)))
+        .when(k.isin("this-week", "thisweek", "bu-hafta", "buhafta"), one(monday, d))
+        .when(k.isin("last-week", "lastweek", "gecen-hafta", "geçen-hafta"), one(F.date_sub(monday, 7), F.date_sub(monday, 1)))
+        .when(k.isin("this-month", "thismonth", "bu-ay", "buay"), one(month, d))
+        .when(k.isin("last-month", "lastmonth", "gecen-ay", "geçen-ay"), one(F.add_months(month, -1), F.date_sub(month, 1)))
+        .when(k.isin("this-year", "thisyear", "bu-yil", "bu-yıl"), one(year, d))
+        .when(k.isin("last-year", "lastyear", "gecen-yil", "geçen-yıl"), one(F.add_months(year, -12), F.date_sub(year, 1)))
+        .when(ago.isNotNull(), one(ago, ago))
     )
 
 
 def row_condition(f: Column) -> Column:
     """Whether a photo row (with tags) meets a field of a parsed query: struct(field, value); `!` negates. Persons are joined apart."""
-    from .filters import FIELDS
-    from .ranking import extension
-    from .stats import taken
-
-    name, value = F.regexp_replace(f["field"], "^!", ""), F.lower(f["value"])
-    is_kind = lambda kind: name.isin(*[k for k, v in FIELDS.items() if v == kind])
-    day = taken().cast("string")
-    year = lambda at: F.try_to_number(F.regexp_extract(value, r"^(\d{4})(?:-(\d{4}))?$", at), F.lit("9999")).cast("int")
-    sign, number = F.regexp_extract(value, r"^(>=|<=|>|<|=)?", 1), F.regexp_extract(value, r"(-?\d+)$", 1).try_cast("int")
-    rated = F.coalesce("rating", F.lit(0))
-    stars = F.when(sign == ">=", rated >= number).when(sign == "<=", rated <= number).when(sign == ">", rated > number).when(sign == "<", rated < number).otherwise(rated == number)
-    met = (
-        F.when(is_kind("tag"), F.exists("tags", lambda t: F.lower(t).contains(value)))
-        .when(is_kind("folder"), F.lower(F.concat("folder", F.lit("/"), "path")).contains(value))
-        .when(is_kind("year"), F.year(taken()).between(year(1), F.coalesce(year(2), year(1))))
-        .when(is_kind("before"), taken().isNull() | (day < value))
-        .when(is_kind("after"), day >= value)
-        .when(is_kind("rating"), stars)
-        .when(is_kind("fav"), F.col("favorite") == value.isin("", "1", "true", "yes"))
-        .when(is_kind("media"), F.col("media_type") == value)
-        .when(is_kind("ext"), extension() == F.regexp_replace(value, r"^\.", ""))
-    )
-    negated = f["field"].startswith("!")
-    known = name.isin(*[k for k, v in FIELDS.items() if v != "person"])
-    return F.when(is_kind("person"), True).when(~known, ~negated).otherwise(F.when(negated, ~F.coalesce(met, F.lit(False))).otherwise(F.coalesce(met, F.lit(False))))
+    name, negated = F.regexp_replace(f["field"], "^!", ""), f["field"].startswith("!")
+    met = field_met(name, f["value"])
+    return F.when(name == "person", True).when(negated, ~met).otherwise(met)
 
 
-def search(queries: DataFrame, photos: DataFrame, tags: DataFrame, synonyms: DataFrame, persons: DataFrame | None = None, limit: int = 500) -> DataFrame:
+def search(queries: DataFrame, photos: DataFrame, tags: DataFrame, synonyms: DataFrame, persons: DataFrame | None = None, limit: int = 500, as_of: Column | None = None, candidate_cap: int = 200) -> DataFrame:
     """(query_id, photo_id, score, rank) of queries(query_id, text).
 
     photos: summaries with tags, tag_count, folder, path, description, media_type, favorite, rating, private, created_at,
-    date_taken. Every group of alternatives (with synonyms and word forms) and every start of a word (`sea*`) must be met
-    by tags, path or description; a query whose words hit nothing falls back to tags near in spelling; one of fields only
-    takes all photos. Fields and excluded terms drop photos; results are ordered by relevance.
+    date_taken. Every group of alternatives (with synonyms and word forms; stop words alone make none) and every start of
+    a word (`sea*`) must be met by tags, path or description; a query whose words hit nothing falls back to tags near in
+    spelling; one of fields only takes all photos. Fields and excluded terms drop photos; several names of a person,
+    with commas, are alternatives; results are ordered by relevance.
     """
-    parsed = parse_searches(queries)
-    groups = parsed.select("query_id", F.posexplode(F.col("must")).alias("group_id", "alts")).select("query_id", "group_id", F.explode("alts").alias("term"))
-    groups = groups.filter(~F.col("term").isin(*STOP_WORDS)).unionByName(parsed.select("query_id", F.posexplode("phrases").alias("g", "term")).select("query_id", (F.col("g") + 10_000).alias("group_id"), "term"))
+    parsed = parse_searches(queries, as_of)
+    said = F.transform("words", lambda g: F.filter(g, lambda w: ~w.isin(*STOP_WORDS)))
+    content = F.when(F.exists(said, lambda g: F.size(g) > 0), said).otherwise(F.col("words"))
+    groups = parsed.select("query_id", F.posexplode(content).alias("group_id", "alts")).select("query_id", "group_id", F.explode("alts").alias("term"))
+    groups = groups.unionByName(parsed.select("query_id", F.posexplode("phrases").alias("g", "term")).select("query_id", (F.col("g") + 10_000).alias("group_id"), "term"))
     wide = expand_synonyms(groups, synonyms).select("query_id", "group_id", F.explode(term_variants(F.col("expansion"))).alias("text"))
     # each (query, group, variant) is a small query of its own
-    keyed = wide.distinct().withColumn("_q", F.struct("query_id", "group_id", "text"))
-    as_queries = keyed.select(F.col("_q").alias("query_id"), "text")
+    as_queries = wide.distinct().select(F.struct("query_id", "group_id", "text").alias("query_id"), "text")
     visible = photos.filter(~F.col("private"))
-    by_tag = search_tags(tags, as_queries)
-    by_path = search_path(visible.select("photo_id", "path", "description"), as_queries)
-    hits = by_tag.unionByName(by_path).select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.group_id").alias("group_id"), "photo_id").distinct()
     wild = parsed.select("query_id", F.posexplode("wildcards").alias("g", "text")).select("query_id", (F.col("g") + 20_000).alias("group_id"), "text")
-    starts = search_tags(tags, wild.select(F.struct("query_id", "group_id").alias("query_id"), "text"), prefix=True)
-    hits = hits.unionByName(starts.select("query_id.query_id", "query_id.group_id", "photo_id"))
+    met = lambda found: found.select("query_id.query_id", "query_id.group_id", "tag")
+    met_tags = met(matching_tags(tags, as_queries)).unionByName(met(matching_tags(tags, wild.select(F.struct("query_id", "group_id").alias("query_id"), "text"), prefix=True)))
+    by_tag = tags.select("photo_id", "tag").join(met_tags.distinct(), "tag").select("query_id", "group_id", "photo_id")
+    by_path = search_path(visible.select("photo_id", "path", "description"), as_queries).select("query_id.query_id", "query_id.group_id", "photo_id")
+    hits = by_tag.unionByName(by_path).distinct()
     need = groups.select("query_id", "group_id").unionByName(wild.select("query_id", "group_id")).groupBy("query_id").agg(F.countDistinct("group_id").alias("need"))
-    full = hits.groupBy("query_id", "photo_id").agg(F.countDistinct("group_id").alias("have")).join(need, "query_id").filter("have = need").select("query_id", "photo_id")
+    full = cut(hits.groupBy("query_id", "photo_id").agg(F.count(F.lit(1)).alias("have")).join(need, "query_id").filter("have = need").select("query_id", "photo_id"))
     none = groups.join(full.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "term").distinct()
-    fuzzy = tags.select("photo_id", F.lower("tag").alias("tag")).join(fuzzy_tags(tags, none).select("query_id", "tag").distinct(), "tag").select("query_id", "photo_id")
-    bare = parsed.filter(F.size("fields") > 0).join(need.select("query_id"), "query_id", "left_anti").select("query_id")
-    of_fields = visible.select("photo_id").crossJoin(F.broadcast(bare)) if bare.limit(1).count() else full.limit(0).select("photo_id", "query_id")
-    found = full.unionByName(fuzzy).unionByName(of_fields.select("query_id", "photo_id")).distinct()
-    rows = visible.join(found, "photo_id").join(parsed.select("query_id", "must", "phrases", "must_not", "fields"), "query_id")
-    rows = exclude_terms(rows.filter(F.forall("fields", row_condition))).withColumn("score", relevance())
+    fuzzy = tags.select("photo_id", F.lower("tag").alias("tag")).join(fuzzy_tags(tags, none, candidate_cap).select("query_id", "tag").distinct(), "tag").select("query_id", "photo_id")
+    found = full.unionByName(fuzzy).distinct()
+    rows = visible.join(found, "photo_id").join(parsed.select("query_id", "must", "phrases", "must_not", "fields"), "query_id").filter(F.forall("fields", row_condition))
+    bare = parsed.filter(F.size("fields") > 0).join(need.select("query_id"), "query_id", "left_anti").select("query_id", "must", "phrases", "must_not", "fields")
+    if not bare.isEmpty():  # each of these asks every photo
+        rows = rows.unionByName(visible.join(bare, F.forall("fields", row_condition)).select(*rows.columns))
+    rows = exclude_terms(rows).withColumn("score", relevance())
     if persons is not None:
         who = persons.select("photo_id", F.lower("name").alias("name"))
-        asked = parsed.select("query_id", F.explode("fields").alias("f")).filter("f.field = 'person'").select("query_id", F.lower("f.value").alias("who"))
-        ok = asked.join(who, F.col("name").contains(F.col("who"))).select("query_id", "photo_id").distinct()
-        free = rows.join(asked.select("query_id").distinct(), "query_id", "left_anti")
+        asked = parsed.select("query_id", F.posexplode("fields").alias("n", "f")).filter("f.field = 'person'").select("query_id", "n", F.split(F.lower("f.value"), r"\s*,\s*").alias("who"))
+        ok = asked.join(who, F.exists("who", lambda w: (w != "") & F.col("name").contains(w))).select("query_id", "n", "photo_id").distinct()
+        every = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("of"))
+        ok = ok.groupBy("query_id", "photo_id").agg(F.count(F.lit(1)).alias("c")).join(every, "query_id").filter("c = of")
+        free = rows.join(every.select("query_id"), "query_id", "left_anti")
         rows = free.unionByName(rows.join(ok, ["query_id", "photo_id"], "left_semi"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "photo_id")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("query_id", "photo_id", "score", "rank")

@@ -55,12 +55,12 @@ def _(lib):
     return L.smart_collection(lib.photos, lib.tags, [{"field": "status", "operator": "not_equals", "value": "tagged"}, {"field": "folder", "operator": "equals", "value": "/lib/5-LOW"}], strict_ops=True).select("photo_id")
 
 
-@query("field_filter", f"""SELECT photo_id FROM photos WHERE year({T}) BETWEEN 1994 AND 1996 AND coalesce(rating, 0) >= 3 AND NOT favorite AND path LIKE '%.jpg' AND photo_id NOT IN (SELECT photo_id FROM tags WHERE lower(tag) LIKE '%plate%')""", ("photos", "tags"))
+@query("field_filter", f"""SELECT photo_id FROM photos WHERE year(date_taken) BETWEEN 1994 AND 1996 AND coalesce(rating, 0) >= 3 AND NOT favorite AND path LIKE '%.jpg' AND photo_id NOT IN (SELECT photo_id FROM tags WHERE lower(tag) LIKE '%plate%')""", ("photos", "tags"))
 def _(lib):
-    return L.field_filter(L.photo_summary(lib.photos, lib.tags, 1_000_000), [("year", "1994-1996"), ("rating", ">=3"), ("!fav", ""), ("ext", ".JPG"), ("!tag", "Plate")]).select("photo_id")
+    return L.field_filter(L.photo_summary(lib.photos, lib.tags, 1_000_000), [("year", "1994-1996"), ("rating", ">=3"), ("!fav", "On"), ("ext", "JPG"), ("!tag", "Plate")]).select("photo_id")
 
 
-@query("field_filter_person", f"""SELECT photo_id FROM photos WHERE CAST({T} AS VARCHAR) < '1997' AND media_type = 'image' AND photo_id NOT IN (SELECT photo_id FROM faces JOIN persons USING (person_id) WHERE lower(name) LIKE '%person 3%')""", ("photos", "faces", "persons"))
+@query("field_filter_person", f"""SELECT photo_id FROM photos WHERE coalesce(CAST(date_taken AS VARCHAR), '') <= '1997' AND media_type = 'image' AND photo_id NOT IN (SELECT photo_id FROM faces JOIN persons USING (person_id) WHERE lower(name) LIKE '%person 3%')""", ("photos", "faces", "persons"))
 def _(lib):
     named = lib.faces.join(lib.persons, "person_id").select("photo_id", "name")
     return L.field_filter(L.photo_summary(lib.photos, lib.tags), [("before", "1997"), ("media", "image"), ("!person", "person 3")], named).select("photo_id")
@@ -160,6 +160,16 @@ def _(lib):
     return L.faces_to_scan(lib.photos, lib.faces, lib.tags, "/lib/2-HIGH", ("red plate", "hot ring")).select("photo_id", "first")
 
 
+ART = "Painting,drawing,CARTOON,illustration,anime,manga,comic,comic book,sculpture,statue,artwork,digital art,concept art,pencil drawing,ink drawing,oil painting,watercolor,sketch,poster,graffiti,resim,çizim,karikatür,illüstrasyon,heykel,tablo,sanat eseri,çizgi film,çizgi roman,suluboya,yağlı boya,eskiz,render,portrait,photo,old painting,drawings,art,book,film"
+
+
+@query("faces_to_scan_art", f"SELECT photo_id FROM photos WHERE NOT private AND photo_id NOT IN (SELECT photo_id FROM faces) AND photo_id NOT IN (SELECT photo_id FROM tags) AND string_split('{ART}', ',')[CAST(photo_id % {ART.count(',') + 1} AS INT) + 1] IN ('render', 'portrait', 'photo', 'old painting', 'drawings', 'art', 'book', 'film') UNION ALL SELECT photo_id FROM photos WHERE NOT private AND photo_id NOT IN (SELECT photo_id FROM faces) AND photo_id IN (SELECT photo_id FROM tags)", ("photos", "faces", "tags"))
+def _(lib):
+    word = F.element_at(F.split(F.lit(ART), ","), (F.col("photo_id") % (ART.count(",") + 1) + 1).cast("int"))
+    art = lib.photos.join(lib.tags.select("photo_id"), "photo_id", "left_anti").select("photo_id", word.alias("tag"))
+    return L.faces_to_scan(lib.photos, lib.faces, art.unionByName(lib.tags.select("photo_id", "tag"))).select("photo_id")
+
+
 @query("blurry_photos", "SELECT photo_id, blur_score FROM photos WHERE NOT private AND blur_score < 300 AND NOT favorite AND coalesce(rating, 0) < 3 AND photo_id NOT IN (SELECT photo_id FROM tags) AND photo_id NOT IN (SELECT photo_id FROM faces WHERE assignment = 'named') AND photo_id NOT IN (SELECT photo_id FROM collection_photos)")
 def _(lib):
     return L.blurry_photos(lib.photos, lib.tags, lib.faces, lib.collection_photos, 300).select("photo_id", "blur_score")

@@ -25,11 +25,55 @@ def library(lib):
     return lib.photos.filter("photo_id % 8 <> 0")
 
 
-@query("classify_media", "SELECT photo_id, CASE WHEN path LIKE '%.mp4' THEN 'video' WHEN path LIKE '%.cr2' THEN 'raw' ELSE 'image' END AS kind FROM photos", ("photos",))
+NAMES = "jpg jpeg png webp gif bmp tiff tif heic heif avif tga ico pnm pbm pgm ppm dds qoi cr2 cr3 nef arw dng srf sr2 orf rw2 raf pef raw mp4 mov avi mkv wmv flv webm m4v 3gp mts m2ts jfif jp2 psd svg jxl srw nrw x3f 3fr mpg mpeg txt MP4 Nef"
+NAMED = f"named AS (SELECT photo_id, folder || '/f' || photo_id || '.' || string_split('{NAMES}', ' ')[CAST(photo_id % {len(NAMES.split())} AS INT) + 1] AS path FROM photos)"
+
+
+def named(lib):
+    """The photos under names of every extension that is told apart, and of some that are not."""
+    ext = F.element_at(F.split(F.lit(NAMES), " "), (F.col("photo_id") % len(NAMES.split()) + 1).cast("int"))
+    return lib.photos.select("photo_id", F.concat("folder", F.lit("/f"), "photo_id", F.lit("."), ext).alias("path"))
+
+
+@query("classify_media", f", {NAMED} SELECT photo_id, CASE WHEN regexp_matches(lower(path), '[.](mp4|mov|avi|mkv|wmv|flv|webm|m4v|3gp|mts|m2ts)$') THEN 'video' WHEN regexp_matches(lower(path), '[.](cr2|cr3|nef|arw|dng|srf|sr2|orf|rw2|raf|pef|raw)$') THEN 'raw' ELSE 'image' END AS kind FROM named", ("photos",))
 def _(lib):
     from ..sources.media import classify_media
 
-    return lib.photos.select("photo_id", classify_media().alias("kind"))
+    return named(lib).select("photo_id", classify_media().alias("kind"))
+
+
+@query("media_files", f", {NAMED} SELECT photo_id, path FROM named WHERE NOT regexp_matches(path, '[.](jfif|jp2|psd|svg|jxl|srw|nrw|x3f|3fr|mpg|mpeg|txt)$')", ("photos",))
+def _(lib):
+    from ..sources.media import only_media
+
+    return only_media(named(lib))
+
+
+@query("format_priority", f", {NAMED} SELECT photo_id, CASE WHEN regexp_matches(lower(path), '[.](cr2|cr3|nef|arw|dng|orf|rw2|raf|pef|srw|x3f|3fr)$') THEN 800 WHEN regexp_matches(path, '[.](heic|heif|avif)$') THEN 500 WHEN path LIKE '%.png' THEN -50 WHEN regexp_matches(path, '[.](bmp|tif|tiff)$') THEN -200 ELSE 0 END AS points FROM named", ("photos",))
+def _(lib):
+    from ..operators.ranking import format_priority
+
+    return named(lib).select("photo_id", format_priority().alias("points"))
+
+
+@query("resume_scan", f", {LIST} SELECT photo_id FROM l WHERE photo_id % 3 <> 0 OR photo_id % 5 = 0", ("photos",))
+def _(lib):
+    files = listing(lib)
+    done = files.filter("photo_id % 3 = 0").withColumn("length", F.when(F.col("photo_id") % 5 == 0, F.col("length") + 1).otherwise(F.col("length")))
+    return I.resume_scan(files, done).select("photo_id")
+
+
+@query("scan_checkpoint", f", {LIST} SELECT regexp_replace(path, '/[^/]*$', '') AS folder, max(path) FILTER (photo_id % 3 = 0) AS last_path, count(*) FILTER (photo_id % 3 = 0) AS processed, count(*) AS total FROM l GROUP BY 1", ("photos",))
+def _(lib):
+    return I.scan_checkpoint(listing(lib), listing(lib).filter("photo_id % 3 = 0"))
+
+
+@query("watch_state", f", {LIST} SELECT folder AS path, greatest(max(modificationTime), DATE '2002-06-01') AS last_checked FROM (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, * FROM l WHERE photo_id % 4 IN (0, 2)) WHERE folder IN ('/lib/1-URGENT', '/lib/5-LOW') GROUP BY 1 UNION ALL SELECT '/none', NULL", ("photos",))
+def _(lib):
+    from ..streaming.watch import watch_state
+
+    watch = lib.spark.createDataFrame([("/lib/1-URGENT", dt.date(2002, 6, 1)), ("/lib/5-LOW", dt.date(2002, 6, 1)), ("/none", None)], "path string, last_checked date")
+    return watch_state(watch, listing(lib))
 
 
 @query("content_hash", "SELECT doc_id, 'sha2:' || sha256(text) AS hash FROM documents WHERE text IS NOT NULL", None)

@@ -63,25 +63,47 @@ def _(lib):
     return H.search_description(lib.descriptions, asked(lib, [(1, "thonou schber x")]))
 
 
-@query("parse_searches")
+@query("parse_searches", """SELECT photo_id, tag, w[1] || ' & ' || w[2] || '|dishes & zoom:3' AS words, w[1] || ' & ' || w[2] || '|dishes|dish & zoom:3' AS must, tag AS phrases, 'old;not so' AS must_not, 'before=2020;!fav=1;after=2024-02-01;before=2024-02-29;before=2023-12-15;after=2024-03-11;lens=50mm;!date=today' AS fields, 'pla' AS wildcards FROM (SELECT *, string_split(tag, ' ') AS w FROM tags)""", ("tags",))
 def _(lib):
-    t = lib.tags.select("photo_id", F.concat(F.col("tag"), F.lit(' OR dish "'), F.col("tag"), F.lit('" -old year:2020 !fav:1 pla*')).alias("text"))
-    return H.parse_searches(t.withColumnRenamed("photo_id", "query_id"))
+    said = F.concat(F.col("tag"), F.lit(' Or Dishes "'), F.col("tag"), F.lit('"-OLD before:2020 AND -Fav:1 date:last-month to:3months from:this_week lens:50mm -date:today zoom:3 Pla** - "" -"not so" or'))
+    keyed = lib.tags.select("photo_id", "tag", F.xxhash64("photo_id", "tag").alias("query_id"), said.alias("text"))
+    lists = lambda c: F.array_join(F.transform(c, lambda g: F.array_join(g, "|")), " & ")
+    out = H.parse_searches(keyed, F.lit("2024-03-15"))
+    flat = out.select("query_id", lists("words").alias("words"), lists("must").alias("must"), *[F.array_join(c, ";").alias(c) for c in ("phrases", "must_not", "wildcards")], F.array_join(F.transform("fields", lambda f: F.concat(f["field"], F.lit("="), f["value"])), ";").alias("fields"))
+    return keyed.select("query_id", "photo_id", "tag").join(flat, "query_id").drop("query_id")
 
 
-@query("search")
+def _any(words):
+    tags, starts = ", ".join(f"'{w}'" for w in words), "|".join(words)
+    return f"(photo_id IN (SELECT photo_id FROM tags WHERE len(list_intersect(string_split(tag, ' '), [{tags}])) > 0) OR len(list_filter(toks, lambda t: regexp_matches(t, '^({starts})'))) > 0)"
+
+
+def _best(words):
+    one = lambda w: f"CASE WHEN list_contains(tags[1:3], '{w}') THEN 8 WHEN list_contains(tags, '{w}') THEN 6 WHEN len(list_filter(tags, lambda t: starts_with(t, '{w}'))) > 0 THEN 5 WHEN len(list_filter(tags, lambda t: contains(t, '{w}'))) > 0 THEN 4 WHEN contains(lower(path), '{w}') THEN 1 ELSE 0 END"
+    return f"greatest({', '.join(map(one, words))})"
+
+
+SEEN = "seen AS (SELECT photo_id, path, favorite, least(greatest(coalesce(rating, 0), 0), 5) + CASE WHEN favorite THEN 1 ELSE 0 END + least(coalesce(n, 0), 20) // 5 AS extra, coalesce(tags, []) AS tags, regexp_extract_all(strip_accents(lower(path || ' ' || coalesce(description, ''))), '[\\p{L}\\p{N}]+') AS toks FROM photos LEFT JOIN (SELECT photo_id, count(*) n, list_sort(list(tag))[1:10] AS tags FROM tags GROUP BY 1) USING (photo_id) LEFT JOIN descriptions USING (photo_id) WHERE NOT private)"
+
+
+@query("search", f""", {SEEN}, hit AS (SELECT CAST(1 AS BIGINT) query_id, photo_id, {_best(['red'])} + {_best(['plates', 'plat'])} + extra AS score FROM seen WHERE {_any(['red'])} AND {_any(['plate', 'plat', 'dish', 'plates'])} AND NOT contains(path, '5') AND len(list_filter(tags, lambda t: contains(t, '5'))) = 0
+UNION ALL SELECT 2, photo_id, {_best(['dish', 'rod'])} + extra FROM seen WHERE {_any(['plate', 'plat', 'dish', 'rod', 'pole', 'plates'])}
+UNION ALL SELECT 3, photo_id, extra FROM seen WHERE photo_id IN (SELECT photo_id FROM tags WHERE tag = 'small widget'))
+SELECT * FROM (SELECT query_id, photo_id, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, photo_id) AS rank FROM hit) WHERE rank <= 500""", ("photos", "tags", "descriptions"))
 def _(lib):
     photos = photo_summary(lib.photos, lib.tags).join(lib.descriptions, "photo_id", "left")
-    return H.search(asked(lib, [(1, "red plate -5"), (2, "dish OR rod"), (3, "smal widgett")]), photos, lib.tags, lib.spark.createDataFrame(SYNONYMS, "group_id int, term string"))
+    texts = [(1, "red the Plates -5"), (2, "dish OR rod"), (3, '"smal widgett"')]
+    out = H.search(asked(lib, texts), photos, lib.tags, lib.spark.createDataFrame([*SYNONYMS, (1, "plates")], "group_id int, term string"))
+    return out.select("query_id", "photo_id", F.col("score").cast("double").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 FOUND = "SELECT CAST({} AS BIGINT) query_id, photo_id FROM photos WHERE NOT private AND photo_id IN (SELECT photo_id FROM tags WHERE {}) AND {}"
 
 
-@query("search_fields", f"""{FOUND.format(1, "tag IN ('red plate', 'plate red') OR tag LIKE '%plate%'", "year(coalesce(date_taken, created_at)) = 1995 AND coalesce(rating, 0) >= 3")} UNION ALL {FOUND.format(2, "tag LIKE 'wid%' OR tag LIKE '% wid%'", "NOT favorite AND media_type = 'image' AND photo_id NOT IN (SELECT photo_id FROM tags WHERE tag LIKE '%hot%')")} UNION ALL SELECT 3, photo_id FROM photos WHERE NOT private AND path LIKE '%.png' AND folder = '/lib/5-LOW'""", ("photos", "tags"))
+@query("search_fields", f"""{FOUND.format(1, "tag IN ('red plate', 'plate red') OR tag LIKE '%plate%'", "year(date_taken) = 1995 AND coalesce(rating, 0) >= 3")} UNION ALL {FOUND.format(2, "tag LIKE 'wid%' OR tag LIKE '% wid%'", "NOT favorite AND media_type = 'image' AND photo_id NOT IN (SELECT photo_id FROM tags WHERE tag LIKE '%hot%')")} UNION ALL SELECT 3, photo_id FROM photos WHERE NOT private AND path LIKE '%.png' AND folder = '/lib/5-LOW'""", ("photos", "tags"))
 def _(lib):
     photos = photo_summary(lib.photos, lib.tags, 1_000_000).withColumn("description", F.lit(None).cast("string"))
-    texts = [(1, "plate year:1995 rating:>=3"), (2, "wid* !fav:1 type:IMAGE -hot"), (3, "ext:.png in:5-low")]
+    texts = [(1, "plate year:1995 rating:>=3"), (2, "wid* -fav:1 type:IMAGE -hot"), (3, "ext:png in:5-low")]
     none = lib.spark.createDataFrame([], "group_id int, term string")
     return H.search(asked(lib, texts), photos, lib.tags, none, limit=1_000_000_000).select("query_id", "photo_id")
 
@@ -103,7 +125,7 @@ def _(lib):
 
 
 @query("relevance", """SELECT photo_id, round(CASE WHEN list_contains(tags[1:3], 'red plate') THEN 8 WHEN list_contains(tags, 'red plate') THEN 6 WHEN path LIKE '%red plate%' THEN 1 ELSE 0 END + CASE WHEN len(list_filter(tags, lambda t: t LIKE '%hot%')) > 0 THEN CASE WHEN list_contains(tags, 'hot') THEN 6 WHEN len(list_filter(tags, lambda t: starts_with(t, 'hot'))) > 0 THEN 5 ELSE 4 END ELSE 0 END
- + least(n, 20) / 5.0E0 + CASE WHEN favorite THEN 1 ELSE 0 END + greatest(0, least(coalesce(rating, 0), 5)), 4) AS score FROM photos JOIN (SELECT photo_id, count(*) n, list_sort(list(tag))[1:10] AS tags FROM tags GROUP BY 1) USING (photo_id)""", ("photos", "tags"))
+ + least(n, 20) // 5 + CASE WHEN favorite THEN 1 ELSE 0 END + greatest(0, least(coalesce(rating, 0), 5)), 4) AS score FROM photos JOIN (SELECT photo_id, count(*) n, list_sort(list(tag))[1:10] AS tags FROM tags GROUP BY 1) USING (photo_id)""", ("photos", "tags"))
 def _(lib):
     rows = photo_summary(lib.photos, lib.tags).filter("tag_count > 0").withColumn("must", F.array(F.array(F.lit("red plate")), F.array(F.lit("hot")))).withColumn("phrases", F.array().cast("array<string>"))
     return rows.select("photo_id", F.round(H.relevance(), 4).alias("score"))
@@ -120,21 +142,29 @@ def _(lib):
     return H.context_rerank(rows).select("query_id", "photo_id", F.col("context_score").cast("long").alias("context_score"))
 
 
-@query("translate_terms")
+@query("translate_terms", "SELECT photo_id || '|' || tag AS query_id, CASE WHEN tag = 'red plate' THEN ['kırmızı'] WHEN tag = 'hot ring' THEN ['sıcak', 'yüzük'] WHEN tag LIKE '% ring' THEN ['halka'] ELSE ['sıcak'] END AS terms FROM tags WHERE tag = 'red plate' OR tag LIKE '% ring' OR tag LIKE 'hot %'", ("tags",))
 def _(lib):
     d = lib.spark.createDataFrame([("red plate", "kırmızı", None), ("hot", "sıcak", None), ("ring", "yüzük", ["hot"]), ("ring", "halka", None)], "source string, target string, context array<string>")
-    return H.translate_terms(lib.tags.select(F.xxhash64("photo_id", "tag").alias("query_id"), F.col("tag").alias("text")), d)
+    return H.translate_terms(lib.tags.select(F.concat_ws("|", "photo_id", "tag").alias("query_id"), F.col("tag").alias("text")), d)
+
+
+DAYS = ["yesterday", "Last-Week", "bu_ay", "2weeks", "whenever", "6aylar", "1-year", "this-year", "today", "geçen-ay", "last month"]
 
 
-@query("date_keyword_range", """SELECT photo_id, CASE photo_id % 5 WHEN 0 THEN created_at - 1 WHEN 1 THEN CAST(date_trunc('week', created_at) AS DATE) - 7 WHEN 2 THEN CAST(date_trunc('month', created_at) AS DATE) WHEN 3 THEN created_at - 14 END AS s, CASE photo_id % 5 WHEN 0 THEN created_at - 1 WHEN 1 THEN CAST(date_trunc('week', created_at) AS DATE) - 1 WHEN 2 THEN last_day(created_at) WHEN 3 THEN created_at - 14 END AS e FROM photos""", ("photos",))
+@query("date_keyword_range", f"""SELECT photo_id, CASE k WHEN 0 THEN d - 1 WHEN 1 THEN CAST(date_trunc('week', d) AS DATE) - 7 WHEN 2 THEN CAST(date_trunc('month', d) AS DATE) WHEN 3 THEN d - 14 WHEN 5 THEN c - INTERVAL 6 MONTH WHEN 6 THEN c - INTERVAL 1 YEAR WHEN 7 THEN CAST(date_trunc('year', d) AS DATE) WHEN 8 THEN d WHEN 9 THEN CAST(date_trunc('month', d) AS DATE) - INTERVAL 1 MONTH END::DATE AS s,
+CASE k WHEN 0 THEN d - 1 WHEN 1 THEN CAST(date_trunc('week', d) AS DATE) - 1 WHEN 2 THEN d WHEN 3 THEN d - 14 WHEN 5 THEN c - INTERVAL 6 MONTH WHEN 6 THEN c - INTERVAL 1 YEAR WHEN 7 THEN d WHEN 8 THEN d WHEN 9 THEN CAST(date_trunc('month', d) AS DATE) - 1 END::DATE AS e
+FROM (SELECT photo_id, photo_id % {len(DAYS)} AS k, created_at AS d, least(created_at, CAST(date_trunc('month', created_at) AS DATE) + 27) AS c FROM photos)""", ("photos",))
 def _(lib):
-    k = F.element_at(F.array(*map(F.lit, ("yesterday", "Last Week", "bu ay", "2weeks_ago", "whenever"))), (F.col("photo_id") % 5 + 1).cast("int"))
+    k = F.element_at(F.array(*map(F.lit, DAYS)), (F.col("photo_id") % len(DAYS) + 1).cast("int"))
     return lib.photos.select("photo_id", H.date_keyword_range(k, F.col("created_at")).alias("r")).select("photo_id", F.col("r.start").alias("s"), F.col("r.end").alias("e"))
 
 
-@query("stop_words", "SELECT tag, CASE WHEN tag LIKE 'red %' THEN string_split(tag, ' ') ELSE ['the', 'of'] END AS w FROM (SELECT DISTINCT tag FROM tags)", ("tags",))
+SAID = "The a an in on at of by to for with is are was were be been from and or but this that these those into over after under about between through up out its it as all both than too also some any my your our his her their I we you he she they show find photo photos picture near no not me has have there cat"
+
+
+@query("stop_words", f"SELECT tag, CASE WHEN tag LIKE 'red %' THEN list_concat(string_split(tag, ' '), ['show', 'find', 'photo', 'photos', 'picture', 'near', 'no', 'not', 'me', 'has', 'have', 'there', 'cat']) ELSE ['the', 'OF', 'the'] END AS w FROM (SELECT DISTINCT tag FROM tags)", ("tags",))
 def _(lib):
-    words = F.when(F.col("tag").startswith("red "), F.concat(F.array(F.lit("the")), F.split("tag", " "))).otherwise(F.array(F.lit("the"), F.lit("of")))
+    words = F.when(F.col("tag").startswith("red "), F.concat(F.split("tag", " "), F.split(F.lit(SAID), " "))).otherwise(F.array(F.lit("the"), F.lit("OF"), F.lit("the")))
     return lib.tags.select("tag").distinct().select("tag", H.remove_stop_words(words).alias("w"))
 
 

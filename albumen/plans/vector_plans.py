@@ -128,7 +128,10 @@ def _(lib):
     return A.assign_to_clusters(lib.faces.filter("assignment = 'unassigned'"), c, 1.25, eps=1.2)
 
 
-@query("nms_boxes")
+@query("nms_boxes", """, b AS (SELECT photo_id // 30 AS photo_id, face_id, x1, y1, x2, y2, face_id * 7919 % 1000 / 1000.0E0 AS score FROM faces), r AS (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY score DESC, face_id) AS n FROM b),
+k AS (SELECT photo_id, n, [{'face_id': face_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'score': score}] AS kept FROM r WHERE n = 1
+UNION ALL SELECT r.photo_id, r.n, CASE WHEN len(list_filter(list_transform(k.kept, lambda q: {'i': greatest(0, least(q.x2, r.x2) - greatest(q.x1, r.x1)) * greatest(0, least(q.y2, r.y2) - greatest(q.y1, r.y1)), 'a': (q.x2 - q.x1) * (q.y2 - q.y1) + (r.x2 - r.x1) * (r.y2 - r.y1)}), lambda o: o.i / greatest(o.a - o.i, 1e-9) > 0.4)) > 0 THEN k.kept ELSE list_append(k.kept, {'face_id': r.face_id, 'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2, 'score': r.score}) END FROM k JOIN r ON r.photo_id = k.photo_id AND r.n = k.n + 1)
+SELECT photo_id, q.face_id, q.x1, q.y1, q.x2, q.y2, q.score FROM (SELECT photo_id, unnest(arg_max(kept, n)) AS q FROM k GROUP BY 1)""", ("faces",))
 def _(lib):
     f = lib.faces.select((F.col("photo_id") / 30).cast("long").alias("photo_id"), "face_id", "x1", "y1", "x2", "y2", (F.col("face_id") * 7919 % 1000 / 1000.0).alias("score"))
     return A.nms(f)

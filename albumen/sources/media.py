@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values
-IMAGE = ("jpg", "jpeg", "png", "gif", "bmp", "tif", "tiff", "webp", "heic", "heif", "avif", "jfif", "ico", "jp2", "psd", "svg", "tga", "ppm", "jxl")
-RAW = ("cr2", "cr3", "nef", "arw", "dng", "raf", "orf", "rw2", "pef", "srw", "raw", "nrw")
-VIDEO = ("mp4", "mov", "avi", "mkv", "wmv", "flv", "webm", "m4v", "mpg", "mpeg", "3gp")
+IMAGE = ("jpg", "jpeg", "png", "webp", "gif", "bmp", "tiff", "tif", "heic", "heif", "avif", "tga", "ico", "pnm", "pbm", "pgm", "ppm", "dds", "qoi")
+RAW = ("cr2", "cr3", "nef", "arw", "dng", "srf", "sr2", "orf", "rw2", "raf", "pef", "raw")
+VIDEO = ("mp4", "mov", "avi", "mkv", "wmv", "flv", "webm", "m4v", "3gp", "mts", "m2ts")
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 

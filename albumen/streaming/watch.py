@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.faces import cut
 from ..operators.filters import prefix_match, touch_watch_folders
 from ..operators.ingest import ingest_new_files
+from ..operators.iterate import cut
 from ..sources.media import SCHEMA, classify_media, content_hash, only_media
 
 
@@ -74,11 +74,15 @@ def changes_since(state: DataFrame, cursor) -> DataFrame:
 
 
 def merge_stream(changes: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the merged state of a change stream, a version for each batch, under state_path."""
+    """Keeps the merged state of a change stream under state_path: a version for the last batch and for the one before,
+    which a batch that is run again starts from."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = spark.read.schema(batch.schema).parquet(f"{state_path}/v{batch_id - 1}") if batch_id else spark.createDataFrame([], batch.schema)
         merge_changes(before, batch).write.mode("overwrite").parquet(f"{state_path}/v{batch_id}")
+        if batch_id > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/v{batch_id - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
