@@ -306,14 +306,14 @@ def search(queries: DataFrame, photos: DataFrame, tags: DataFrame, synonyms: Dat
     spelling; one of fields only takes all photos. Fields and excluded terms drop photos; several names of a person,
     with commas, are alternatives; results are ordered by relevance.
     """
-    parsed = parse_searches(queries, as_of)
+    parsed = cut(parse_searches(queries, as_of))  # as many rows as queries, read in every branch
     said = F.transform("words", lambda g: F.filter(g, lambda w: ~w.isin(*STOP_WORDS)))
     content = F.when(F.exists(said, lambda g: F.size(g) > 0), said).otherwise(F.col("words"))
     groups = parsed.select("query_id", F.posexplode(content).alias("group_id", "alts")).select("query_id", "group_id", F.explode("alts").alias("term"))
     groups = groups.unionByName(parsed.select("query_id", F.posexplode("phrases").alias("g", "term")).select("query_id", (F.col("g") + 10_000).alias("group_id"), "term"))
     wide = expand_synonyms(groups, synonyms).select("query_id", "group_id", F.explode(term_variants(F.col("expansion"))).alias("text"))
     # each (query, group, variant) is a small query of its own
-    as_queries = wide.distinct().select(F.struct("query_id", "group_id", "text").alias("query_id"), "text")
+    as_queries = cut(wide.distinct()).select(F.struct("query_id", "group_id", "text").alias("query_id"), "text")
     visible = photos.filter(~F.col("private"))
     wild = parsed.select("query_id", F.posexplode("wildcards").alias("g", "text")).select("query_id", (F.col("g") + 20_000).alias("group_id"), "text")
     met = lambda found: found.select("query_id.query_id", "query_id.group_id", "tag")
@@ -321,7 +321,7 @@ def search(queries: DataFrame, photos: DataFrame, tags: DataFrame, synonyms: Dat
     by_tag = tags.select("photo_id", "tag").join(met_tags.distinct(), "tag").select("query_id", "group_id", "photo_id")
     by_path = search_path(visible.select("photo_id", "path", "description"), as_queries).select("query_id.query_id", "query_id.group_id", "photo_id")
     hits = by_tag.unionByName(by_path).distinct()
-    need = groups.select("query_id", "group_id").unionByName(wild.select("query_id", "group_id")).groupBy("query_id").agg(F.countDistinct("group_id").alias("need"))
+    need = as_queries.select("query_id.query_id", "query_id.group_id").unionByName(wild.select("query_id", "group_id")).groupBy("query_id").agg(F.countDistinct("group_id").alias("need"))
     full = cut(hits.groupBy("query_id", "photo_id").agg(F.count(F.lit(1)).alias("have")).join(need, "query_id").filter("have = need").select("query_id", "photo_id"))
     none = groups.join(full.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "term").distinct()
     fuzzy = tags.select("photo_id", F.lower("tag").alias("tag")).join(fuzzy_tags(tags, none, candidate_cap).select("query_id", "tag").distinct(), "tag").select("query_id", "photo_id")
