@@ -4,9 +4,13 @@ Texts with the same shingle set are one class. Each class orders its shingles fr
 prefix that any partner must hit. Classes meet on prefix shingles, pass length, positional and suffix filters, and each
 pair is verified once on the whole sets.
 
+A shingle that one class alone posts is dead: no partner that the class meets on a later shingle can hold it. What is
+left of a class after its dead shingles bounds every overlap, so outliers of a group of near copies, which are full of
+words of their own, drop out before any pair is made.
+
 A shingle that many classes post is never paired all with all: first each class meets the leaders of its shingles (a
-shingle has one leader at a time, a class a few), and only classes that are still in different components meet directly. Pairs inside one component
-could not change it, so components are exact.
+shingle has one leader at a time, the class with the fewest dead shingles; a class has a few), and only classes that are
+still in different components meet directly. Pairs inside one component could not change it, so components are exact.
 """
 
 from __future__ import annotations
@@ -27,21 +31,25 @@ SALT_ROWS = 1 << 14
 #: Ids up to this many are broadcast to pick their texts from the table; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 #: Leaders that a class meets in a round, those it shares most shingles with.
-LEADERS = 8
+LEADERS = 2
 #: Most rounds in which a shingle's classes meet one leader only.
 LEADER_ROUNDS = 6
 #: Pairs of classes on shared shingles, for each post, that are few enough to meet directly.
 PAIRS_PER_POST = 4
+#: Times that dead shingles are counted; those of classes that have dropped out die too.
+PRUNINGS = 3
 #: Least share of a round's pairs that must link for another round with leaders.
 FRUITFUL = 0.05
 #: Longs of a class's bitmap, 64 buckets each.
-LONGS = 8
+LONGS = 16
 #: Parts of the hash range whose counts bound the overlap (the suffix filter).
 PARTS = 16
 
 
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (kind 0: a=doc_id, b=set size, c=class) and (kind 1: a=frequency bucket, b=count)."""
+    """Rows (kind 0: a=doc_id, b=set size, c=class, d=text's hash, s0..: the buckets of the hash range that its shingles
+    fall in) and (kind 1: a=frequency bucket, b=count)."""
+    names = ["kind", "a", "b", "c", "d", *_BITMAP]
 
     def run(batches):
         counts = np.zeros(BUCKETS, np.int64)
@@ -51,11 +59,22 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
                 n = np.bincount(rows, minlength=hi - lo)
                 counts += np.bincount((grams & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
                 classes = _class_of(rows, grams, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(classes)], ["kind", "a", "b", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(classes), batch.column(2).slice(lo, hi - lo), *_bitmaps(rows, grams, hi - lo)], names)
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(counts[at]), pa.nulls(len(at), pa.int64())], ["kind", "a", "b", "c"])
+        none = pa.nulls(len(at), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(counts[at]), *[none] * (2 + LONGS)], names)
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("d")).mapInArrow(run, "kind int, " + ", ".join(f"{c} long" for c in names[1:]))
+
+
+_BITMAP = [f"s{i}" for i in range(LONGS)]
+
 
-    return docs.mapInArrow(run, "kind int, a long, b long, c long")
+def _bitmaps(rows: np.ndarray, grams: np.ndarray, n: int) -> list[pa.Array]:
+    bits = np.zeros((n, LONGS * 64), np.uint8)
+    bits[rows, ((grams >> np.uint64(20)) % np.uint64(LONGS * 64)).astype(np.int64)] = 1
+    packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    return [pa.array(packed[:, i].copy()) for i in range(LONGS)]
 
 
 def _class_of(rows: np.ndarray, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -91,29 +110,6 @@ def _prefixes(docs: DataFrame, k: int, percent: int, counts) -> DataFrame:
     return docs.mapInArrow(run, "gram long, salt int, class long, n int, pos int")
 
 
-def _bitmaps(texts: DataFrame, k: int) -> DataFrame:
-    """(class, s0, s1, ..): the buckets of the hash range that the class's shingles fall in."""
-    names = [f"s{i}" for i in range(LONGS)]
-
-    def run(batches):
-        for batch in batches:
-            for lo, hi, data, offs in slices(batch.column(1)):
-                rows, grams = shingle_sets(words_of(data, offs, lower=True), k)
-                bits = np.zeros((hi - lo, LONGS * 64), np.uint8)
-                bits[rows, ((grams >> np.uint64(20)) % np.uint64(LONGS * 64)).astype(np.int64)] = 1
-                packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *[pa.array(packed[:, i].copy()) for i in range(LONGS)]], ["class", *names])
-
-    return texts.select("class", "text").mapInArrow(run, "class long, " + ", ".join(f"{n} long" for n in names))
-
-
-def _may_overlap(percent: int):
-    """The suffix filter on bitmaps: shingles in buckets that the other class leaves empty are not shared."""
-    alone = lambda x, y: sum((F.bit_count(F.col(f"s{i}_{x}").bitwiseAND(F.bitwise_not(F.col(f"s{i}_{y}")))) for i in range(1, LONGS)), F.bit_count(F.col(f"s0_{x}").bitwiseAND(F.bitwise_not(F.col(f"s0_{y}")))))
-    most = F.least(F.col("n_a") - alone("a", "b"), F.col("n_b") - alone("b", "a"))
-    return F.lit(100) * most >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - most)
-
-
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that reach the similarity."""
 
@@ -154,21 +150,70 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return pairs.join(left, "a").join(right, "b").select("a", "b", F.coalesce("text_a", F.lit("")).alias("text_a"), F.coalesce("text_b", F.lit("")).alias("text_b")).mapInArrow(run, "a long, b long")
 
 
+def _live(posts: DataFrame, percent: int) -> DataFrame:
+    """posts (gram, class, n, pos) that can be part of a link, with dead: the class's dead shingles before it.
+
+    A class of n shingles, d of them dead before a shingle, overlaps a partner that it meets there in n - d at most, so
+    the partner has at most (100 + percent) / percent * (n - d) - n shingles.
+    """
+    for _ in range(PRUNINGS):
+        before = F.row_number().over(Window.partitionBy("class").orderBy("pos")) - 1
+        counted = posts.select("gram", "class", "n", "pos").withColumn("dead", F.col("pos") - before)
+        most = F.floor(F.lit(100 + percent) * (F.col("n") - F.col("dead")) / percent) - F.col("n")
+        same = Window.partitionBy("gram")
+        left = counted.withColumn("_least", F.min("n").over(same)).filter(most >= F.col("_least"))
+        again = left.withColumn("_x", F.min("class").over(same)).withColumn("_y", F.max("class").over(same))
+        posts, was = store(again.filter("_x <> _y").drop("_least", "_x", "_y"), "posts"), posts
+        discard(was)
+    return posts
+
+
 def _without_echoes(posts: DataFrame) -> DataFrame:
     """posts of one shingle only among those that the same classes post, with how many there are (times).
 
-    Such shingles, the runs of a shared passage, would bring the same pairs again and again.
+    Such shingles, the runs of a shared passage, would bring the same pairs again and again; the last of them has most
+    dead shingles before it.
     """
-    signs = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(5))).alias("y"))
-    first = signs.groupBy("c", "x", "y").agg(F.min("gram").alias("gram"), F.count(F.lit(1)).alias("times")).select("gram", "times")
+    signs = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(5))).alias("y"), F.sum("dead").alias("dead"))
+    first = signs.groupBy("c", "x", "y").agg(F.max_by("gram", F.struct("dead", "gram")).alias("gram"), F.count(F.lit(1)).alias("times")).select("gram", "times")
     return posts.join(first, "gram")
 
 
-def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Length and positional filters on rows (a, n_a, pos_a, b, n_b, pos_b)."""
-    least, need = F.least("n_a", "n_b"), F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
-    room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) + F.least("pos_a", "pos_b")
-    return pairs.filter((F.col("a") != F.col("b")) & (F.lit(100) * least >= F.lit(percent) * F.greatest("n_a", "n_b")) & (room >= need))
+def _may_link(percent: int):
+    """Length, positional and dead-shingle filters on (a, n_a, pos_a, dead_a, b, n_b, pos_b, dead_b).
+
+    Of what stands before the shingle that a and b meet on, only live shingles can be shared.
+    """
+    live = F.least(F.col("pos_a") - F.col("dead_a"), F.col("pos_b") - F.col("dead_b"))
+    most = live + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    near = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
+    return near & (F.lit(100 + percent) * most >= F.lit(percent) * (F.col("n_a") + F.col("n_b")))
+
+
+def _may_overlap(percent: int):
+    """The suffix filter on bitmaps: shingles in buckets that the other class leaves empty are not shared."""
+
+    def alone(x: str, y: str):
+        counts = [F.bit_count(F.col(f"{c}_{x}").bitwiseAND(F.bitwise_not(F.col(f"{c}_{y}")))) for c in _BITMAP]
+        return sum(counts[1:], counts[0])
+
+    most = F.least(F.col("n_a") - alone("a", "b"), F.col("n_b") - alone("b", "a"))
+    return F.lit(100 + percent) * most >= F.lit(percent) * (F.col("n_a") + F.col("n_b"))
+
+
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(class, root) after new links (a, b): only what the links join together is worked on."""
+    if roots is None:
+        return store(connected_components(links).select(F.col("node").alias("class"), "root"), "roots")
+    of = lambda x: roots.select(F.col("class").alias(x), F.col("root").alias(f"root_{x}"))
+    known = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = store(known.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a <> b").distinct(), "ends")
+    after = connected_components(ends).select("node", F.col("root").alias("_new"))
+    old = roots.join(after.withColumnRenamed("node", "root"), "root", "left").select("class", F.coalesce("_new", "root").alias("root"))
+    fresh = after.join(roots.select(F.col("class").alias("node")), "node", "left_anti").select(F.col("node").alias("class"), F.col("_new").alias("root"))
+    out = store(old.unionByName(fresh), "roots")
+    discard(ends)
+    return out
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -183,7 +228,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     first = store(_signatures(docs, k), "signatures")
-    signed = first.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("class"))
+    signed = first.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("class"), F.col("d").alias("tk"))
     counts = np.zeros(BUCKETS, np.int64)
     for row in first.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).toLocalIterator():  # BUCKETS rows at most
         counts[row.a] = row.b
@@ -193,18 +238,19 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     same = Window.partitionBy("gram", "salt")
     posts = posts.withColumn("least", F.min("class").over(same)).withColumn("most", F.max("class").over(same))
     posts = store(posts.filter("least <> most or salt > 0").select("gram", "class", "n", "pos"), "posts")
-    every, posts = posts, store(_without_echoes(posts), "lone-posts")
+    every = _live(posts, percent)
+    posts = store(_without_echoes(every), "lone-posts")
     discard(every)
 
+    # a class's text is that of its first row: the id alone could name another text
     used = posts.select("class").distinct()
-    members = store(signed.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "classes")
-    wanted = store(members.join(used, "class"), "wanted")
+    members = store(signed.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "tk")).alias("at")), "classes")
+    wanted = store(members.join(used, "class").select("class", F.col("at.doc_id").alias("_id"), F.col("at.tk").alias("_tk")), "wanted")
     few = wanted.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("class", "text").dropDuplicates(["class"])
-    texts = store(texts, "texts")
-    bitmaps = store(_bitmaps(texts, k), "bitmaps")
+    texts = docs.withColumn("tk", F.xxhash64("text")).join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")))
+    texts = store(texts.select("class", "text").dropDuplicates(["class"]), "texts")
 
-    links, seen, roots, turn, last, fruitful = None, None, None, 0, False, True
+    seen, roots, turn, last, fruitful = None, None, 0, False, True
     while not last:
         here = posts.withColumn("root", F.col("class")) if roots is None else posts.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
         if roots is not None:  # only shingles whose classes are still apart
@@ -213,23 +259,25 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         # all pairs once they are in proportion to the posts, or leaders bring little; else leaders first
         sizes = here.groupBy("gram").agg(F.count(F.lit(1)).cast("double").alias("c")).agg(F.sum("c").alias("rows"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).first()
         last = turn >= LEADER_ROUNDS or not fruitful or (sizes.pairs or 0) <= PAIRS_PER_POST * (sizes.rows or 0)
-        marked = here.join(bitmaps, "class") if last else here
-        bits = [f"s{i}" for i in range(LONGS)] if last else []
-        one = lambda x: [F.col("class").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "root", *bits)]]  # noqa: B023, E731
+        one = lambda x: [F.col("class").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "dead", "root", *(_BITMAP if last else ()))]]
         if last:
-            met = marked.select("gram", *one("b")).join(marked.select("gram", *one("a")), "gram").filter("root_a <> root_b and a < b").filter(_may_overlap(percent))
-            pairs = _filtered(met, percent)
+            bits = first.filter("kind = 0").join(here.select(F.col("class").alias("c")).distinct(), "c").groupBy(F.col("c").alias("class")).agg(*[F.first(s).alias(s) for s in _BITMAP])
+            marked = store(here.join(bits, "class"), "marked")
+            pairs = marked.select("gram", *one("b")).join(marked.select("gram", *one("a")), "gram").filter((F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b")) & _may_link(percent) & _may_overlap(percent))
         else:
-            chosen = F.min(F.struct(F.xxhash64("class", "gram", F.lit(turn)).alias("o"), *one("a")))
-            lead = store(here.groupBy("gram").agg(chosen.alias("l")).select("gram", "l.a", "l.n_a", "l.pos_a", "l.root_a"), "leaders")
-            met = here.select("gram", "times", *one("b")).join(lead, "gram").filter("root_a <> root_b")
+            chosen = F.min(F.struct(F.col("dead").alias("o"), F.xxhash64("class", "gram", F.lit(turn)).alias("h"), *one("a")))
+            lead = store(here.groupBy("gram").agg(chosen.alias("l")).select("gram", "l.a", "l.n_a", "l.pos_a", "l.dead_a", "l.root_a"), "leaders")
+            met = here.select("gram", "times", *one("b")).join(lead, "gram").filter((F.col("root_a") != F.col("root_b")) & _may_link(percent))
+            if seen is not None:
+                met = met.join(seen.unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
             # each class meets the leaders it shares most with
             best = Window.partitionBy("b").orderBy(F.desc("times"), F.xxhash64("a", F.lit(turn)))
-            pairs = _filtered(met, percent).groupBy("b", "a").agg(F.sum("times").alias("times")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= LEADERS)
+            pairs = met.groupBy("b", "a").agg(F.sum("times").alias("times")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= LEADERS)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if seen is not None:
+        if seen is not None and last:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = store(pairs, "pairs")
+        discard(marked if last else lead)
         if roots is not None:
             discard(here)
         turn += 1
@@ -239,14 +287,18 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
             continue
         seen = pairs if seen is None else seen.unionByName(pairs)
         found = store(_verify(pairs, texts, k, percent), "links")
-        fruitful = found.count() >= FRUITFUL * met_now
-        links = found if links is None else links.unionByName(found)
-        roots = connected_components(links).select(F.col("node").alias("class"), "root")
+        linked = found.count()
+        fruitful = linked >= FRUITFUL * met_now
+        if linked:
+            before, roots = roots, _joined(roots, found)
+            discard(before)
+        discard(found)
 
     named = members if roots is None else members.join(roots, "class", "left")
     named = named.withColumn("root", F.col("class") if roots is None else F.coalesce("root", "class"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     ids = store(named.join(least, "root").select("class", "component_id"), "components")
+    discard(posts, texts, wanted, members, roots)
     return signed.join(ids, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("class").alias("class_id"))
 
 

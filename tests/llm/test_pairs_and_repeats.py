@@ -2,11 +2,12 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import pytest
 from albumen.llm import ngram_join, substring_dedup
-from texts import corpus
+from texts import corpus, sentence
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -22,39 +23,74 @@ def shingles(t, k=5):
 
 
 def linked(rows):
-    sets = [(i, shingles(t)) for i, t in rows]
-    root = {i: i for i, _ in rows}
+    """For each row its set's size and the least id of the rows that links lead to."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for x, (i, a) in enumerate(sets):
-        for j, b in sets[x + 1 :]:
-            if a and b and 100 * len(a & b) >= 75 * len(a | b):
-                p, q = sorted((find(i), find(j)))
-                root[q] = p
-    return {i: find(i) for i, _ in rows}, collections.Counter((i, len(s)) for i, s in sets)
+    for x, a in enumerate(sets):
+        for y in range(x + 1, len(sets)):
+            if a and sets[y] and 100 * len(a & sets[y]) >= 75 * len(a | sets[y]):
+                root[find(y)] = find(x)
+    least = {}
+    for x, (i, _) in enumerate(rows):
+        least[find(x)] = min(least.get(find(x), i), i)
+    return [(i, len(sets[x]), least[find(x)]) for x, (i, _) in enumerate(rows)]
+
+
+def near_copies(seed, n=120):
+    """A base text, near copies of it with more and more changed words, and copies of those."""
+    rng = random.Random(seed)
+    base = sentence(rng, 70).split()
+    out = [(3000, " ".join(base))]
+    for i in range(1, n):
+        w = (base if i % 3 else rng.choice(out)[1].split())[:]
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(len(w))] = f"own{rng.randrange(40)}"
+        out.append((3000 + i, " ".join(w)))
+    return out
+
+
+def components(spark, documents, rows):
+    got = ngram_join.similarity_components(documents(rows)).collect()
+    return collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_are_those_of_all_pairs(spark, documents, seed):
-    rows = [r for r in corpus(seed) if r[0] != 1005] + [(1005, "one " * 40)]
-    got = ngram_join.similarity_components(documents(rows)).collect()
-    root, sizes = linked(rows)
-    assert collections.Counter((r.doc_id, r.n_shingles) for r in got) == sizes
-    assert all(r.component_id == root[r.doc_id] for r in got)
+    rows = corpus(seed) + near_copies(seed)
+    assert components(spark, documents, rows) == collections.Counter(linked(rows))
 
 
-def test_components_with_leaders_are_the_same(spark, documents, monkeypatch):
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_components_with_leaders_are_the_same(spark, documents, monkeypatch, rounds):
     monkeypatch.setattr(ngram_join, "PAIRS_PER_POST", -1)
-    monkeypatch.setattr(ngram_join, "LEADER_ROUNDS", 2)
+    monkeypatch.setattr(ngram_join, "LEADER_ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "FRUITFUL", 0)
     monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
     monkeypatch.setattr(ngram_join, "SALT_ROWS", 1)
-    rows = [r for r in corpus(3) if r[0] != 1005]
-    root, _ = linked(rows)
-    assert all(r.component_id == root[r.doc_id] for r in ngram_join.similarity_components(documents(rows)).collect())
+    rows = corpus(3) + near_copies(3)
+    assert components(spark, documents, rows) == collections.Counter(linked(rows))
+
+
+def test_ids_that_are_null_or_shared_by_texts(spark, documents):
+    rng = random.Random(4)
+    a, b, c = (sentence(rng, 40) for _ in range(3))
+    rows = [(1, a), (1, b), (2, b + " end"), (None, c), (5, c + " end"), (None, a)]
+    got = components(spark, documents, rows)
+    assert got == {(1, 36, 1): 2, (2, 37, 1): 1, (None, 36, 5): 1, (5, 37, 5): 1, (None, 36, 1): 1}
+
+
+def test_a_text_of_megabytes(spark, documents):
+    rng = random.Random(5)
+    long = [sentence(rng, 50) for _ in range(20_000)]
+    rows = [(1, "\n".join(long)), (2, "\n".join(long[:-100])), (3, "\n".join(long[:9_000])), (4, "word " * 300_000)]
+    got = ngram_join.similarity_components(documents(rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 4} and [r.n_shingles for r in got if r.doc_id == 4] == [1]
 
 
 def test_components_of_nothing(spark, documents):
