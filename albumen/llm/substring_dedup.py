@@ -2,12 +2,13 @@
 
 Documents come in batches of ascending ids. A window of `window` words is fingerprinted by its winnowed print: the least
 hash among its GRAM-word runs, so equal windows have equal prints and a text has about one print for five words. The
-index is a list of immutable runs of prints, each bucketed and sorted by print; a new batch's run is merge-joined with
-the older ones, and only windows whose print is met again are looked at whole: their hashes over all words decide (the
-verification) and go into runs of their own. When there are more than MAX_RUNS runs they are compacted into one.
+index holds immutable runs, bucketed and sorted by their key: prints, whole windows that were looked at, and texts. A new
+batch's run is merge-joined with the older ones, and only windows whose print is met again are looked at whole: their
+hashes over all words decide (the verification) and form runs of their own. When there are more than MAX_RUNS runs of a
+kind, the oldest two are merged into one. The index can be kept in a folder and take more batches later.
 
 Within a slice of documents equal prints and equal windows are summed up before any shuffle: a passage that a third of
-all documents share costs one row a slice.
+all documents share costs one row a slice, and a run has one row for it.
 """
 
 from __future__ import annotations
@@ -18,15 +19,18 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import new_path, shared_dir, store
+from .storage import discard, new_path, spare, store
 from .textops import gram_hashes, mix, slices, word_hashes, words_of
 
 GRAM = 5
-MAX_RUNS = 4
-#: Ids up to this many are broadcast to pick their texts from the table; more are joined by a shuffle.
+#: Runs of a kind; more are merged.
+MAX_RUNS = 2
+#: Batches that one table is dealt with in.
+BATCHES = 4
+#: Ids or keys up to this many are sent to every task; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 
 
@@ -64,7 +68,8 @@ def _first_of(rows: np.ndarray, values: np.ndarray, ids: np.ndarray):
 
 
 def _prints(docs: DataFrame, window: int) -> DataFrame:
-    """(print, doc_id, hot): for each slice and print its least id, to be compared with other slices; hot rows, whose print has several documents already within the slice, for each of those documents."""
+    """(print, doc_id, hot, ask): for each slice and print a row of its least id, to be compared with other slices (ask);
+    a print that has several documents already within the slice is hot, and has a row for each of them."""
 
     def run(batches):
         for batch in batches:
@@ -102,14 +107,14 @@ def _keyed(values: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def _kept(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
-    """docs(doc_id, text, wins, copy) -> counts and the kept words' digest, or the kept text itself."""
+    """docs(doc_id, text, k, l, wins, copy) -> counts and the kept words' digest, or the kept text itself (null where nothing goes)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, offs in slices(batch.column(1)):
-                lists = batch.column(2).slice(lo, hi - lo)
-                copies = batch.column(3).slice(lo, hi - lo).to_pylist()
+                lists = batch.column(4).slice(lo, hi - lo)
+                copies = batch.column(5).slice(lo, hi - lo).to_pylist()
                 gone = np.asarray(lists.flatten()).astype(np.int64).view(np.uint64)
                 of = np.repeat(np.arange(hi - lo), np.asarray(pa.compute.list_value_length(lists).fill_null(0)))
                 stay, first = None, None
@@ -136,131 +141,225 @@ def _kept(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
                         out.append(b" ".join(left).decode() if len(left) < len(words) else None)
                     else:
                         out.append(hashlib.sha256(b" ".join(left)).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(out, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                same = [batch.column(i).slice(lo, hi - lo) for i in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(out, pa.string())], ["doc_id", "k", "l", "n_words", "n_removed", "kept"])
+
+    return docs.select("doc_id", "text", "k", "l", "wins", "copy").mapInArrow(run, f"doc_id {kind}, k long, l long, n_words long, n_removed long, kept string")
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
+def _few(df: DataFrame) -> DataFrame:
+    """df, to be sent to every task if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
-class PrintIndex:
-    """Immutable runs (print, doc_id, hot), bucketed and sorted by print, in the shared folder."""
 
-    def __init__(self, spark, buckets: int):
-        self.spark, self.buckets, self.runs = spark, buckets, []
-        shared_dir(spark)
+class WindowIndex:
+    """Runs of `texts` (k, first), `prints` (print, first, hot) and `windows` (win, first) of earlier documents.
 
-    def append(self, rows: DataFrame) -> DataFrame:
-        name = f"albumen_run_{uuid.uuid4().hex}"
-        rows.write.option("path", new_path(self.spark, "run")).option("parquet.writer.version", "v2").bucketBy(self.buckets, "print").sortBy("print").saveAsTable(name)
-        self.runs.append(name)
-        return self.spark.table(name)
+    first: the least id that has the key. A print that is not hot stands in one document only as far as its run knows.
+    Each run is a Parquet folder, bucketed and sorted by its key, under `path`; `open` takes up a kept index again.
+    """
 
-    def older(self) -> list[DataFrame]:
-        return [self.spark.table(name) for name in self.runs[:-1]]
+    KEYS = {"texts": "k", "prints": "print", "windows": "win"}
+    COLUMNS = {"texts": "k long, l long, first long", "prints": "print long, first long, hot boolean", "windows": "win long, first long"}
+
+    def __init__(self, spark, path: str | None = None, window: int = 13, buckets: int | None = None):
+        self.spark, self.path, self.window = spark, path or new_path(spark, "index"), window
+        self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.runs: dict[str, list[str]] = {kind: [] for kind in self.KEYS}
+        self.compactions = 0
+
+    @classmethod
+    def open(cls, spark, path: str) -> WindowIndex:
+        """The index that `save` left in path."""
+        rows = spark.read.schema("kind string, name string, at int, buckets int, window int").json(f"{path}/manifest").orderBy("at").collect()  # a row for each run
+        index = cls(spark, path, rows[0].window, rows[0].buckets)
+        for r in rows:
+            if r.kind in cls.KEYS:
+                key, table = cls.KEYS[r.kind], f"albumen_{r.name}"
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({cls.COLUMNS[r.kind]}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {r.buckets} BUCKETS LOCATION '{path}/{r.name}'")
+                index.runs[r.kind].append(r.name)
+        return index
+
+    def save(self) -> str:
+        """Writes down which runs there are; returns the folder."""
+        rows = [("", "", -1, self.buckets, self.window)] + [(kind, name, i, self.buckets, self.window) for kind, names in self.runs.items() for i, name in enumerate(names)]
+        self.spark.createDataFrame(rows, "kind string, name string, at int, buckets int, window int").coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest")
+        return self.path
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.table(f"albumen_{name}")
+
+    def _write(self, kind: str, rows: DataFrame) -> str:
+        key, name = self.KEYS[kind], f"run_{uuid.uuid4().hex}"
+        rows.write.option("path", f"{self.path}/{name}").option("parquet.writer.version", "v2").bucketBy(self.buckets, key).sortBy(key).saveAsTable(f"albumen_{name}")
+        return name
+
+    def older(self, kind: str) -> list[DataFrame]:
+        return [self._table(name) for name in self.runs[kind]]
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS albumen_{name}")
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        where.getFileSystem(conf).delete(where, True)
 
     def compact(self) -> None:
-        """Merges all runs into one where there are more than MAX_RUNS."""
-        if len(self.runs) <= MAX_RUNS:
-            return
-        olds, self.runs = self.runs, []
-        rows = None
-        for name in olds:
-            rows = self.spark.table(name) if rows is None else rows.unionByName(self.spark.table(name))
-        # a print of one document keeps that document's row; of a print that is hot one row says so
-        self.append(rows.groupBy("print").agg(F.min("doc_id").alias("doc_id"), (F.max("hot") | (F.min("doc_id") < F.max("doc_id"))).alias("hot")).repartition(self.buckets, "print"))
-        for name in olds:
-            self.spark.sql(f"DROP TABLE {name}")
+        """Merges the two oldest runs of each kind, bucket by bucket, until there are MAX_RUNS."""
+        for kind, names in self.runs.items():
+            while len(names) > MAX_RUNS:
+                keys = ["k", "l"] if kind == "texts" else [self.KEYS[kind]]
+                a, b = (self._table(n) for n in names[:2])
+                both = a.alias("a").join(b.alias("b"), keys, "full")
+                cols = [*keys, F.least("a.first", "b.first").alias("first")]
+                if kind == "prints":  # two runs that have a print have two documents of it
+                    cols.append((F.coalesce("a.hot", F.lit(False)) | F.coalesce("b.hot", F.lit(False)) | (F.col("a.first").isNotNull() & F.col("b.first").isNotNull())).alias("hot"))
+                gone, names[:2] = names[:2], [self._write(kind, both.select(*cols))]
+                self.compactions += 1
+                for name in gone:
+                    self._drop(name)
 
     def close(self) -> None:
-        for name in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-
-
-def _picked(docs: DataFrame, by: DataFrame, how: str = "inner") -> DataFrame:
+        """Deletes all runs."""
+        for names in self.runs.values():
+            while names:
+                self._drop(names.pop())
+
+    def add(self, batch: DataFrame, older: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Takes in a batch(doc_id, text, k, l) whose ids are above all earlier ones; older has the documents of earlier batches.
+
+        Returns (doc_id, win) of the batch's windows that start in a smaller id too, and (doc_id, k, l) of its rows whose
+        whole text is that of a smaller id. Of the older texts, those are read whose print is met for the first time.
+        """
+        texts = store(batch.groupBy("k", "l").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "texts")
+        known = texts
+        for old in self.older("texts"):
+            known = known.join(old.select("k", "l", F.col("first").alias("_old")), ["k", "l"], "left").withColumn("first", F.least("first", "_old")).drop("_old")
+        known = store(known.filter("first < last"), "firsts")
+        rows = store(batch.select("doc_id", "k", "l"), "keys")  # read back, so that a text with very many copies can be split
+        copies = store(rows.join(known, ["k", "l"]).filter("doc_id > first").select("doc_id", "k", "l").distinct(), "copies")
+        self.runs["texts"].append(self._write("texts", texts.select("k", "l", "first")))
+        alone = batch.join(_few(copies), ["doc_id", "k", "l"], "left_anti").select("doc_id", "text")
+        discard(texts, known, rows)
+
+        raw = store(_prints(alone, self.window), "prints")
+        every = raw.filter("ask").groupBy("print").agg(F.min("doc_id").alias("first"), (F.max("hot") | (F.min("doc_id") < F.max("doc_id"))).alias("hot"))
+        name = self._write("prints", every)
+        run, olds = self._table(name), self.older("prints")
+        wanted = run.filter("hot").select("print")
+        first_time = None
+        for old in olds:  # merge joins, bucket by bucket
+            met = run.filter("not hot").join(old.select("print"), "print", "left_semi").select("print")
+            wanted = wanted.unionByName(met)
+            back = old.filter("not hot").join(run.select("print"), "print", "left_semi").select(F.col("first").alias("doc_id"), "print")
+            first_time = back if first_time is None else first_time.unionByName(back)
+        self.runs["prints"].append(name)
+        wanted = store(wanted.distinct(), "wanted")
+        lists = raw.filter("not ask").select("doc_id", "print").unionByName(raw.filter("ask").join(_few(wanted), "print", "left_semi").select("doc_id", "print"))
+        lists = store(lists.groupBy("doc_id").agg(F.collect_set("print").alias("prints")), "lists")
+        posted = _candidate_windows(_picked(alone, lists).select("doc_id", "text", "prints"), self.window)
+        back = None
+        if first_time is not None:
+            back = store(first_time.groupBy("doc_id").agg(F.collect_set("print").alias("prints")), "back")
+            posted = posted.withColumn("new", F.lit(True)).unionByName(_candidate_windows(_picked(older.select("doc_id", "text"), back).select("doc_id", "text", "prints"), self.window).withColumn("new", F.lit(False)))
+        else:
+            posted = posted.withColumn("new", F.lit(True))
+        posted = store(posted, "posted")
+        discard(raw, wanted, lists, back)
+
+        firsts = posted.groupBy("win").agg(F.min("doc_id").alias("first"))
+        name = self._write("windows", firsts)
+        least = self._table(name)
+        for old in self.older("windows"):
+            least = least.join(old.select("win", F.col("first").alias("_old")), "win", "left").withColumn("first", F.least("first", "_old")).drop("_old")
+        self.runs["windows"].append(name)
+        least = store(least, "least")
+        # both sides are read back, so that a window of very many slices can be split
+        asks = posted.filter("new and not gone").select("win", "doc_id")
+        late = asks.join(least, "win").filter("first < doc_id").select("doc_id", "win")
+        out = store(posted.filter("new and gone").select("doc_id", "win").unionByName(late), "gone")
+        discard(posted, least)
+        self.compact()
+        return out, copies
+
+
+def _picked(docs: DataFrame, by: DataFrame) -> DataFrame:
     """docs joined with by(doc_id, ...) of unique ids, reading texts of those ids only."""
     ids = by.select("doc_id")
     if ids.count() <= BROADCAST_IDS:
         docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    return docs.join(by, "doc_id", how)
+    return docs.join(by, "doc_id")
+
+
+def _keys(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) with two hashes of the text, k and l."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("k"), F.xxhash64(F.lit(7), "text").alias("l"))
 
 
 def _removals(docs: DataFrame, window: int, batches: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, win) of windows to remove, and (doc_id) of whole copies of an earlier document's text."""
+    """(doc_id, win) of windows to remove, and (doc_id, k, l) of whole copies of a smaller id's text."""
     spark = docs.sparkSession
-    keys = store(docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("k"), F.xxhash64(F.lit(7), "text").alias("l")), "keys")
-    # read back, so that the partition of a text with very many copies can be split
-    firsts = store(keys.groupBy("k", "l").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last"), "firsts")
-    copies = store(keys.join(firsts, ["k", "l"]).filter("doc_id > first").select("doc_id").distinct(), "copies")
-    few = copies.count() <= BROADCAST_IDS
-    alone = docs.filter("doc_id is not null").join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
-
-    cuts = keys.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5], 1000)).first()[0] or []
+    some = docs.filter("doc_id is not null and text is not null")
+    cuts = some.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5], 1000)).first()[0] or []
     cuts = sorted(set(cuts))[: batches - 1]
-    index = PrintIndex(spark, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    win_runs, gone = [], []
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        batch = alone if low is None else alone.filter(F.col("doc_id") > low)
-        batch = batch if high is None else batch.filter(F.col("doc_id") <= high)
-        same = Window.partitionBy("print")
-        raw = _prints(batch, window)
-        # rows that ask meet other slices; rows that are hot but do not ask pass beside the shuffle's comparison
-        rows = raw.withColumn("hot", F.col("hot") | (F.min("doc_id").over(same) < F.max("doc_id").over(same))).select("print", "doc_id", "hot")
-        run = index.append(rows)
-        hot = run.filter("hot").select("print", "doc_id")
-        for old in index.older():
-            met = run.filter("not hot").join(old.select("print").distinct(), "print", "left_semi").select("print", "doc_id")
-            first_time = old.filter("not hot").join(run.select("print").distinct(), "print", "left_semi").select("print", "doc_id")
-            hot = hot.unionByName(met).unionByName(first_time)
-        lists = store(hot.groupBy("doc_id").agg(F.collect_set("print").alias("prints")), "hot")
-        posted = store(_candidate_windows(_picked(alone if win_runs or low is not None else batch, lists).select("doc_id", "text", "prints"), window), "windows")
-        asks = posted.filter("not gone").select("win", "doc_id")
-        least = Window.partitionBy("win")
-        win_run = store(asks.withColumn("first", F.min("doc_id").over(least)), "window-run")
-        mine = win_run if low is None else win_run.filter(F.col("doc_id") > low)
-        mine = mine if high is None else mine.filter(F.col("doc_id") <= high)
-        gone += [posted.filter("gone").select("doc_id", "win"), mine.filter("first < doc_id").select("doc_id", "win")]
-        for old in win_runs:
-            gone.append(mine.filter("first = doc_id").join(old.select("win").distinct(), "win", "left_semi").select("doc_id", "win"))
-        win_runs.append(win_run)
-        index.compact()
-    index.close()
-    out = gone[0]
-    for more in gone[1:]:
-        out = out.unionByName(more)
-    return out, copies
+    index, gone, copies = WindowIndex(spark, window=window), None, None
+    try:
+        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+            batch = some if low is None else some.filter(F.col("doc_id") > low)
+            batch = batch if high is None else batch.filter(F.col("doc_id") <= high)
+            older = some.filter(F.lit(False) if low is None else F.col("doc_id") <= low)
+            more, same = index.add(batch, older)
+            gone = more if gone is None else gone.unionByName(more)
+            copies = same if copies is None else copies.unionByName(same)
+    finally:
+        index.close()
+    return gone, copies
 
 
 def _marked(docs: DataFrame, window: int, batches: int, with_text: bool) -> DataFrame:
+    docs = _keys(docs)
     gone, copies = _removals(docs, window, batches)
-    per = gone.groupBy("doc_id").agg(F.collect_set("win").alias("wins")).withColumn("copy", F.lit(False))
-    both = store(per.unionByName(copies.withColumn("copy", F.lit(True)).withColumn("wins", F.array().cast("array<bigint>"))).select("doc_id", "wins", "copy"), "marks")
-    ids = both.select("doc_id")
-    few = ids.count() <= BROADCAST_IDS
-    touched = _picked(docs, both)
-    rest = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select("doc_id", "text", F.array().cast("array<bigint>").alias("wins"), F.lit(False).alias("copy"))
-    return _kept(touched.select("doc_id", "text", "wins", "copy").unionByName(rest), window, with_text)
+    return marked(docs, gone, copies, window, with_text)
+
+
+def marked(docs: DataFrame, gone: DataFrame, copies: DataFrame, window: int, with_text: bool) -> DataFrame:
+    """docs(doc_id, text, k, l) after what WindowIndex.add found: (doc_id, k, l, n_words, n_removed, kept)."""
+    per = store(gone.groupBy("doc_id").agg(F.collect_set("win").alias("wins")), "marks")
+    ids = _few(store(per.select("doc_id").unionByName(copies.select("doc_id")).distinct(), "touched"))
+    hit = docs.join(ids, "doc_id", "left_semi").join(per, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), ["doc_id", "k", "l"], "left")
+    none = F.array().cast("array<bigint>")
+    hit = hit.select("doc_id", "text", "k", "l", F.coalesce("wins", none).alias("wins"), F.coalesce("copy", F.lit(False)).alias("copy"))
+    rest = docs.join(ids, "doc_id", "left_anti").select("doc_id", "text", "k", "l", none.alias("wins"), F.lit(False).alias("copy"))
+    return _kept(hit.unionByName(rest), window, with_text)
 
 
-def removal_digest(docs: DataFrame, window: int = 13, batches: int = 2) -> DataFrame:
+def removal_digest(docs: DataFrame, window: int = 13, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row.
 
     Words are runs without ASCII white space, unchanged. A word goes when a window of `window` words that covers it also
     starts in a document with a smaller id; windows are judged on the input. Null text: no words. Fewer words than a
-    window, blank text, ties and repeats under one id: nothing goes on their account. Rows with a null id are left
-    whole and remove nothing. Repeated rows give a row each. An empty table gives none; further columns are ignored.
+    window, blank text, ties and repeats under one id: nothing goes on their account; different texts under one id are
+    judged each. Rows with a null id are left whole and remove nothing. Repeated rows give a row each. Texts of any
+    length are handled whole. An empty table gives no rows; further columns are ignored, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _marked(docs, window, batches, False).withColumnRenamed("kept", "kept_sha256")
+    return _marked(docs, window, batches, False).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, batches: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, batches: int = BATCHES) -> DataFrame:
     """docs with the text of touched rows cut down to the kept words, joined by one space; other rows unchanged.
 
-    n_chars, where there is such a column, follows the text. A row that loses all its words goes.
+    n_chars, where there is such a column, follows the text. A row that loses all its words goes. Nulls, ties and repeats
+    are as in removal_digest; an empty table stays empty; further columns are kept, whatever their names.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    cut = store(_marked(slim, window, batches, True).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept")), "cut")
-    out = docs.join(cut, docs["doc_id"] == cut["_id"], "left")
-    out = out.filter("_id is null or _kept <> ''").withColumn("text", F.when(F.col("_id").isNotNull(), F.col("_kept")).otherwise(F.col("text")))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = _marked(slim, window, batches, True).filter("n_removed > 0").dropDuplicates(["doc_id", "k", "l"])
+    i, k, l, kept = (spare(docs, x) for x in ("_id", "_k", "_l", "_kept"))
+    cut = store(found.select(F.col("doc_id").alias(i), F.col("k").alias(k), F.col("l").alias(l), F.col("kept").alias(kept)), "cut")
+    here = docs["text"]
+    out = docs.join(cut, (docs["doc_id"] == cut[i]) & (F.xxhash64(here) == cut[k]) & (F.xxhash64(F.lit(7), here) == cut[l]), "left")
+    touched = F.col(i).isNotNull()
+    text = F.when(touched, F.col(kept)).otherwise(here)
+    new = {"text": text.alias("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_id").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(touched, F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"]).alias("n_chars")
+    return out.filter(F.col(i).isNull() | (F.col(kept) != "")).select(*[new.get(c, docs[c]) for c in docs.columns])

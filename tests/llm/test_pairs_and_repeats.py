@@ -7,6 +7,7 @@ import re
 
 import pytest
 from albumen.llm import ngram_join, substring_dedup
+from pyspark.sql import functions as F
 from texts import corpus, sentence
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -124,21 +125,62 @@ def removal(rows, n=13):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("batches", [1, 2, 7])
+@pytest.mark.parametrize("batches", [1, 3])
 def test_removal_is_that_of_all_windows(spark, documents, batches):
-    rows = [r for r in corpus(batches) if r != (1005, "twice under one id")]
+    rows = corpus(batches)
     got = substring_dedup.removal_digest(documents(rows), batches=batches).collect()
     assert collections.Counter(tuple(r) for r in got) == removal(rows)
 
 
 def test_removal_without_broadcast(spark, documents, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BROADCAST_IDS", 0)
-    rows = [r for r in corpus(9) if r[0] != 1005]
+    rows = corpus(9)
     assert collections.Counter(tuple(r) for r in substring_dedup.removal_digest(documents(rows)).collect()) == removal(rows)
 
 
+def test_texts_under_one_id_are_judged_each(spark, documents):
+    a, b = (" ".join(f"{x}{i}" for i in range(20)) for x in "ab")
+    rows = [(1, a), (2, a), (2, b), (3, b)]
+    df = documents(rows).withColumns({"_id": F.lit("x"), "_kept": F.lit("y"), "print": F.lit(1), "k": F.lit(2)})
+    assert collections.Counter(tuple(r) for r in substring_dedup.removal_digest(df).collect()) == removal(rows)
+    out = substring_dedup.remove_repeats(df)
+    assert out.columns == df.columns and sorted((r.doc_id, r.text, r._id, r._kept, r.k) for r in out.collect()) == [(1, a, "x", "y", 2), (2, b, "x", "y", 2)]
+
+
+def test_a_kept_index_takes_more_batches(spark, documents, tmp_path, monkeypatch):
+    rows = sorted((r for r in corpus(11) if r[1]), key=lambda r: r[0])
+    parts = [[r for r in rows if lo <= r[0] < hi] for lo, hi in ((0, 60), (60, 120), (120, 160), (160, 2000))]
+    index, seen, got = substring_dedup.WindowIndex(spark, f"file://{tmp_path}/index", buckets=3), [], collections.Counter()
+    for part in parts:
+        batch = substring_dedup._keys(documents(part))
+        gone, copies = index.add(batch, documents(seen))
+        got += collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.marked(batch, gone, copies, 13, False).collect())
+        seen += part
+        assert all(len(names) <= substring_dedup.MAX_RUNS for names in index.runs.values())
+        index = substring_dedup.WindowIndex.open(spark, index.save())
+    assert got == removal(rows)
+    assert len(list((tmp_path / "index").glob("run_*"))) == sum(map(len, index.runs.values()))
+    index.close()
+
+
+def test_removal_compacts_on_its_way(spark, documents, monkeypatch):
+    made = []
+    monkeypatch.setattr(substring_dedup.WindowIndex, "close", lambda self, close=substring_dedup.WindowIndex.close: (made.append(self.compactions), close(self)))
+    substring_dedup.removal_digest(documents(corpus(1)))
+    assert made == [6] and not [t for t in spark.catalog.listTables() if t.name.startswith("albumen")]
+
+
 def test_removal_of_nothing(spark, documents):
     assert substring_dedup.removal_digest(documents([])).count() == 0
+    assert substring_dedup.remove_repeats(documents([])).count() == 0
+
+
+def test_removal_in_a_text_of_megabytes(spark, documents):
+    rng = random.Random(6)
+    passage, filler = sentence(rng, 60), " ".join(f"n{i}" for i in range(400_000))
+    rows = [(1, passage), (2, f"{filler} {passage} {filler}"), (3, "same " * 200_000), (None, passage)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.removal_digest(documents(rows)).collect()}
+    assert got == {1: (60, 0), 2: (800_060, 60), 3: (200_000, 0), None: (60, 0)}
 
 
 def test_remove_repeats_keeps_clean_rows(spark, documents):
