@@ -89,23 +89,53 @@ def test_multisets_add_up(spark):
     assert row.sum == both == other and row.rest == a
 
 
-def test_shards(spark, documents):
-    rows = corpus(7, 200) + [(5000 + i, "hot text") for i in range(120)]
-    got = sharding.shard_rows(documents(rows)).collect()
+def counts_and_slots(got, rows, shards=24):
     want = collections.Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
     assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
     counts = collections.Counter(r.shard for r in got)
-    assert set(counts) == set(range(24)) and max(counts.values()) - min(counts.values()) <= 1
+    assert set(counts) <= set(range(shards)) and max(counts.values()) - min(counts[s] for s in range(shards)) <= 1
     for s, n in counts.items():
         assert sorted(r.slot for r in got if r.shard == s) == list(range(n))
+    assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
+    return counts
+
+
+def test_shards(spark, documents):
+    rows = corpus(7, 200) + [(5000 + i, "hot text") for i in range(120)]
+    got = sharding.shard_rows(documents(rows).withColumn("label", F.lit("x")).withColumn("shard", F.lit(7))).collect()
+    counts = counts_and_slots(got, rows)
     places = collections.defaultdict(set)
     for r in got:
         places[r.text_crc32].add(r.shard)
     split = sum(len(p) > 1 for c, p in places.items())
     assert split <= 24 and len(places[zlib.crc32(b"hot text")]) <= -(-120 // min(counts.values())) + 4
-    assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
     assert sharding.shard_rows(documents([])).count() == 0
     assert sharding.shard_rows(documents([(1, None)])).count() == 1
+    odd = [(None, "a"), (None, "a"), (3, None), (4, "")]
+    counts_and_slots(sharding.shard_rows(documents(odd)).collect(), odd)
+
+
+def test_linked_rows_go_where_their_label_is(spark, documents):
+    rows = [(i, f"single {i}") for i in range(2160)] + [(3000 + i, f"pair {i // 2}") for i in range(240)]
+    df = documents(rows)
+    placed = sharding.shard_rows(df)
+    got = placed.collect()
+    counts_and_slots(got, rows)
+    linked = [r for r in got if r.doc_id >= 3000]
+    assert all(r.label == r.shard for r in linked) and all(r.label is None for r in got if r.doc_id < 3000)
+    spread = collections.Counter(r.shard for r in linked)
+    assert len(spread) >= 20 and max(spread.values()) <= 30
+    report = sharding.cut_edges(df, placed).first()
+    assert report.linked == 120 and report.cut <= 6 < 100 < report.cut_by_hash
+
+
+def test_more_linked_rows_than_a_shard_holds(spark, documents):
+    rows = [(i, f"copy {i % 7}") for i in range(240)]
+    df = documents(rows)
+    got = sharding.shard_rows(df).collect()
+    counts_and_slots(got, rows)
+    report = sharding.cut_edges(df, sharding.shard_rows(df)).first()
+    assert report.linked == 7 and report.away < report.away_by_hash
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header>Site</header><nav><ul><li>Home<li>About</ul></nav>
