@@ -19,6 +19,10 @@ EQUAL = 4
 SIGNS = 126
 _LONGS = SIGNS // 3
 _LANE = (1 << 20) - 1
+#: The three lanes of a long, each modulo 2 ** 20 in its 21 bits.
+_LANES = _LANE | _LANE << 21 | _LANE << 42
+#: Paragraphs that are summed at once, so that no lane runs into the next one; a longer text is summed part by part.
+PART = 1 << 20
 _MARKS = "[\\n\\r]+|(?<=[.!?;:,|])\\s+"
 
 
@@ -31,25 +35,43 @@ def _vector(p: Column) -> tuple[list[Column], list[Column]]:
     return [F.xxhash64(F.lit(s), p) for s in range(EQUAL)], [F.xxhash64(F.lit(100 + s), p) for s in range(2)]
 
 
-def sums(rows: DataFrame, keys: list[str], unit: str) -> DataFrame:
-    """keys and the summed vector of the units: eq0.., s0.., n. A null unit adds nothing."""
+def sums(rows: DataFrame, keys: list[str], unit: str, part: str | None = None) -> DataFrame:
+    """keys and the summed vector of the units: eq0.., s0.., n. A null unit adds nothing.
+
+    part: a column that cuts the rows of a key into parts of PART units at most; without it, a key may not have more.
+    """
     there = F.col(unit).isNotNull()
     whole, signs = _vector(F.col(unit))
-    hashed = rows.select(*keys, there.alias("_there"), *[h.alias(f"_w{i}") for i, h in enumerate(whole)], *[h.alias(f"_h{i}") for i, h in enumerate(signs)])
+    by = [*keys, *([part] if part else [])]
+    hashed = rows.select(*by, there.alias("_there"), *[h.alias(f"_w{i}") for i, h in enumerate(whole)], *[h.alias(f"_h{i}") for i, h in enumerate(signs)])
     cols = [F.sum(F.when(F.col("_there"), F.col(f"_w{i}").bitwiseAND(0xFFFFFFFF)).otherwise(0)).bitwiseAND(0xFFFFFFFF).alias(f"eq{i}") for i in range(EQUAL)]
     spread = F.lit(1 | 1 << 21 | 1 << 42)
     for j in range(_LONGS):
         # bits j, j + 21 and j + 42 of a hash word are lanes of their own, apart by 21 places already
         h, at = F.col(f"_h{j // 21}"), j % 21
         cols.append(F.sum(F.when(F.col("_there"), F.shiftrightunsigned(h, at).bitwiseAND(spread)).otherwise(0)).alias(f"s{j}"))
-    return hashed.groupBy(*keys).agg(F.count(F.when(F.col("_there"), 1)).alias("n"), *cols)
+    summed = hashed.groupBy(*by).agg(F.count(F.when(F.col("_there"), 1)).alias("n"), *cols)
+    if not part:
+        return summed
+    # parts are added up lane by lane, each time modulo the lane's power, so that lanes stay within their bits
+    names = ["n", *[f"eq{i}" for i in range(EQUAL)], *[f"s{j}" for j in range(_LONGS)]]
+    lists = summed.groupBy(*keys).agg(F.collect_list(F.struct(*names)).alias("_parts"))
+    one = F.size("_parts") == 1
+
+    def total(name: str) -> Column:
+        mask = _LANES if name[0] == "s" else 0xFFFFFFFF if name[0] == "e" else (1 << 63) - 1
+        parts = F.aggregate("_parts", F.lit(0).cast("long"), lambda t, x: (t.bitwiseAND(mask) + x[name].bitwiseAND(mask)).bitwiseAND(mask))
+        return F.when(one, F.get("_parts", F.lit(0))[name]).otherwise(parts).alias(name)
+
+    return lists.select(*keys, *map(total, names))
 
 
 def lanes(prefix: str = "") -> Column:
-    """The sign lanes of summed columns, as whole numbers: twice the ones less the count."""
+    """The sign lanes of summed columns: twice the ones less the count, as the residue modulo 2 ** 20 nearest to 0."""
     n = F.col(f"{prefix}n")
+    half = (_LANE + 1) // 2
     part = lambda j, k: F.shiftrightunsigned(F.col(f"{prefix}s{j}"), 21 * k).bitwiseAND((1 << 21) - 1)
-    return F.array(*[(2 * part(j, k) - n).cast("long") for j in range(_LONGS) for k in range(3)])
+    return F.array(*[((2 * part(j, k) - n + half).bitwiseAND(_LANE) - half).cast("long") for j in range(_LONGS) for k in range(3)])
 
 
 def text_form(prefix: str = "") -> Column:
@@ -112,7 +134,8 @@ def edited_digest(docs: DataFrame) -> DataFrame:
     Null text counts as empty. The edited text has the last n_chars / 4 code points, rounded down, replaced by the first
     as many (or all) of the next document by id; after the last comes the first. near_* are 0 to 1: 1 for equal
     fingerprints, 0 where either text has no paragraph. Rows with a null id take no part and give no row. Repeated rows
-    give a row each. An empty table gives none; further columns are ignored.
+    give a row each. Texts of any length are summed in parts; above 2 ** 19 equal paragraphs lanes wrap, which leaves
+    equality alone but blurs likeness. An empty table gives no rows; further columns are ignored, whatever their names.
     """
     found = with_next(docs)
     n = F.length("text")
@@ -122,7 +145,8 @@ def edited_digest(docs: DataFrame) -> DataFrame:
     kinds = F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))
     keep = ["bucket", "at", "doc_id", "tk", "next_id", "nk", "n_chars", "edited_sha256"]
     base = found.select("bucket", "at", "doc_id", key, "next_id", F.xxhash64("next").alias("nk"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.explode(kinds).alias("x"))
-    units = base.select(*keep, "x.v", F.explode_outer(paragraphs(F.col("x.t"))).alias("p"))
+    base = base.select(*keep, F.col("x.v").alias("v"), F.col("x.t").alias("t"))  # apart, so that no paragraph carries its text along
+    units = base.select(*keep, "v", F.posexplode_outer(paragraphs(F.col("t"))).alias("at_", "p")).withColumn("part", F.shiftright(F.coalesce("at_", F.lit(0)), PART.bit_length() - 1))
     made = store(_summed(units, keep), "fingerprints")
     side = made.select(F.col("doc_id").alias("next_id"), F.col("tk").alias("nk"), F.col("fingerprint").alias("next_fingerprint"), F.col("l0").alias("l2")).dropDuplicates(["next_id", "nk"])
     both = made.join(side, ["next_id", "nk"], "left")
@@ -135,6 +159,6 @@ def edited_digest(docs: DataFrame) -> DataFrame:
 
 def _summed(units: DataFrame, keep: list[str]) -> DataFrame:
     """A row for each document with both texts' fingerprints."""
-    total = sums(units, [*keep, "v"], "p")
+    total = sums(units, [*keep, "v"], "p", "part")
     form = total.select(*keep, "v", text_form().alias("f"), lanes().alias("l"))
     return form.groupBy(*keep).agg(*[F.max(F.when(F.col("v") == v, F.col(c))).alias(name) for v, c, name in ((0, "f", "fingerprint"), (1, "f", "edited_fingerprint"), (0, "l", "l0"), (1, "l", "l1"))])

@@ -239,7 +239,6 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.memo: dict[str, tuple[int, ...]] = {}
         self.shared = list(range(1 << ID_BITS))
 

@@ -65,7 +65,6 @@ def test_files_hold_the_librarys_ids(spark, documents):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    lib.encode_special_tokens = True
     rows = corpus(5) + [r for r in ODD if r[0] != 7] + [(7, "same"), (7, "same")]
     rows = [(i + 10_000 * (t == "twice under one id"), t) for i, t in rows]
     got = tokenbin.written_digest(documents(rows), P.path("word_bpe_49k.json")).collect()
