@@ -3,9 +3,10 @@
 Words become templates: numbers, units and names are typed placeholders, other words are stripped of marks and put in
 lower case. Windows of template words of a document are hash-joined with those of the benchmark; hits are summed by
 offset diagonal, split into runs at gaps, and a long enough run is checked for slot consistency: each value in a slot of the item must always
-stand for one value in the document, and the other way round. So a question with other numbers or names is caught, and
-a chance likeness of placeholders is not. Words that agree as they stand, but for case and outer marks, need no such
-check; and items too short for a run are looked for word by word, by one hash of the whole item.
+stand for one value in the document, and the other way round; a run with slots that clash is cut down to its longest
+stretch without them. So a question with other numbers or names is caught, and a chance likeness of placeholders is not.
+Words that agree as they stand, but for case and outer marks, need no such check: a text in capitals has no names, yet a
+run of its words is a copy. Items too short for a run are looked for word by word, by one hash of the whole item.
 """
 
 from __future__ import annotations
@@ -13,14 +14,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import store
+from .storage import spare, store
 
 #: Template words in a window.
 WINDOW = 8
 #: Words that a run must cover, or the whole item where it is shorter.
 LEAST_WORDS = 12
-#: Rows of benchmark windows, and of candidates, up to which that side is broadcast.
+#: Rows of benchmark windows (a hash and two numbers each) and ids of candidates up to which that side is broadcast.
 BROADCAST_ROWS = 1 << 18
+#: Bytes of benchmark words up to which they are broadcast.
+BROADCAST_BYTES = 16 << 20
 
 # fixed values
 UNITS = ("%", "mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "ms", "min", "h", "hour", "hours", "minute", "minutes", "second", "seconds", "day", "days", "week", "weeks", "month", "months", "year", "years", "mile", "miles", "inch", "inches", "feet", "foot", "pound", "pounds", "dollar", "dollars", "euro", "euros", "cent", "cents", "$", "€", "£", "°c", "°f", "mph", "kmh", "watts", "volts")
@@ -42,7 +45,8 @@ def template(raw: Column) -> Column:
         before = F.when(i > 0, F.get(raw, i - 1)).otherwise(F.lit("."))
         low = bare(w)
         return (
-            F.when(w.rlike("[0-9]"), "<num>")
+            F.when(w.rlike(r"^\p{Ll}+$"), F.when(w.isin(*UNITS), "<unit>").otherwise(w))  # most words: nothing to strip
+            .when(w.rlike("[0-9]"), "<num>")
             .when(low.isin(*UNITS), "<unit>")
             .when(w.rlike("^\\P{L}*\\p{Lu}\\p{Ll}+\\P{L}*$") & ~before.rlike("[.!?:]\\P{L}*$"), "<name>")
             .otherwise(low)
@@ -51,15 +55,16 @@ def template(raw: Column) -> Column:
     return F.transform(raw, one)
 
 
-def _windows(df: DataFrame, key: str, pos: str) -> DataFrame:
+def _windows(df: DataFrame, key: str | list[str], pos: str) -> DataFrame:
     """(key, pos, win) of each template window."""
     n = F.size("t")
     hashes = F.transform(F.when(n >= WINDOW, F.sequence(F.lit(1), n - (WINDOW - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.slice("t", i, F.lit(WINDOW))))
-    return df.select(key, template(F.col("w")).alias("t")).select(key, F.posexplode(hashes).alias(pos, "win"))
+    keys = [key] if isinstance(key, str) else key
+    return df.select(*keys, template(F.col("w")).alias("t")).select(*keys, F.posexplode(hashes).alias(pos, "win"))
 
 
 def _short(d: DataFrame, items: DataFrame) -> DataFrame | None:
-    """(doc_id, item_id, n_words, size, kind, first) of items of LEAST_WORDS words or fewer that stand word by word in d, or None if no item is so short."""
+    """(doc_id, tk, item_id, n_words, size, kind, first) of items of LEAST_WORDS words or fewer that stand word by word in d, or None if no item is so short."""
     whole = items.select("item_id", F.transform("w", bare).alias("w")).filter((F.size("w") <= LEAST_WORDS) & F.exists("w", lambda w: w != ""))
     sizes = sorted(r.n for r in whole.select(F.size("w").alias("n")).distinct().collect())  # LEAST_WORDS rows at most
     if not sizes:
@@ -72,67 +77,102 @@ def _short(d: DataFrame, items: DataFrame) -> DataFrame | None:
         return F.transform(at, lambda i: F.struct(F.lit(k).alias("size"), F.xxhash64(F.slice("w", i, F.lit(k))).alias("win")))
 
     prints = F.array_distinct(F.concat(*map(of, sizes)))
-    held = d.select("doc_id", F.transform("w", bare).alias("w")).select("doc_id", F.explode(prints).alias("p")).select("doc_id", "p.size", "p.win")
-    found = held.join(F.broadcast(whole) if few else whole, ["size", "win"]).select("doc_id", "item_id", "size").distinct()
-    return found.select("doc_id", "item_id", F.col("size").alias("n_words"), "size", F.lit("verbatim").alias("kind"), F.lit(0).alias("first"))
+    held = d.select("doc_id", "tk", F.transform("w", bare).alias("w")).select("doc_id", "tk", F.explode(prints).alias("p")).select("doc_id", "tk", "p.size", "p.win")
+    found = held.join(F.broadcast(whole) if few else whole, ["size", "win"]).select("doc_id", "tk", "item_id", "size").distinct()
+    return found.select("doc_id", "tk", "item_id", F.col("size").alias("n_words"), "size", F.lit("verbatim").alias("kind"), F.lit(0).alias("first"))
+
+
+_DIAGONAL = ["doc_id", "tk", "item_id", "diag"]
 
 
 def _runs(hits: DataFrame) -> DataFrame:
-    """(doc_id, item_id, diag, first, last) of hits (doc_id, item_id, ipos, diag): each run of windows without a gap, and
-    the whole span of a diagonal of several runs that cover 75 % of its words."""
-    diagonal = Window.partitionBy("doc_id", "item_id", "diag")
-    rows = hits.distinct().withColumn("run", F.col("ipos") - F.row_number().over(diagonal.orderBy("ipos")))
-    runs = rows.groupBy("doc_id", "item_id", "diag", "run").agg(F.min("ipos").alias("first"), F.max("ipos").alias("last"))
-    whole = runs.groupBy("doc_id", "item_id", "diag").agg(F.collect_list(F.struct("first", "last")).alias("parts"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum(F.col("last") - F.col("first") + WINDOW).alias("n"))
+    """(doc_id, tk, item_id, diag, first, last) of hits (doc_id, tk, item_id, ipos, diag): each run of windows without a
+    gap, and the whole span of a diagonal of several runs that cover 75 % of its words."""
+    rows = hits.distinct().withColumn("run", F.col("ipos") - F.row_number().over(Window.partitionBy(*_DIAGONAL).orderBy("ipos")))
+    runs = rows.groupBy(*_DIAGONAL, "run").agg(F.min("ipos").alias("first"), F.max("ipos").alias("last"))
+    whole = runs.groupBy(*_DIAGONAL).agg(F.collect_list(F.struct("first", "last")).alias("parts"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum(F.col("last") - F.col("first") + WINDOW).alias("n"))
     bridged = (F.size("parts") > 1) & (F.col("n") * 4 >= (F.col("last") - F.col("first") + WINDOW) * 3)
     parts = F.when(bridged, F.concat("parts", F.array(F.struct("first", "last")))).otherwise(F.col("parts"))
-    return whole.select("doc_id", "item_id", "diag", F.explode(parts).alias("p")).select("doc_id", "item_id", "diag", "p.first", "p.last")
+    return whole.select(*_DIAGONAL, F.explode(parts).alias("p")).select(*_DIAGONAL, "p.first", "p.last")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_words, coverage, kind) of each document and item that it contains.
+def _longest(flags: Column, counts: Column) -> Column:
+    """struct(n, plain) of the longest stretch of true flags, and how many of its counts are true."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("plain"), F.lit(0).alias("best"), F.lit(0).alias("best_plain"))
 
-    n_words: words of the longest accepted run, at least LEAST_WORDS or the item's length; coverage: their share of
-    the item; kind: `verbatim` where all slots' values agree but for case and outer marks, else `reparameterised`. A run
-    is accepted where slots are one-to-one and half of its words are no number, unit or name; where they are not, by its
-    longest stretch of words that agree. Items shorter than a window match verbatim only; null or empty texts match
-    nothing. Repeated documents give one row; equal runs count by the earliest
-    place. Empty tables give no rows; further columns are ignored.
-    """
-    d = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
+    def step(s: Column, x: Column) -> Column:
+        n = F.when(x["flag"], s["n"] + 1).otherwise(0)
+        plain = F.when(x["flag"], s["plain"] + x["count"].cast("int")).otherwise(0)
+        more = n > s["best"]
+        return F.struct(n.alias("n"), plain.alias("plain"), F.when(more, n).otherwise(s["best"]).alias("best"), F.when(more, plain).otherwise(s["best_plain"]).alias("best_plain"))
+
+    both = F.zip_with(flags, counts, lambda f, c: F.struct(F.coalesce(f, F.lit(False)).alias("flag"), F.coalesce(c, F.lit(False)).alias("count")))
+    end = F.aggregate(both, zero, step)
+    return F.struct(end["best"].alias("n"), end["best_plain"].alias("plain"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """(doc_id, tk, item_id, n_words, size, kind, first) of every accepted run; tk, the text's hash, tells texts under one id apart."""
+    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tk"), words(F.col(text_col)).alias("w"))
     b = store(benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text)).alias("w")).filter(F.size("w") > 0), "items")
     short = _short(d, b)
     marks = store(_windows(b, "item_id", "ipos"), "item-windows")
     small = marks.count() <= BROADCAST_ROWS
-    hits = _windows(d, "doc_id", "dpos").join(F.broadcast(marks) if small else marks, "win")
-    runs = _runs(hits.select("doc_id", "item_id", "ipos", (F.col("dpos") - F.col("ipos")).alias("diag")))
-    sizes = b.select("item_id", F.size("w").alias("size"), F.col("w").alias("iw"))
+    hits = _windows(d, ["doc_id", "tk"], "dpos").join(F.broadcast(marks) if small else marks, "win")
+    runs = _runs(hits.select("doc_id", "tk", "item_id", "ipos", (F.col("dpos") - F.col("ipos")).alias("diag")))
+    sizes = b.select("item_id", F.size("w").alias("size"))
     runs = runs.join(F.broadcast(sizes) if small else sizes, "item_id")
     span = F.col("last") - F.col("first") + WINDOW
-    runs = store(runs.filter(span >= F.least(F.lit(LEAST_WORDS), F.col("size"))), "runs")
-
-    few = runs.count() <= BROADCAST_ROWS
-    held = d.join(F.broadcast(runs) if few else runs, "doc_id")
+    runs = store(runs.filter(span >= F.least(F.lit(LEAST_WORDS), F.col("size"))).distinct(), "runs")
+
+    # candidates' words meet their runs by a shuffle, and only theirs: ids are broadcast, words never unless few
+    ids = store(runs.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct(), "candidates")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk"))
+    there = d.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, same, "left_semi")
+    bytes_ = b.agg(F.coalesce(F.sum(F.aggregate("w", F.lit(0), lambda n, w: n + F.octet_length(w) + 8)), F.lit(0)).alias("n")).first().n
+    items = b.select("item_id", F.col("w").alias("iw"))
+    runs = runs.withColumnsRenamed({"doc_id": "_id", "tk": "_tk"})
+    held = there.join(runs, same).join(F.broadcast(items) if bytes_ <= BROADCAST_BYTES else items, "item_id")
     part = lambda words, start: F.slice(words, start + 1, span)
-    held = held.select("doc_id", "item_id", "size", "first", span.alias("n_words"), part(F.col("w"), F.col("first") + F.col("diag")).alias("dw"), part(F.col("iw"), F.col("first")).alias("iw"))
+    held = held.select("doc_id", "tk", "item_id", "size", "first", span.alias("n_words"), part(F.col("w"), F.col("first") + F.col("diag")).alias("dw"), part(F.col("iw"), F.col("first")).alias("iw"))
     held = held.withColumn("dt", template(F.col("dw"))).withColumn("it", template(F.col("iw"))).withColumn("dw", F.transform("dw", bare)).withColumn("iw", F.transform("iw", bare))
-    pairs = F.arrays_zip("dw", "iw", "dt", "it")
-    slots = F.array_distinct(F.transform(F.filter(pairs, lambda p: (p["it"] == p["dt"]) & p["it"].isin("<num>", "<unit>", "<name>")), lambda p: F.struct(p["it"].alias("kind"), p["iw"].alias("i"), p["dw"].alias("d"))))
-    step = lambda s, same: F.struct(F.when(same, s["now"] + 1).otherwise(0).alias("now"), F.greatest(s["most"], F.when(same, s["now"] + 1).otherwise(0)).alias("most"))
-    stretch = F.aggregate(F.zip_with("dw", "iw", lambda x, y: F.coalesce(x == y, F.lit(False))), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"]
-    held = held.withColumn("slots", slots).withColumn("stretch", stretch)
-    one_to_one = (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["i"]))))) & (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["d"])))))
-    plain = F.size(F.filter(F.col("it"), lambda t: ~t.isin("<num>", "<unit>", "<name>"))) * 2 >= F.col("n_words")
-    held = held.withColumn("whole", one_to_one & plain).filter(F.col("whole") | (F.col("stretch") >= F.least(F.lit(LEAST_WORDS), F.col("size"))))
+    typed = F.transform(F.arrays_zip("dw", "iw", "dt", "it"), lambda p: F.when((p["it"] == p["dt"]) & p["it"].isin("<num>", "<unit>", "<name>"), F.struct(p["it"].alias("kind"), p["iw"].alias("i"), p["dw"].alias("d"))))
+    held = held.withColumn("typed", typed).withColumn("slots", F.array_distinct(F.array_compact("typed")))
+    rival = lambda s: F.exists("slots", lambda o: (o["kind"] == s["kind"]) & ((o["i"] == s["i"]) != (o["d"] == s["d"])))
+    held = held.withColumn("clash", F.filter("slots", rival))
+    agree = F.transform("typed", lambda s: s.isNull() | ~F.array_contains("clash", s))
+    plain = F.transform("it", lambda t: ~t.isin("<num>", "<unit>", "<name>"))
+    equal = F.zip_with("dw", "iw", lambda x, y: x == y)
+    held = held.withColumn("steady", _longest(agree, plain)).withColumn("stretch", _longest(equal, plain)["n"])
+    enough = F.least(F.lit(LEAST_WORDS), F.col("size"))
+    held = held.withColumn("whole", (F.col("steady.n") >= enough) & (F.col("steady.plain") * 2 >= F.col("steady.n"))).filter(F.col("whole") | (F.col("stretch") >= enough))
     held = held.withColumn("kind", F.when(~F.col("whole") | F.forall("slots", lambda s: s["i"] == s["d"]), "verbatim").otherwise("reparameterised"))
-    held = held.select("doc_id", "item_id", F.when(F.col("whole"), F.col("n_words")).otherwise(F.col("stretch")).alias("n_words"), "size", "kind", "first")
-    if short is not None:
-        held = held.unionByName(short)
+    held = held.select("doc_id", "tk", "item_id", F.when(F.col("whole"), F.greatest("steady.n", "stretch")).otherwise(F.col("stretch")).alias("n_words"), "size", "kind", "first")
+    return held if short is None else held.unionByName(short)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, n_words, coverage, kind) of each document and item that it contains.
+
+    n_words: words of the longest accepted run, at least LEAST_WORDS or the item's length; coverage: their share of
+    the item; kind: `verbatim` where all slots' values agree but for case and outer marks, else `reparameterised`. A run
+    is accepted for its longest stretch without clashing slots, half of its words being no number, unit or name, or for
+    its longest stretch of words that agree. Items shorter than a window match verbatim only; null or empty texts match
+    nothing. Null ids are ids like others. Repeated documents give one row, and so do texts under one id; equal runs
+    count by the earliest place. Texts of any length are taken whole. Empty tables give no rows; further columns are
+    ignored, whatever their names.
+    """
+    held = _found(docs, benchmark, id_col, text_col, item_col, item_text)
     best = F.max_by(F.struct("n_words", "size", "kind"), F.struct("n_words", -F.col("first"), "kind")).alias("x")
     return held.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("x.n_words").cast("long").alias("n_words"), (F.col("x.n_words") / F.col("x.size")).alias("coverage"), "x.kind")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that contain no benchmark item."""
-    gone = store(contaminated(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The rows of docs that contain no benchmark item, with the columns of docs, whatever their names.
+
+    Rows are judged by their own text: of two texts under one id only the one that contains an item goes. Null and empty
+    texts stay; repeated rows stay or go together; an empty table stays empty.
+    """
+    i, k = spare(docs, "_gone"), spare(docs, "_gone_text")
+    gone = store(_found(docs, benchmark, "doc_id", "text", "item_id", "text").select(F.col("doc_id").alias(i), F.col("tk").alias(k)).distinct(), "leaks")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[i]) & (F.xxhash64(docs["text"]) == gone[k]), "left_anti")

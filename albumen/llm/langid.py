@@ -187,10 +187,15 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of docs whose language is not rejected, with the columns of docs."""
-    from .storage import store
+    """The rows of docs whose language is not rejected, with the columns of docs, whatever their names.
+
+    Rows are judged by their own text: null texts and texts without a letter go, whatever else stands under their id.
+    Repeated rows stay or go together; an empty table, or one without a label, is left without rows.
+    """
+    from .storage import spare, store
 
     model = learn(docs) if model is None else model
-    gone = store(predict(docs, model).filter("rejected").select(F.col("doc_id").alias("_gone")).distinct(), "rejected")
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
-    return kept
+    keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text")  # a prediction follows from the text alone
+    k = spare(docs, "_gone_text")
+    gone = store(predict(keyed, model).filter("rejected").select(F.col("doc_id").alias(k)).distinct(), "rejected")
+    return docs.join(gone, F.xxhash64(docs["text"]) == gone[k], "left_anti")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import discard, store
+from .storage import discard, spare, store
 from .textops import mix, shingle_sets, slices, words_of
 
 #: Counters of shingle frequency, over all documents; only the order of work depends on them.
@@ -216,14 +216,15 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return out
 
 
-def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, with_text_key: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every row of docs.
 
     Lower-cases A-Z; words are runs without ASCII white space; a text's set is its distinct k-word shingles, or the
     whole sequence where it has fewer words. Rows link when 100 * intersection >= percent * union; component_id is the
     smallest id reachable. Null, empty and blank texts have an empty set and link with nothing: component_id is their
-    own id. A repeated id gives a row each time. Null ids give a row with the class's component where they have one. An
-    empty table gives no rows. Further columns are ignored, whatever their names.
+    own id. A repeated id gives a row each time, by its own text. Null ids give a row with the class's component where
+    they have one. Texts of any length are taken whole. An empty table gives no rows. Further columns are ignored,
+    whatever their names. with_text_key adds tk, xxhash64 of the text.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -299,14 +300,16 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     ids = store(named.join(least, "root").select("class", "component_id"), "components")
     discard(posts, texts, wanted, members, roots)
-    return signed.join(ids, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("class").alias("class_id"))
+    return signed.join(ids, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("class").alias("class_id"), *(["tk"] if with_text_key else []))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs without near copies: of each component the row with the smallest id stays.
+    """The rows of docs without near copies: of each component the row with the smallest id stays, with the columns of docs.
 
-    Rows with empty or null text stay. Of repeated rows with the kept id, all stay.
+    Rows with empty or null text stay, and so do rows with a null id unless their text links with one of an id. Of
+    repeated rows with the kept id, all stay. Rows are judged by their own text. An empty table stays empty.
     """
-    found = similarity_components(docs.select("doc_id", "text"), **options)
-    gone = store(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    found = similarity_components(docs.select("doc_id", "text"), with_text_key=True, **options)
+    i, k = spare(docs, "_gone"), spare(docs, "_gone_text")
+    gone = store(found.filter("not doc_id <=> component_id").select(F.col("doc_id").alias(i), F.col("tk").alias(k)).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[i]) & (F.xxhash64(docs["text"]) == gone[k]), "left_anti")

@@ -169,9 +169,9 @@ def test_leaks(spark, documents):
     rows = [(1, f"Some words. {ITEM} more words"), (2, f"Intro text here {renamed}, end"), (3, ITEM[:30]), (4, None), (5, sentence(random.Random(1), 80)), (6, ITEM.upper()), (6, ITEM), (6, ITEM), (10, muddled.upper())]
     got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contaminated(documents(rows), bench).collect()}
     assert got[(1, 7)] == "verbatim" and got[(2, 7)] == "reparameterised" and got[(6, 7)] == "verbatim"
-    assert {d for d, _ in got} == {1, 2, 6}
+    assert {d for d, _ in got} == {1, 2, 6, 10} and got[(10, 7)] == "verbatim"  # 20 words in capitals are a copy
     kept = decontaminate.keep_clean(documents(rows), bench)
-    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 10]
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
     assert decontaminate.contaminated(documents([]), bench).count() == 0
     assert decontaminate.contaminated(documents(rows), bench.limit(0)).count() == 0
 
@@ -218,8 +218,7 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
     docs = {i: t for i, t in rows if t and re.search("[a-z]", t)}
-    root, _ = linked(list(docs.items()))
-    docs = {i: t for i, t in docs.items() if root[i] == i}
+    docs = {i: docs[i] for i, _, root in linked(list(docs.items())) if root == i}
     lost = {i: n for (i, _, n, _), _c in removal(list(docs.items())).items()}
     assert set(got) == {i for i, t in docs.items() if lost[i] < len(words(t))} - {103}
     ranks = {t: i for i, t in enumerate(__import__("albumen.llm.bpe", fromlist=["x"]).read_ranks(None, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))}
