@@ -36,12 +36,12 @@ LEADERS = 2
 LEADER_ROUNDS = 6
 #: Pairs of classes on shared shingles, for each post, that are few enough to meet directly.
 PAIRS_PER_POST = 4
-#: Times that dead shingles are counted; those of classes that have dropped out die too.
-PRUNINGS = 3
+#: Times that dead shingles are counted; shingles of classes that have dropped out could die the next time, but few do.
+PRUNINGS = 1
 #: Least share of a round's pairs that must link for another round with leaders.
 FRUITFUL = 0.05
 #: Longs of a class's bitmap, 64 buckets each.
-LONGS = 16
+LONGS = 32
 #: Parts of the hash range whose counts bound the overlap (the suffix filter).
 PARTS = 16
 
