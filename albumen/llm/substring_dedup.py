@@ -29,7 +29,7 @@ GRAM = 5
 #: Runs of a kind; more are merged.
 MAX_RUNS = 2
 #: Batches that one table is dealt with in.
-BATCHES = 4
+BATCHES = 3
 #: Ids or keys up to this many are sent to every task; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 

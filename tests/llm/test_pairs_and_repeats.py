@@ -167,7 +167,7 @@ def test_removal_compacts_on_its_way(spark, documents, monkeypatch):
     made = []
     monkeypatch.setattr(substring_dedup.WindowIndex, "close", lambda self, close=substring_dedup.WindowIndex.close: (made.append(self.compactions), close(self)))
     substring_dedup.removal_digest(documents(corpus(1)))
-    assert made == [6] and not [t for t in spark.catalog.listTables() if t.name.startswith("albumen")]
+    assert made == [3] and not [t for t in spark.catalog.listTables() if t.name.startswith("albumen")]
 
 
 def test_removal_of_nothing(spark, documents):
