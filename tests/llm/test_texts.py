@@ -4,8 +4,10 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
+import numpy as np
 import pytest
 from albumen.llm import decontaminate, fingerprint, html_extract, langid, licenses, sharding
 from pyspark.sql import functions as F
@@ -100,6 +102,14 @@ def counts_and_slots(got, rows, shards=24):
     return counts
 
 
+def test_parts_of_a_long_text_add_up(spark, documents, monkeypatch):
+    rows = [(i, t) for i, t in corpus(6) if i < 100] + [(500, "same line\n" * 70), (501, "\n".join(f"line {i % 9}." for i in range(90)))]
+    df = documents(rows).withColumns({"part": F.lit("x"), "v": F.lit(1), "t": F.lit("y"), "bucket": F.lit(2)})
+    whole = {r.doc_id: tuple(r) for r in fingerprint.edited_digest(df).collect()}
+    monkeypatch.setattr(fingerprint, "PART", 8)
+    assert {r.doc_id: tuple(r) for r in fingerprint.edited_digest(df).collect()} == whole
+
+
 def test_shards(spark, documents):
     rows = corpus(7, 200) + [(5000 + i, "hot text") for i in range(120)]
     got = sharding.shard_rows(documents(rows).withColumn("label", F.lit("x")).withColumn("shard", F.lit(7))).collect()
@@ -152,6 +162,38 @@ def test_pages():
     assert html_extract.main_text("<div><p>" + "word, " * 50_000 + "</p></div>").startswith("word, word,")
 
 
+STORY = "First sentence of the story, with words. Second one, longer than that, goes on. " * 6
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="with-sidebar"><div class="sidebar">a b c</div><p>{}</p></div>', '<div class="has-header"><p>{}</p></div>', '<div class="post share"><p>{}</p></div>',
+    '<div class="legal-content"><p>{}</p></div>', '<div class="related"><p>{}</p></div>', '<form id="f"><div><p>{}</p><ul><li><a>Home page</a><li><a>Other page</a></ul></div></form>',
+    '<article><p>{}</p><div class="comments">' + "<p>Nice, I liked it. Really.</p>" * 60 + "</div></article>", "<p title='the hidden truth'>{}", "<head><title>x</title><p>{}",
+])
+def test_names_do_not_take_the_story_away(page):
+    assert html_extract.main_text(page.format(STORY)) == STORY.strip()
+
+
+def test_odd_markup_takes_no_time():
+    for page, want in [("<a " * 20_000, ""), ('<a x="' * 20_000, ""), ("<!--" * 50_000, ""), ("<head>" * 20_000, ""), ("<div>" * 20_000 + "x" + "</div>" * 20_000, "x"), ("a < b and c > d", "a < b and c > d"), ("&am<b>p;</b>", "&amp;")]:
+        began = time.time()
+        assert html_extract.main_text(page) == want and time.time() - began < 5
+    assert len(html_extract.main_text("<div>w" * 50_000)) > 99_000  # the outermost elements are outside the one that holds 90 %
+
+
+def test_path_ratios_are_those_of_each_path():
+    rng = random.Random(9)
+    blocks = [(rng.randrange(6), rng.randrange(1, 200), rng.randrange(9)) for _ in range(40)]
+    ratio = []
+    for path, _, _ in blocks:
+        mine = [(n, m) for p, n, m in blocks if p == path]
+        ratio.append(sum(n for n, _ in mine) / len(mine) * (1 + sum(m for _, m in mine)) / len(mine))
+    near = lambda i: ratio[min(max(i, 0), len(ratio) - 1)]
+    want = [(r * (0.25 * near(i - 1) + 0.5 * r + 0.25 * near(i + 1))) ** 0.5 for i, r in enumerate(ratio)]
+    got = html_extract.path_ratios(*(np.array(x, float) for x in zip(*blocks, strict=True)))
+    assert np.allclose(got, want)
+
+
 def test_pages_as_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     got = html_extract.extract(df).collect()
