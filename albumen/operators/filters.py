@@ -71,34 +71,41 @@ FIELDS = {"tag": "tag", "folder": "folder", "in": "folder", "path": "folder", "y
 OTHER_FIELDS = ("date", "camera", "lens", "location", "place", "city", "country", "iso", "aperture", "focal", "color")
 
 
+def _met(kind: str, value: Column) -> Column:
+    """Whether a photo row meets a field of this kind; reads only the columns that the kind needs."""
+    low = F.lower(value)
+    if kind == "tag":
+        return F.exists("tags", lambda t: F.lower(t).contains(low))
+    if kind == "folder":
+        return F.lower("path").contains(low)
+    if kind == "rating":
+        sign, number = F.regexp_extract(low, "^(>=|<=|>|<)?", 1), F.regexp_extract(low, r"^(?:>=|<=|>|<)?([+-]?\d+)$", 1).try_cast("int")
+        stars = F.coalesce("rating", F.lit(0))
+        return F.when(sign == ">=", stars >= number).when(sign == "<=", stars <= number).when(sign == ">", stars > number).when(sign == "<", stars < number).otherwise(stars == number)
+    if kind == "fav":
+        return F.col("favorite") == low.isin("1", "true", "yes", "y", "on")
+    if kind == "media":
+        return F.lower("media_type") == low
+    if kind == "ext":
+        return F.lower("path").endswith(F.concat(F.lit("."), low))
+    day = F.coalesce(F.col("date_taken").cast("date").cast("string"), F.lit(""))
+    if kind == "year":
+        year, span = F.substring(day, 1, 4), low.rlike("^[0-9]{4}-[0-9]{4}$")
+        return F.when(span, year.between(F.substring(low, 1, 4), F.substring(low, 6, 4))).otherwise((F.length(low) == 4) & (year == low))
+    bound = F.substring(F.regexp_replace(F.trim(low), "[:/]", "-"), 1, 10)
+    return (day <= bound) | (day < low) if kind == "before" else (day >= bound) | (day > low)
+
+
 def field_met(name: Column, value: Column) -> Column:
     """Whether a photo row (with `tags`) meets a search field, without its `!`; true for fields that no row answers.
 
     Dates are compared as text, so `before:2020` leaves out 2020; undated rows pass `before`.
     """
-    of = lambda kind: name.isin(*[k for k, v in FIELDS.items() if v == kind])
-    low = F.lower(value)
-    day = F.coalesce(F.col("date_taken").cast("date").cast("string"), F.lit(""))
-    bound = F.substring(F.regexp_replace(F.trim(low), "[:/]", "-"), 1, 10)
-    year = F.substring(day, 1, 4)
-    span = low.rlike("^[0-9]{4}-[0-9]{4}$")
-    years = F.when(span, year.between(F.substring(low, 1, 4), F.substring(low, 6, 4))).otherwise((F.length(low) == 4) & (year == low))
-    sign, number = F.regexp_extract(low, "^(>=|<=|>|<)?", 1), F.regexp_extract(low, r"^(?:>=|<=|>|<)?([+-]?\d+)$", 1).try_cast("int")
-    stars = F.coalesce("rating", F.lit(0))
-    rated = F.when(sign == ">=", stars >= number).when(sign == "<=", stars <= number).when(sign == ">", stars > number).when(sign == "<", stars < number).otherwise(stars == number)
-    met = (
-        F.when(of("tag"), F.exists("tags", lambda t: F.lower(t).contains(low)))
-        .when(of("folder"), F.lower("path").contains(low))
-        .when(of("year"), years)
-        .when(of("before"), (day <= bound) | (day < low))
-        .when(of("after"), (day >= bound) | (day > low))
-        .when(of("rating"), rated)
-        .when(of("fav"), F.col("favorite") == low.isin("1", "true", "yes", "y", "on"))
-        .when(of("media"), F.lower("media_type") == low)
-        .when(of("ext"), F.lower("path").endswith(F.concat(F.lit("."), low)))
-        .otherwise(True)
-    )
-    return F.coalesce(met, F.lit(False))
+    met = F.when(F.lit(False), F.lit(False))
+    for kind in dict.fromkeys(FIELDS.values()):
+        if kind != "person":
+            met = met.when(name.isin(*[k for k, v in FIELDS.items() if v == kind]), _met(kind, value))
+    return F.coalesce(met.otherwise(True), F.lit(False))
 
 
 def field_filter(photos: DataFrame, filters: list[tuple[str, str]], persons: DataFrame | None = None) -> DataFrame:
@@ -112,7 +119,8 @@ def field_filter(photos: DataFrame, filters: list[tuple[str, str]], persons: Dat
             ids = persons.filter(contains("name", value)).select("photo_id").distinct()
             photos = photos.join(ids, "photo_id", "left_anti" if no else "left_semi")
             continue
-        met = field_met(F.lit(field), F.lit(value))
+        kind = FIELDS.get(field)
+        met = F.lit(True) if kind in (None, "person") else F.coalesce(_met(kind, F.lit(value)), F.lit(False))
         photos = photos.filter(~met if no else met)
     return photos
 

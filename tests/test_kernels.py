@@ -190,10 +190,14 @@ def test_pixel_queries_take_every_photo(spark, name, side, channels):
             assert got[i].dominant_colors == P.dominant(image)
 
 
-def test_search_texts():
-    p = H.parse_search('cat OR dog "red car" -night !rating:>=4 year:2020 beach* x:y -"old barn"')
-    assert p == {"must": [["cat", "dog"], ["x:y"]], "phrases": ["red car"], "must_not": ["night", "old barn"], "fields": [("!rating", ">=4"), ("year", "2020")], "wildcards": ["beach"]}
-    assert H.parse_search(None)["must"] == []
+def test_search_texts(spark):
+    texts = [(1, 'cats Or dog "Red car" -Night -rating:>=4 AND year:2020 beach* x:y -"old barn" -'), (2, None), (3, "or a or"), (4, "before:2weeks lens:50mm -date:today")]
+    got = {r.query_id: r for r in H.parse_searches(spark.createDataFrame(texts, "query_id long, text string"), F.lit("2024-03-31")).collect()}
+    p = got[1]
+    assert p.words == [["cats", "dog"], ["x:y"]] and p.must == [["cats", "cat", "dog"], ["x:y"]] and p.phrases == ["red car"] and p.must_not == ["night", "old barn"]
+    assert [tuple(f) for f in p.fields] == [("!rating", ">=4"), ("year", "2020")] and p.wildcards == ["beach"]
+    assert got[2].words == [] and got[3].words == [["a"]]
+    assert [tuple(f) for f in got[4].fields] == [("before", "2024-03-17"), ("lens", "50mm"), ("!date", "today")]
 
 
 def test_words(spark):
@@ -205,10 +209,11 @@ def test_words(spark):
 
 def test_date_words(spark):
     day = F.lit(dt.date(2024, 3, 31))
-    rows = spark.createDataFrame([(w,) for w in ("today", "dün", "last week", "lastmonth", "1monthago", "2 years ago", "3days_ago", "soon")], "w string")
+    rows = spark.createDataFrame([(w,) for w in ("today", "dün", "last-week", "lastmonth", "1month", "2-years", "3days", "this_week", "last week", "soon")], "w string")
     got = {r.w: tuple(r.r) if r.r else None for r in rows.select("w", H.date_keyword_range(F.col("w"), day).alias("r")).collect()}
     d = dt.date
-    assert got == {"today": (d(2024, 3, 31),) * 2, "dün": (d(2024, 3, 30),) * 2, "last week": (d(2024, 3, 18), d(2024, 3, 24)), "lastmonth": (d(2024, 2, 1), d(2024, 2, 29)), "1monthago": (d(2024, 2, 28),) * 2, "2 years ago": (d(2022, 3, 28),) * 2, "3days_ago": (d(2024, 3, 28),) * 2, "soon": None}
+    want = {"today": (d(2024, 3, 31),) * 2, "dün": (d(2024, 3, 30),) * 2, "last-week": (d(2024, 3, 18), d(2024, 3, 24)), "lastmonth": (d(2024, 2, 1), d(2024, 2, 29)), "1month": (d(2024, 2, 28),) * 2, "2-years": (d(2022, 3, 28),) * 2, "3days": (d(2024, 3, 28),) * 2}
+    assert got == {**want, "this_week": (d(2024, 3, 25), d(2024, 3, 31)), "last week": None, "soon": None}
 
 
 def test_blur_threshold_rank(spark):
