@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, html_extract, langid, licenses, ngram_join, sharding, substring_dedup, tokenbin
+from . import bpe, collocations, decontaminate, fingerprint, html_extract, langid, licenses, ngram_join, sharding, substring_dedup, tokenbin
 from .storage import read_table
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CUT = "1000000 * a::HUGEINT * a // ({}::HUGEINT * {})"
+OP13_SQL = f"""WITH pieces AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+f1 AS (SELECT lang, p, count(*) AS f FROM (SELECT lang, unnest(w) AS p FROM pieces) GROUP BY 1, 2),
+f2 AS (SELECT lang, x, y, count(*) AS f FROM (SELECT lang, unnest(w[:-2]) AS x, unnest(w[2:]) AS y FROM pieces WHERE len(w) > 1) GROUP BY 1, 2, 3),
+f3 AS (SELECT lang, x, y, z, count(*) AS f FROM (SELECT lang, unnest(w[:-3]) AS x, unnest(w[2:-2]) AS y, unnest(w[3:]) AS z FROM pieces WHERE len(w) > 2) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10),
+longer AS (SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY 1, 2, 3),
+two AS (SELECT c.lang, c.x || ' ' || c.y AS phrase, c.f AS a, p.f AS l, q.f AS r FROM f2 c JOIN f1 p ON p.lang = c.lang AND p.p = c.x JOIN f1 q ON q.lang = c.lang AND q.p = c.y LEFT JOIN longer g ON g.lang = c.lang AND g.x = c.x AND g.y = c.y WHERE c.f >= 10 AND NOT coalesce(100 * g.f >= 50 * c.f, FALSE)),
+three AS (SELECT *, {_CUT.format("p1", "p23")} AS s1, {_CUT.format("p12", "p3")} AS s2 FROM (SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z AS phrase, c.f AS a, o.f AS p1, t.f AS p23, h.f AS p12, e.f AS p3 FROM f3 c JOIN f1 o ON o.lang = c.lang AND o.p = c.x JOIN f2 t ON t.lang = c.lang AND t.x = c.y AND t.y = c.z JOIN f2 h ON h.lang = c.lang AND h.x = c.x AND h.y = c.y JOIN f1 e ON e.lang = c.lang AND e.p = c.z)),
+scored AS (SELECT lang, phrase, a, l, r, {_CUT.format("l", "r")} AS score FROM two UNION ALL SELECT lang, phrase, a, CASE WHEN s2 < s1 THEN p12 ELSE p1 END, CASE WHEN s2 < s1 THEN p3 ELSE p23 END, least(s1, s2) FROM three)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored) JOIN (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY 1) USING (lang) WHERE rank <= 2000"""
+
+
 def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +67,10 @@ def op6_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_binary": op1_token_binary,
     "op2_license_scan": op2_license_scan,
@@ -65,5 +82,6 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_html_extract": op10_html_extract,
+    "op13_collocations": op13_collocations,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_collocations": OP13_SQL}
