@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, collocations, decontaminate, fingerprint, html_extract, langid, licenses, ngram_join, sharding, substring_dedup, tokenbin
+from . import bpe, collocations, conversations, decontaminate, fingerprint, html_extract, langid, licenses, mixing, ngram_join, sharding, substring_dedup, tokenbin
 from .storage import read_table
 
 
@@ -21,6 +21,19 @@ scored AS (SELECT lang, phrase, a, l, r, {_CUT.format("l", "r")} AS score FROM t
 SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored) JOIN (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY 1) USING (lang) WHERE rank <= 2000"""
 
 
+_U = "(('0x' || substr(md5('0:' || j || ':' || coalesce('=' || source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+OP11_SQL = f"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY 1),
+c AS (SELECT *, 3 * size / w AS bound, coalesce(sum(3 * size) OVER (ORDER BY 3 * size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held, sum(w) OVER (ORDER BY 3 * size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM s),
+v AS (SELECT level FROM (SELECT bound, CAST((SELECT sum(size) FROM s) - held AS DOUBLE) / CAST(open AS DOUBLE) AS level FROM c) WHERE bound >= level ORDER BY bound LIMIT 1),
+t AS (SELECT source, size AS source_size, least(w * level, CAST(3 * size AS DOUBLE)) AS target FROM s, v),
+r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, row_number() OVER (PARTITION BY d.source ORDER BY length(bin(d.size)), md5(coalesce(CAST(doc_id AS VARCHAR), '')), d.size) - 1 AS nth FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (SELECT source, j, {_U} AS u FROM s, range(32) g(j)),
+p AS (SELECT u.source, j, u.u, abs(CAST(sum(r.size * (floor(rate * (nth + 1) + u.u) - floor(rate * nth + u.u))) AS BIGINT) - any_value(target)) AS miss FROM r JOIN u ON u.source IS NOT DISTINCT FROM r.source GROUP BY 1, 2, 3),
+best AS (SELECT source, u FROM p QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, j) = 1)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate * (nth + 1) + best.u) - floor(rate * nth + best.u)) AS BIGINT) AS taken FROM r JOIN best ON best.source IS NOT DISTINCT FROM r.source"""
+
+
 def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,6 +80,14 @@ def op6_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_digest(conversations.damaged(read_table(spark, sf_dir, "conversations")))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents"))
 
@@ -82,6 +103,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_html_extract": op10_html_extract,
+    "op11_source_mixing": op11_source_mixing,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_collocations": op13_collocations,
 }
-ORACLES: dict[str, str] = {"op13_collocations": OP13_SQL}
+ORACLES: dict[str, str] = {"op11_source_mixing": OP11_SQL, "op13_collocations": OP13_SQL}
