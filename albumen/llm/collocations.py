@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from .storage import store
 from .textops import gram_hashes, mix, slices, word_hashes, words_of
 
-#: Bits of the filters that tasks are sent: 2^26 bits are 8 MB.
-FILTER_BITS = 1 << 26
+#: Bits of the filters that tasks are sent: 2^25 bits are 4 MB.
+FILTER_BITS = 1 << 25
 #: Bytes of text whose phrases are summed up together before any shuffle.
-SUMMED_BYTES = 1 << 21
+SUMMED_BYTES = 1 << 19
 #: Ranks below `top` that the first frontier takes in, as a share of `top`; each further one takes in twice as many.
 MARGIN = 0.25
 
