@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import store
+from .storage import short_batches, store
 from .textops import gram_hashes, mix, slices, word_hashes, words_of
 
 #: Bits of the filters that tasks are sent: 2^25 bits are 4 MB.
 FILTER_BITS = 1 << 25
 #: Bytes of text whose phrases are summed up together before any shuffle.
 SUMMED_BYTES = 1 << 19
+#: Texts that a worker is sent at once.
+TEXTS = 500
 #: Ranks below `top` that the first frontier takes in, as a share of `top`; each further one takes in twice as many.
 MARGIN = 0.25
 
@@ -173,7 +175,11 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 10, covers: int
     counted whole, in a slice of its own. An empty table, or one without candidates, gives no rows; a language without
     candidates has none. Further columns are ignored, whatever their names.
     """
-    docs = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
+    with short_batches(docs.sparkSession, TEXTS):
+        return _listed(docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang")), top, least, covers)
+
+
+def _listed(docs: DataFrame, top: int, least: int, covers: int) -> DataFrame:
     single = store(_count(docs, 1).filter(F.col("phrase").isNull() | (F.col("f") >= least)), "words")
     total = single.filter("phrase is null").select("lang", F.col("f").alias("n"))
     of = lambda word, name: single.filter("phrase is not null").select("lang", F.col("phrase").alias(word), F.col("f").alias(name))

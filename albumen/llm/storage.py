@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,5 +56,17 @@ def discard(*tables: DataFrame | None) -> None:
             where.getFileSystem(conf).delete(where, True)
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, jobs send their Python workers that many rows at once: long texts then take less memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
