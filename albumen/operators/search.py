@@ -21,6 +21,9 @@ LONGEST_START = 24
 #: Query words up to this many are sent to every task; more are joined by a shuffle.
 BROADCAST_WORDS = 1 << 16
 
+#: Query words up to this many are looked for in whole texts before these are taken apart.
+FEW_WORDS = 64
+
 
 def token_table(rows: DataFrame, id_col: str, text_col: str, field: str) -> DataFrame:
     """(doc, field, pos, token) of each row's text."""
@@ -297,47 +300,159 @@ def row_condition(f: Column) -> Column:
     return F.when(name == "person", True).when(negated, ~met).otherwise(met)
 
 
-def search(queries: DataFrame, photos: DataFrame, tags: DataFrame, synonyms: DataFrame, persons: DataFrame | None = None, limit: int = 500, as_of: Column | None = None, candidate_cap: int = 200) -> DataFrame:
+# fixed values: ambiguous words and the tags that tell what is meant
+CONTEXTS = {
+    "cup": ("drink", "beverage", "coffee", "tea", "food"),
+    "glass": ("drink", "beverage", "wine", "water"),
+    "bat": ("sport", "baseball", "cricket"),
+    "spring": ("season", "flower", "bloom"),
+    "bark": ("dog", "tree"),
+    "mouse": ("computer", "animal"),
+}
+
+#: Numbers of the groups of a query that are not one of its words: all its words, its phrases, its starts of words.
+ALL_WORDS, PHRASES, STARTS = -1, 10_000, 20_000
+
+
+def _routes(queries: DataFrame, as_of: Column | None) -> DataFrame:
+    """The parsed queries with what decides their way: said (the text in lower case), foreign, bare, content (groups of words)."""
+    said = lower(F.trim(F.coalesce("text", F.lit(""))))
+    parsed = parse_searches(queries, as_of).join(queries.select(F.col("query_id").cast("long").alias("query_id"), said.alias("said"), F.trim("text").rlike(r"[^\x00-\x7F]").alias("foreign")), "query_id").filter("said <> ''")
+    left = F.transform("words", lambda g: F.filter(g, lambda w: ~w.isin(*STOP_WORDS)))
+    content = F.when(F.exists(left, lambda g: F.size(g) > 0), F.filter(left, lambda g: F.size(g) > 0)).otherwise(F.col("words"))
+    asks = (F.size("fields") > 0) | (F.size("must_not") > 0)
+    return parsed.withColumn("content", content).withColumn("bare", asks & (F.size("words") == 0) & (F.size("phrases") == 0) & (F.size("wildcards") == 0))
+
+
+def _groups(parsed: DataFrame, synonyms: DataFrame, dictionary: DataFrame | None) -> DataFrame:
+    """(query_id, group_id, word, kind) of all queries. kind: `multi` (all words of the group in one tag, or if no photo has
+    such a tag, any), `strict` (all words in one tag), `start` (a word's start)."""
+    english, foreign = parsed.filter("not foreign"), parsed.filter("foreign")
+    alts = english.select("query_id", F.posexplode("content").alias("group_id", "alts")).select("query_id", "group_id", F.explode("alts").alias("term"))
+    # a query in another language is one group: the dictionary's words, the text itself, the synonyms of its words
+    own = foreign.select("query_id", F.lit(0).alias("group_id"), F.explode(F.split("said", r"\s+")).alias("term"))
+    wide = expand_synonyms(alts.unionByName(own), synonyms).select("query_id", "group_id", F.col("expansion").alias("text"))
+    wide = wide.unionByName(foreign.select("query_id", F.lit(0).alias("group_id"), F.col("said").alias("text")))
+    if dictionary is not None:
+        known = translate_terms(foreign.select("query_id", F.col("said").alias("text")), dictionary)
+        wide = wide.unionByName(known.select("query_id", F.lit(0).alias("group_id"), F.explode("terms").alias("text")))
+    words = wide.select("query_id", "group_id", F.explode(tokens(F.col("text"))).alias("word")).distinct()
+    # a query of one word without synonyms takes it as a start
+    size = words.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    alone = english.filter((F.size("content") == 1) & (F.size("phrases") == 0) & (F.size("wildcards") == 0)).select("query_id", F.lit(True).alias("alone"))
+    words = words.join(size, "query_id").join(alone, "query_id", "left").select("query_id", "group_id", "word", F.when(F.col("alone") & (F.col("n") == 1), "start").otherwise("multi").alias("kind"))
+    every = english.filter(F.size("content") > 1).select("query_id", F.lit(ALL_WORDS).alias("group_id"), F.explode(tokens(F.array_join(F.flatten("content"), " "))).alias("word"), F.lit("multi").alias("kind")).distinct()
+    listed = lambda c, base, kind: english.select("query_id", F.posexplode(c).alias("g", "text")).select("query_id", (F.col("g") + base).alias("group_id"), F.explode(tokens(F.col("text"))).alias("word"), F.lit(kind).alias("kind")).distinct()
+    return words.unionByName(every).unionByName(listed("phrases", PHRASES, "strict")).unionByName(listed("wildcards", STARTS, "start"))
+
+
+def _group_hits(groups: DataFrame, tags: DataFrame, shown: DataFrame) -> DataFrame:
+    """(query_id, group_id, photo_id): the photos of every group. Words meet each distinct tag once; tags meet photos once."""
+    vocabulary = tags.select("tag").distinct().select("tag", F.explode(F.array_distinct(tokens(F.col("tag")))).alias("token"))
+    keyed = groups.select(F.struct("query_id", "group_id", "kind").alias("query_id"), "word")
+    exact = _hits(vocabulary, keyed.filter("query_id.kind <> 'start'"), ["tag"], False)
+    starts = _hits(vocabulary, keyed.filter("query_id.kind = 'start'"), ["tag"], True)
+    need = keyed.groupBy("query_id").agg(F.countDistinct("word").alias("need"))
+    met = exact.unionByName(starts).groupBy("query_id", "tag").agg(F.countDistinct("word").alias("have")).join(need, "query_id")
+    met = met.withColumn("whole", F.col("have") == F.col("need")).filter("whole or query_id.kind = 'multi'").select("query_id.query_id", "query_id.group_id", "tag", "whole")
+    hits = tags.select("photo_id", "tag").join(met, "tag").groupBy("query_id", "group_id", "photo_id").agg(F.max("whole").alias("whole"))
+    hits = cut(hits.join(shown, "photo_id", "left_semi"))
+    best = hits.groupBy("query_id", "group_id").agg(F.max("whole").alias("best"))
+    return hits.join(best, ["query_id", "group_id"]).filter("whole = best").select("query_id", "group_id", "photo_id")
+
+
+def _text_hits(parsed: DataFrame, photos: DataFrame, groups: DataFrame) -> DataFrame:
+    """(query_id, photo_id): a content word of two bytes or more starts a word of path or description; for a query in
+    another language also, a word of its group is one of the description's words."""
+    text = lambda *c: F.array_distinct(tokens(F.concat_ws(" ", *c)))
+    own = F.when(F.col("foreign"), F.col("said")).otherwise(F.array_join(F.flatten("content"), " "))
+    words = parsed.filter("not bare").select("query_id", F.explode(F.array_distinct(tokens(own))).alias("word")).filter(F.octet_length("word") >= 2)
+    said = groups.join(parsed.filter("foreign"), "query_id", "left_semi").filter(F.octet_length("word") >= 2).select("query_id", "word").distinct()
+    few = [r.word for r in words.select("word").unionByName(said.select("word")).distinct().limit(FEW_WORDS + 1).collect()]
+    if len(few) <= FEW_WORDS:  # texts without any of the words, the most by far, are not taken apart
+        photos = photos.filter(fold(F.concat_ws(" ", "path", "description")).rlike(rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(few)})"))
+    begun = _hits(photos.select("photo_id", F.explode(text("path", "description")).alias("token")), words, ["photo_id"], True)
+    if not said.isEmpty():
+        begun = begun.unionByName(_hits(photos.select("photo_id", F.explode(text("description")).alias("token")), said, ["photo_id"], False))
+    return begun.select("query_id", "photo_id")
+
+
+def _named(persons: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked's columns, photo_id): photos with a person whose name holds asked.name. Names are met once each."""
+    who = persons.select("photo_id", F.lower("name").alias("_name"))
+    return asked.join(who.select("_name").distinct(), F.col("_name").contains(F.col("name")) & (F.col("name") != "")).drop("name").join(who, "_name").drop("_name").distinct()
+
+
+def search(
+    queries: DataFrame, photos: DataFrame, tags: DataFrame, synonyms: DataFrame, persons: DataFrame | None = None, limit: int = 500, as_of: Column | None = None, candidate_cap: int = 200,
+    dictionary: DataFrame | None = None, contexts: DataFrame | None = None,
+) -> DataFrame:
     """(query_id, photo_id, score, rank) of queries(query_id, text).
 
     photos: summaries with tags, tag_count, folder, path, description, media_type, favorite, rating, private, created_at,
-    date_taken. Every group of alternatives (with synonyms and word forms; stop words alone make none) and every start of
-    a word (`sea*`) must be met by tags, path or description; a query whose words hit nothing falls back to tags near in
-    spelling; one of fields only takes all photos. Fields and excluded terms drop photos; several names of a person,
-    with commas, are alternatives; results are ordered by relevance.
+    date_taken. persons(photo_id, name), dictionary(source, target, context), contexts(word, tags; default CONTEXTS).
+
+    A query goes one of these ways. A text with other than ASCII letters that is a tag: its photos, by file name, as they
+    are. Fields and excluded terms only: all photos. Other such texts: photos with the dictionary's words, the text's own
+    or their synonyms. English words: each with its synonyms is a group that needs one of its words (all of them in one
+    tag, if a photo has such a tag); photos must be in every group that has photos; where no photo is, one of the plain
+    words is enough; stop words alone make no group; a single word without synonyms is a start. Then photos join whose
+    persons' names hold the text, or whose path or description has one of the words. Two photos or more with a tag of the
+    words' contexts put out those without; `person:` fields keep photos with such persons; a query of one group that finds
+    nothing takes tags near in spelling. Last, fields and excluded terms drop photos, and the rest is ordered by
+    relevance, then context, then id. Null and empty texts find nothing.
     """
-    parsed = cut(parse_searches(queries, as_of))  # as many rows as queries, read in every branch
-    said = F.transform("words", lambda g: F.filter(g, lambda w: ~w.isin(*STOP_WORDS)))
-    content = F.when(F.exists(said, lambda g: F.size(g) > 0), said).otherwise(F.col("words"))
-    groups = parsed.select("query_id", F.posexplode(content).alias("group_id", "alts")).select("query_id", "group_id", F.explode("alts").alias("term"))
-    groups = groups.unionByName(parsed.select("query_id", F.posexplode("phrases").alias("g", "term")).select("query_id", (F.col("g") + 10_000).alias("group_id"), "term"))
-    wide = expand_synonyms(groups, synonyms).select("query_id", "group_id", F.explode(term_variants(F.col("expansion"))).alias("text"))
-    # each (query, group, variant) is a small query of its own
-    as_queries = cut(wide.distinct()).select(F.struct("query_id", "group_id", "text").alias("query_id"), "text")
-    visible = photos.filter(~F.col("private"))
-    wild = parsed.select("query_id", F.posexplode("wildcards").alias("g", "text")).select("query_id", (F.col("g") + 20_000).alias("group_id"), "text")
-    met = lambda found: found.select("query_id.query_id", "query_id.group_id", "tag")
-    met_tags = met(matching_tags(tags, as_queries)).unionByName(met(matching_tags(tags, wild.select(F.struct("query_id", "group_id").alias("query_id"), "text"), prefix=True)))
-    by_tag = tags.select("photo_id", "tag").join(met_tags.distinct(), "tag").select("query_id", "group_id", "photo_id")
-    by_path = search_path(visible.select("photo_id", "path", "description"), as_queries).select("query_id.query_id", "query_id.group_id", "photo_id")
-    hits = by_tag.unionByName(by_path).distinct()
-    need = as_queries.select("query_id.query_id", "query_id.group_id").unionByName(wild.select("query_id", "group_id")).groupBy("query_id").agg(F.countDistinct("group_id").alias("need"))
-    full = cut(hits.groupBy("query_id", "photo_id").agg(F.count(F.lit(1)).alias("have")).join(need, "query_id").filter("have = need").select("query_id", "photo_id"))
-    none = groups.join(full.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "term").distinct()
-    fuzzy = tags.select("photo_id", F.lower("tag").alias("tag")).join(fuzzy_tags(tags, none, candidate_cap).select("query_id", "tag").distinct(), "tag").select("query_id", "photo_id")
-    found = full.unionByName(fuzzy).distinct()
-    rows = visible.join(found, "photo_id").join(parsed.select("query_id", "must", "phrases", "must_not", "fields"), "query_id").filter(F.forall("fields", row_condition))
-    bare = parsed.filter(F.size("fields") > 0).join(need.select("query_id"), "query_id", "left_anti").select("query_id", "must", "phrases", "must_not", "fields")
+    shown = photos.filter(~F.col("private"))
+    ids = shown.select("photo_id")
+    every = cut(_routes(queries, as_of))  # as many rows as queries, read in every branch
+    exact = cut(search_tag_exact(tags, every.filter("foreign and not bare").select("query_id", F.col("said").alias("text"))).join(ids, "photo_id", "left_semi"))
+    parsed = cut(every.join(exact.select("query_id").distinct(), "query_id", "left_anti"))
+    groups = cut(_groups(parsed.filter("not bare"), synonyms, dictionary))
+
+    hits = _group_hits(groups, tags, ids)
+    counted = hits.filter(F.col("group_id") != ALL_WORDS)
+    filled = counted.groupBy("query_id").agg(F.countDistinct("group_id").alias("of"))
+    common = cut(counted.groupBy("query_id", "photo_id").agg(F.count(F.lit(1)).alias("c")).join(filled, "query_id").filter("c = of").select("query_id", "photo_id"))
+    loose = hits.filter(F.col("group_id") == ALL_WORDS).join(filled, "query_id", "left_semi").join(common.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "photo_id")
+    found = common.unionByName(loose).unionByName(_text_hits(parsed, shown, groups).join(ids, "photo_id", "left_semi"))
+    if persons is not None:
+        found = found.unionByName(_named(persons, parsed.filter("not bare").select("query_id", F.col("said").alias("name"))))
+    found = found.distinct()
+
+    word = F.explode(F.split("said", r"\s+")).alias("w")
+    told = contexts if contexts is not None else queries.sparkSession.createDataFrame([(w, list(t)) for w, t in CONTEXTS.items()], "word string, tags array<string>")
+    told = parsed.join(told.select("word", F.explode("tags").alias("t")), F.col("said").contains(F.col("word"))).select("query_id", "t")  # queries x the list of contexts
+    if dictionary is not None:
+        meant = dictionary.filter("context is not null").select(fold(F.col("source")).alias("w"), F.explode("context").alias("t"))
+        told = told.unionByName(parsed.select("query_id", word).withColumn("w", fold(F.col("w"))).join(meant, "w").select("query_id", "t"))
+    told = told.groupBy("query_id").agg(F.collect_set(F.lower("t")).alias("context"))
+    overlap = F.size(F.filter("tags", lambda t: F.exists("context", lambda c: F.lower(t).contains(c))))
+    rows = found.join(told, "query_id", "left").join(shown.select("photo_id", "tags"), "photo_id")
+    rows = cut(rows.select("query_id", "photo_id", F.when(F.col("context").isNull(), 0).otherwise(overlap).alias("context")))
+    enough = rows.groupBy("query_id").agg((F.count_if(F.col("context") > 0) >= 2).alias("enough"))
+    rows = rows.join(enough, "query_id").filter(~F.col("enough") | (F.col("context") > 0)).drop("enough")
+
+    details = parsed.select("query_id", "must", "phrases", "must_not", "fields")
+    bare = parsed.filter("bare").select("query_id")
     if not bare.isEmpty():  # each of these asks every photo
-        rows = rows.unionByName(visible.join(bare, F.forall("fields", row_condition)).select(*rows.columns))
-    rows = exclude_terms(rows).withColumn("score", relevance())
+        rows = rows.unionByName(shown.select("photo_id").crossJoin(F.broadcast(bare)).select("query_id", "photo_id", F.lit(0).alias("context")))
     if persons is not None:
-        who = persons.select("photo_id", F.lower("name").alias("name"))
-        asked = parsed.select("query_id", F.posexplode("fields").alias("n", "f")).filter("f.field = 'person'").select("query_id", "n", F.split(F.lower("f.value"), r"\s*,\s*").alias("who"))
-        ok = asked.join(who, F.exists("who", lambda w: (w != "") & F.col("name").contains(w))).select("query_id", "n", "photo_id").distinct()
-        every = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("of"))
-        ok = ok.groupBy("query_id", "photo_id").agg(F.count(F.lit(1)).alias("c")).join(every, "query_id").filter("c = of")
-        free = rows.join(every.select("query_id"), "query_id", "left_anti")
-        rows = free.unionByName(rows.join(ok, ["query_id", "photo_id"], "left_semi"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "photo_id")
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("query_id", "photo_id", "score", "rank")
+        asked = parsed.select("query_id", F.posexplode("fields").alias("n", "f")).filter("f.field = 'person'")
+        if not asked.isEmpty():
+            ok = _named(persons, asked.select("query_id", "n", F.explode(F.split(F.lower("f.value"), r"\s*,\s*")).alias("name")))
+            of = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("of"))
+            ok = ok.groupBy("query_id", "photo_id").agg(F.countDistinct("n").alias("c")).join(of, "query_id").filter("c = of")
+            rows = rows.join(of, "query_id", "left_anti").unionByName(rows.join(ok, ["query_id", "photo_id"], "left_semi"))
+    rows = cut(rows)
+    single = parsed.filter((F.size("words") == 1) & ~F.col("bare")).join(rows.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.element_at(F.element_at("words", 1), 1).alias("term"))
+    if not single.isEmpty():
+        near = fuzzy_tags(tags, single, candidate_cap).select("query_id", F.lit(0).alias("group_id"), F.explode(tokens(F.col("tag"))).alias("word"), F.lit("multi").alias("kind")).distinct()
+        rows = rows.unionByName(_group_hits(near, tags, ids).select("query_id", "photo_id", F.lit(0).alias("context")))
+
+    rows = shown.join(rows, "photo_id").join(details, "query_id").filter(F.forall("fields", row_condition))
+    rows = exclude_terms(rows).withColumn("score", relevance())
+    first = Window.partitionBy("query_id")
+    rows = rows.withColumn("rank", F.row_number().over(first.orderBy(F.desc("score"), F.desc("context"), "photo_id"))).filter(F.col("rank") <= limit)
+    name = F.regexp_extract("path", r"[^/\\]*$", 0)
+    as_is = shown.join(exact, "photo_id").withColumn("rank", F.row_number().over(first.orderBy(name, "photo_id"))).filter(F.col("rank") <= limit)
+    return rows.select("query_id", "photo_id", "score", "rank").unionByName(as_is.select("query_id", "photo_id", F.lit(0.0).cast(rows.schema["score"].dataType).alias("score"), "rank"))

@@ -73,9 +73,25 @@ def _(lib):
     return keyed.select("query_id", "photo_id", "tag").join(flat, "query_id").drop("query_id")
 
 
-def _any(words):
-    tags, starts = ", ".join(f"'{w}'" for w in words), "|".join(words)
-    return f"(photo_id IN (SELECT photo_id FROM tags WHERE len(list_intersect(string_split(tag, ' '), [{tags}])) > 0) OR len(list_filter(toks, lambda t: regexp_matches(t, '^({starts})'))) > 0)"
+# the tags of visible photos with their words; a group's photos: all its words in one tag, or any where no photo has such a tag
+VT = "vt AS (SELECT t.photo_id, string_split(replace(t.tag, 'ı', 'i'), ' ') AS w FROM {tags} t JOIN photos USING (photo_id) WHERE NOT private)"
+
+
+def _multi(words):
+    every, some = (f" {op} ".join(f"list_contains(w, '{x}')" for x in words) for op in ("AND", "OR"))
+    return f"SELECT photo_id FROM vt WHERE ({some}) AND (({every}) OR NOT EXISTS (SELECT 1 FROM vt WHERE {every}))"
+
+
+def _start(word):
+    return f"SELECT photo_id FROM vt WHERE len(list_filter(w, lambda x: starts_with(x, '{word}'))) > 0"
+
+
+def _text(words):
+    return f"SELECT photo_id FROM seen WHERE len(list_filter(toks, lambda t: regexp_matches(t, '^({'|'.join(words)})'))) > 0"
+
+
+def _named(name):
+    return f"SELECT photo_id FROM faces JOIN persons USING (person_id) WHERE contains(lower(name), '{name}')"
 
 
 def _best(words):
@@ -86,21 +102,59 @@ def _best(words):
 SEEN = "seen AS (SELECT photo_id, path, favorite, least(greatest(coalesce(rating, 0), 0), 5) + CASE WHEN favorite THEN 1 ELSE 0 END + least(coalesce(n, 0), 20) // 5 AS extra, coalesce(tags, []) AS tags, regexp_extract_all(strip_accents(lower(path || ' ' || coalesce(description, ''))), '[\\p{L}\\p{N}]+') AS toks FROM photos LEFT JOIN (SELECT photo_id, count(*) n, list_sort(list(tag))[1:10] AS tags FROM tags GROUP BY 1) USING (photo_id) LEFT JOIN descriptions USING (photo_id) WHERE NOT private)"
 
 
-@query("search", f""", {SEEN}, hit AS (SELECT CAST(1 AS BIGINT) query_id, photo_id, {_best(['red'])} + {_best(['plates', 'plat'])} + extra AS score FROM seen WHERE {_any(['red'])} AND {_any(['plate', 'plat', 'dish', 'plates'])} AND NOT contains(path, '5') AND len(list_filter(tags, lambda t: contains(t, '5'))) = 0
-UNION ALL SELECT 2, photo_id, {_best(['dish', 'rod'])} + extra FROM seen WHERE {_any(['plate', 'plat', 'dish', 'rod', 'pole', 'plates'])}
-UNION ALL SELECT 3, photo_id, extra FROM seen WHERE photo_id IN (SELECT photo_id FROM tags WHERE tag = 'small widget'))
-SELECT * FROM (SELECT query_id, photo_id, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, photo_id) AS rank FROM hit) WHERE rank <= 500""", ("photos", "tags", "descriptions"))
+RANKED = "SELECT query_id, photo_id, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, c DESC, photo_id) AS rank FROM hit QUALIFY rank <= 500"
+
+
+def _hit(number, score, found, where="TRUE", context="0"):
+    return f"SELECT CAST({number} AS BIGINT) AS query_id, photo_id, {score} + extra AS score, {context} AS c FROM seen WHERE photo_id IN ({found}) AND {where}"
+
+
+NEAR = "near AS (SELECT list(DISTINCT x) AS n FROM (SELECT unnest(string_split(tag, ' ')) AS x FROM tags WHERE levenshtein('redplate', tag) <= 2))"
+CLOSE = "len(list_filter(n, lambda x: {} list_contains(w, x)))"
+FUZZY = f"SELECT photo_id FROM vt, near WHERE {CLOSE.format('')} > 0 AND ({CLOSE.format('NOT')} = 0 OR NOT EXISTS (SELECT 1 FROM vt, near WHERE {CLOSE.format('NOT')} = 0))"
+
+
+@query("search", f""", {SEEN}, {VT.format(tags="tags")}, {NEAR}, hit AS ({_hit(1, _best(['red']) + ' + ' + _best(['plates', 'plat']), f"({_multi(['red'])} INTERSECT {_multi(['plate', 'dish', 'plates'])}) UNION {_text(['red', 'plates'])}", "NOT contains(path, '5') AND len(list_filter(tags, lambda t: contains(t, '5'))) = 0")}
+UNION ALL {_hit(2, _best(['dish', 'rod']), _multi(['plate', 'dish', 'plates', 'rod', 'pole']) + " UNION " + _text(['dish', 'rod']))}
+UNION ALL {_hit(3, '0', FUZZY)})
+{RANKED}""", ("photos", "tags", "descriptions"))
 def _(lib):
     photos = photo_summary(lib.photos, lib.tags).join(lib.descriptions, "photo_id", "left")
-    texts = [(1, "red the Plates -5"), (2, "dish OR rod"), (3, '"smal widgett"')]
+    texts = [(1, "red the Plates -5"), (2, "dish OR rod"), (3, "redplate")]
     out = H.search(asked(lib, texts), photos, lib.tags, lib.spark.createDataFrame([*SYNONYMS, (1, "plates")], "group_id int, term string"))
     return out.select("query_id", "photo_id", F.col("score").cast("double").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+MANY = ["small", "gizmo", "blue", "ring", "plate", "large", "bolt", "rod"]
+ALL_OF = " INTERSECT ".join(f"({_multi([w])})" for w in MANY)
+CONTEXT = "len(list_filter(tags, lambda t: contains(t, 'hot') OR contains(t, 'small')))"
+SEEN2 = SEEN.replace("FROM tags GROUP", "FROM said GROUP")
+
+
+@query("search_routes", f""", said AS (SELECT photo_id, CASE WHEN tag = 'red plate' THEN 'kırmızı tabak' ELSE tag END AS tag FROM tags), {SEEN2}, {VT.format(tags="said")}, f5 AS (SELECT photo_id, {CONTEXT} AS c FROM seen WHERE photo_id IN ({_start('plate')} UNION {_text(['plate'])})), hit AS (
+{_hit(1, _best(['red']) + ' + ' + _best(['xyzzyqq']), _multi(['red']) + " UNION " + _text(['red', 'xyzzyqq']))}
+UNION ALL {_hit(2, _best(['person']) + ' + ' + _best(['3']), _named('person 3') + " UNION " + _text(['person']))}
+UNION ALL {_hit(3, _best(['kırmızı', 'kirmizi']) + ' + ' + _best(['anvil']), _multi(['red', 'kirmizi', 'anvil']) + " UNION " + _text(['kirmizi', 'anvil']) + " UNION SELECT photo_id FROM descriptions WHERE len(list_intersect(regexp_extract_all(strip_accents(lower(description)), '[\\p{L}\\p{N}]+'), ['red', 'kirmizi', 'anvil'])) > 0")}
+UNION ALL {_hit(5, _best(['plate', 'plat']), f"SELECT photo_id FROM f5 WHERE c > 0 OR (SELECT count(*) FROM f5 WHERE c > 0) < 2", context=CONTEXT)}
+UNION ALL {_hit(6, '0', _named('3'), "NOT contains(path, 'hot') AND len(list_filter(tags, lambda t: contains(t, 'hot'))) = 0")}
+UNION ALL {_hit(7, ' + '.join(_best([w]) for w in MANY), f"{ALL_OF} UNION (SELECT photo_id FROM ({_multi(MANY)}) WHERE NOT EXISTS ({ALL_OF})) UNION {_text(MANY)}")})
+{RANKED} UNION ALL SELECT 4, photo_id, 0.0, rank FROM (SELECT photo_id, row_number() OVER (ORDER BY regexp_extract(path, '[^/]*$'), photo_id) AS rank FROM photos WHERE NOT private AND photo_id IN (SELECT photo_id FROM said WHERE tag = 'kırmızı tabak')) WHERE rank <= 500""", ("photos", "tags", "descriptions", "faces", "persons"))
+def _(lib):
+    tags = lib.tags.withColumn("tag", F.when(F.col("tag") == "red plate", "kırmızı tabak").otherwise(F.col("tag")))
+    photos = photo_summary(lib.photos, tags).join(lib.descriptions, "photo_id", "left")
+    texts = [(1, "red xyzzyqq"), (2, "Person 3"), (3, "kırmızı anvil"), (4, " Kırmızı Tabak "), (5, "plate"), (6, "person:3 -hot"), (7, " ".join(MANY)), (8, "the qqzzy"), (9, None)]
+    make = lib.spark.createDataFrame
+    out = H.search(
+        asked(lib, texts), photos, tags, make([], "group_id int, term string"), lib.faces.join(lib.persons, "person_id").select("photo_id", "name"),
+        dictionary=make([("kırmızı", "red", None)], "source string, target string, context array<string>"), contexts=make([("plate", ["hot", "Small"])], "word string, tags array<string>"),
+    )
+    return out.select("query_id", "photo_id", F.col("score").cast("double").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 FOUND = "SELECT CAST({} AS BIGINT) query_id, photo_id FROM photos WHERE NOT private AND photo_id IN (SELECT photo_id FROM tags WHERE {}) AND {}"
 
 
-@query("search_fields", f"""{FOUND.format(1, "tag IN ('red plate', 'plate red') OR tag LIKE '%plate%'", "year(date_taken) = 1995 AND coalesce(rating, 0) >= 3")} UNION ALL {FOUND.format(2, "tag LIKE 'wid%' OR tag LIKE '% wid%'", "NOT favorite AND media_type = 'image' AND photo_id NOT IN (SELECT photo_id FROM tags WHERE tag LIKE '%hot%')")} UNION ALL SELECT 3, photo_id FROM photos WHERE NOT private AND path LIKE '%.png' AND folder = '/lib/5-LOW'""", ("photos", "tags"))
+@query("search_fields", f"""{FOUND.format(1, "tag LIKE 'plate%' OR tag LIKE '% plate%'", "year(date_taken) = 1995 AND coalesce(rating, 0) >= 3")} UNION ALL {FOUND.format(2, "tag LIKE 'wid%' OR tag LIKE '% wid%'", "NOT favorite AND media_type = 'image' AND photo_id NOT IN (SELECT photo_id FROM tags WHERE tag LIKE '%hot%')")} UNION ALL SELECT 3, photo_id FROM photos WHERE NOT private AND path LIKE '%.png' AND folder = '/lib/5-LOW'""", ("photos", "tags"))
 def _(lib):
     photos = photo_summary(lib.photos, lib.tags, 1_000_000).withColumn("description", F.lit(None).cast("string"))
     texts = [(1, "plate year:1995 rating:>=3"), (2, "wid* -fav:1 type:IMAGE -hot"), (3, "ext:png in:5-low")]
