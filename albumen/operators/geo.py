@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +12,6 @@ from .iterate import components, cut
 from .stats import taken, visible
 
 RADIUS_KM = 6371.0
-#: Coordinates of a connected set up to which it is worked through in order, in one group.
-SET_POINTS = 10_000
-#: Parts of a grid cell's side, for larger sets.
-FINE = 16
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -28,32 +24,62 @@ def _km(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
     return 2 * RADIUS_KM * math.asin(min(1.0, math.sqrt(a)))
 
 
-def leaders(points: list[tuple], radius: float) -> list[int]:
-    """For (id, lat, lon, n) in order: the number of the cluster each joins, nearest centre within the radius, else a new one."""
-    centres: list[list[float]] = []
-    out = []
-    for _, lat, lon, n in points:
-        best, at = radius, -1
-        for i, (a, b, _c) in enumerate(centres):
-            d = _km(lat, lon, a, b)
-            if d < best or (d == best and at < 0):
-                best, at = d, i
-        if at < 0:
-            centres.append([lat, lon, n])
-            at = len(centres) - 1
-        else:
-            a, b, c = centres[at]
-            centres[at] = [a + (lat - a) * n / (c + n), b + (lon - b) * n / (c + n), c + n]
-        out.append(at)
-    return out
+class Centres:
+    """Cluster centres of one connected set, in a grid of cells that a circle of the radius spans at most three by three of."""
+
+    def __init__(self, radius: float):
+        self.radius, self.angle = radius, radius / RADIUS_KM
+        self.side = math.degrees(self.angle) * 1.01
+        self.centres: list[tuple[float, float, int, int]] = []  # lat, lon, members, name
+        self.cells: dict[tuple[int, int], set[int]] = {}
+        self.columns: dict[int, int] = {}
+
+    def _columns(self, row: int) -> int:
+        """How many cells a row has: as many as fit while neighbouring ones cover the radius, one next to a pole."""
+        if row not in self.columns:
+            edge = max(abs(row), abs(row + 1)) * self.side + self.side
+            reach = math.sin(self.angle / 2) / math.cos(math.radians(edge)) if edge < 89 else 1.0
+            self.columns[row] = max(1, int(360 / math.degrees(2.02 * math.asin(reach)))) if reach < 0.9 else 1
+        return self.columns[row]
+
+    def _cell(self, lat: float, lon: float, row: int) -> int:
+        n = self._columns(row)
+        return int((lon + 180) % 360 / 360 * n) % n
+
+    def join(self, lat: float, lon: float, n: int, name: int) -> int:
+        """The name of the cluster that n points at a place join: the nearest centre within the radius, else a new one."""
+        row = math.floor(lat / self.side)
+        best, at = (self.radius, math.inf), None
+        for r in (row - 1, row, row + 1):
+            columns, c = self._columns(r), self._cell(lat, lon, r)
+            for x in {(c - 1) % columns, c, (c + 1) % columns}:
+                for i in self.cells.get((r, x), ()):
+                    found = (_km(lat, lon, *self.centres[i][:2]), i)
+                    if found <= best:
+                        best, at = found, i
+        if at is None:
+            at = len(self.centres)
+            self.centres.append((lat, lon, n, name))
+            self.cells.setdefault((row, self._cell(lat, lon, row)), set()).add(at)
+            return name
+        a, b, c, name = self.centres[at]
+        moved = (a + (lat - a) * n / (c + n), b + (lon - b) * n / (c + n))
+        self.centres[at] = (*moved, c + n, name)
+        was, now = ((r, self._cell(y, x, r)) for y, x in ((a, b), moved) for r in (math.floor(y / self.side),))
+        if was != now:
+            self.cells[was].discard(at)
+            self.cells.setdefault(now, set()).add(at)
+        return name
 
 
 def gps_clusters(photos: DataFrame, radius: float = 1.5, least: int = 3) -> DataFrame:
     """(photo_id, cluster_id) of visible photos with coordinates, in clusters of at least `least`; cluster_id is the first photo's.
 
-    Photos join, in order of their ids, the nearest cluster centre within the radius. Points that could ever meet lie in
-    connected cells of a grid of 2.1 radii, so each connected set is worked through by itself. Photos of equal coordinates
-    join together, at the place of the first; sets of over SET_POINTS coordinates are clustered by joins of small cells.
+    Photos join, in order of their ids, the nearest cluster centre within the radius; photos of equal coordinates join
+    together, at the place of the first. Points that could ever meet lie in connected cells of a grid of 2.1 radii, so
+    each connected set is worked through by itself, at any size by the same rule: its coordinates pass through a task as a
+    stream in order, and what the task holds is the set's centres. Every step depends on the centres that the steps before
+    have moved, so a set is one task's time, some ten microseconds a coordinate.
     """
     side = 2.1 * radius / (RADIUS_KM * math.pi / 180)  # degrees of latitude
     p = visible(photos).filter("gps_lat is not null and gps_lon is not null").select("photo_id", F.col("gps_lat").alias("lat"), F.col("gps_lon").alias("lon"))
@@ -78,51 +104,25 @@ def gps_clusters(photos: DataFrame, radius: float = 1.5, least: int = 3) -> Data
     sets = components(edges, cells.select(F.col("cell").alias("node")).distinct()).select(F.col("node").alias("cell"), F.col("label").alias("set"))
 
     points = p.groupBy("cell", "cy", "zone", "wide", "lat", "lon").agg(F.count(F.lit(1)).alias("n"), F.min("photo_id").alias("photo_id"))
-    points = cut(points.join(sets, "cell"))
-    sizes = points.groupBy("set").agg((F.count(F.lit(1)) > SET_POINTS).alias("large"))
-    points = cut(points.join(sizes, "set"))
-
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("photo_id")
-        d["c"] = leaders(list(zip(d.photo_id, d.lat, d.lon, d.n, strict=True)), radius)
-        d["cluster_id"] = d.groupby("c").photo_id.transform("min")
-        return d[["lat", "lon", "n", "cluster_id"]]
-
-    small = points.filter("not large").select("set", "photo_id", "lat", "lon", "n").groupBy("set").applyInPandas(run, "lat double, lon double, n long, cluster_id long")
-    found = cut(small.unionByName(_large(points.filter("large"), edges, side, radius)))
+    points = points.join(sets, "cell")
+
+    def run(batches):
+        held, centres = None, None
+        for batch in batches:
+            names = []
+            for label, photo, lat, lon, n in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if label != held:
+                    held, centres = label, Centres(radius)
+                names.append(centres.join(lat, lon, n, photo))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (2, 3, 4)), pa.array(names, pa.int64())], ["lat", "lon", "n", "cluster_id"])
+
+    dealt = points.select("set", "photo_id", "lat", "lon", "n").repartition("set").sortWithinPartitions("set", "photo_id")
+    found = cut(dealt.mapInArrow(run, "lat double, lon double, n long, cluster_id long"))
     keep = found.groupBy("cluster_id").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("cluster_id")
     kept = cut(found.join(keep, "cluster_id", "left_semi").select("lat", "lon", "cluster_id"))
     return p.join(kept, ["lat", "lon"]).select("photo_id", "cluster_id")
 
 
-def _large(points: DataFrame, edges: DataFrame, side: float, radius: float) -> DataFrame:
-    """(lat, lon, n, cluster_id) of points by cells of a FINE-th of the grid's: centres are cells that no earlier one, in
-    hashed order, has within the radius, found in rounds; each cell joins the nearest centre."""
-    points = points.withColumn("f", F.xxhash64("cell", F.floor(F.col("lat") * (FINE / side)), F.floor(F.col("lon") * FINE / F.col("wide"))))
-    cells = points.groupBy("f", "cell").agg((F.sum(F.col("lat") * F.col("n")) / F.sum("n")).alias("lat"), (F.sum(F.col("lon") * F.col("n")) / F.sum("n")).alias("lon"), F.min("photo_id").alias("first"))
-    cells = cut(cells)
-    if cells.isEmpty():
-        return points.select("lat", "lon", "n", F.col("photo_id").alias("cluster_id"))
-    mates = edges.select("a", "b").unionByName(cells.select(F.col("cell").alias("a"), F.col("cell").alias("b")).distinct())
-    left = cells.select(F.col("f"), F.col("cell").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
-    right = cells.select(F.col("f").alias("g"), F.col("cell").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    near = left.join(mates, "a").join(right, "b").withColumn("d", haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
-    near = cut(near.filter((F.col("d") <= radius) | (F.col("f") == F.col("g"))).select("f", "g", "d"))
-    live, centres = cut(cells.select("f")), []
-    while not live.isEmpty():
-        among = near.join(live, "f", "left_semi").join(live.select(F.col("f").alias("g")), "g", "left_semi")
-        won = cut(among.groupBy("f").agg(F.min(F.struct(F.xxhash64("g"), "g"))["g"].alias("g")).filter("f = g").select("g"))
-        centres.append(won)
-        live = cut(live.join(near.join(won, "g", "left_semi").select("f"), "f", "left_anti"))
-    all_centres = centres[0]
-    for c in centres[1:]:
-        all_centres = all_centres.unionByName(c)
-    joined = near.join(all_centres, "g", "left_semi").groupBy("f").agg(F.min(F.struct("d", "g"))["g"].alias("g"))
-    joined = cut(joined.join(cells.select("f", "first"), "f"))
-    names = joined.groupBy("g").agg(F.min("first").alias("cluster_id"))
-    return points.join(joined.join(names, "g").select("f", "cluster_id"), "f").select("lat", "lon", "n", "cluster_id")
-
-
 def list_clusters(photos: DataFrame, clusters: DataFrame) -> DataFrame:
     """(cluster_id, n, lat, lon, first_day, last_day) of members (photo_id, cluster_id)."""
     rows = photos.join(clusters, "photo_id").withColumn("_d", taken())

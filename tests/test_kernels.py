@@ -116,40 +116,61 @@ def test_nms(spark):
     assert sorted(r.face_id for r in A.nms(df).collect()) == [1, 3, 4]
 
 
-@pytest.mark.parametrize("lat", [0.0, 38.0, 60.0])
+def sequential(points, radius):
+    """The plain rule over (id, lat, lon) in order: {id: first id of its cluster}."""
+    lat, lon, size, name, out = np.zeros(len(points)), np.zeros(len(points)), np.zeros(len(points)), [], {}
+    for i, a, b in points:
+        k = len(name)
+        y, x = np.radians(lat[:k]), np.radians(lon[:k])
+        h = np.sin((y - math.radians(a)) / 2) ** 2 + np.cos(y) * math.cos(math.radians(a)) * np.sin((x - math.radians(b)) / 2) ** 2
+        d = 2 * G.RADIUS_KM * np.arcsin(np.minimum(1, np.sqrt(h)))
+        if k and d.min() <= radius:
+            k = int(d.argmin())
+            lat[k] += (a - lat[k]) / (size[k] + 1)
+            lon[k] += (b - lon[k]) / (size[k] + 1)
+        else:
+            lat[k], lon[k] = a, b
+            name.append(i)
+        size[k] += 1
+        out[i] = name[k]
+    return out
+
+
+def clustered(spark, points, least=1):
+    df = spark.createDataFrame([(*p, False) for p in points], "photo_id long, gps_lat double, gps_lon double, private boolean")
+    return {r.photo_id: r.cluster_id for r in G.gps_clusters(df, 1.5, least).collect()}
+
+
+@pytest.mark.parametrize("lat", [0.0, 38.0, 60.0, -84.0])
 def test_gps_clusters_are_the_sequential_ones(spark, lat):
     rng = random.Random(int(lat) + 1)
     hubs = [(lat + rng.uniform(-1.5, 1.5), 20 + rng.uniform(-1.5, 1.5)) for _ in range(12)]
-    pts = [(i, a + rng.gauss(0, 0.012), b + rng.gauss(0, 0.012), 1) for i in range(160) for a, b in [rng.choice(hubs)]]
-    df = spark.createDataFrame([(i, a, b, False) for i, a, b, _ in pts], "photo_id long, gps_lat double, gps_lon double, private boolean")
-    got = {r.photo_id: r.cluster_id for r in G.gps_clusters(df, 1.5, 1).collect()}
-    first = {}
-    for (i, *_), c in zip(pts, G.leaders(pts, 1.5), strict=True):
-        first.setdefault(c, i)
-    assert got == {i: first[c] for (i, *_), c in zip(pts, G.leaders(pts, 1.5), strict=True)}
+    points = [(i, a + rng.gauss(0, 0.012), b + rng.gauss(0, 0.012)) for i in range(160) for a, b in [rng.choice(hubs)]]
+    assert clustered(spark, points) == sequential(points, 1.5)
 
 
-def test_large_gps_sets_are_clustered_by_joins(spark, monkeypatch):
+def test_a_set_of_30000_coordinates_that_chain_together(spark):
     rng = random.Random(9)
-    pts = [(i, 38 + rng.uniform(0, 0.15), 20 + rng.uniform(0, 0.15), False) for i in range(250)] + [(1000 + i, 38.07, 20.07, False) for i in range(200)] + [(5000, 50.0, 3.0, False)]
-
-    def counted(points, radius, leaders=G.leaders):
-        if len(points) > 40:
-            raise AssertionError("a group of an unbounded size")
-        return leaders(points, radius)
-
-    monkeypatch.setattr(G, "SET_POINTS", 40)
-    monkeypatch.setattr(G, "leaders", counted)
-    df = spark.createDataFrame(pts, "photo_id long, gps_lat double, gps_lon double, private boolean")
-    got = {r.photo_id: r.cluster_id for r in G.gps_clusters(df, 1.5, 1).collect()}
-    assert set(got) == {i for i, *_ in pts} and got[5000] == 5000 and len({got[1000 + i] for i in range(200)}) == 1
-    members = {}
-    for i, a, b, _ in pts:
-        members.setdefault(got[i], []).append((i, a, b))
-    assert 10 < len(members) < 120
-    for c, m in members.items():
-        assert c == min(i for i, *_ in m) and all(G._km(x[1], x[2], y[1], y[2]) <= 2 * 1.5 * 1.2 for x in m for y in m)
-    assert {r.photo_id for r in G.gps_clusters(df, 1.5, 100).collect()} >= {1000 + i for i in range(200)}
+    points = [(i, 38 + rng.uniform(0, 0.4), 20 + rng.uniform(0, 1.5)) for i in range(30_000)]
+    assert clustered(spark, points) == sequential(points, 1.5)
+
+
+@pytest.mark.parametrize(("lat", "lon"), [(10.0, 180.0), (88.95, 40.0), (-89.99, 0.0), (0.0, 0.0)])
+def test_centres_are_found_across_the_seams_of_the_grid(lat, lon):
+    rng = random.Random(3)
+    turn = lambda x: (x + 180) % 360 - 180
+    points = [(i, max(-90.0, min(90.0, lat + rng.uniform(-0.05, 0.05))), turn(lon + rng.uniform(-0.05, 0.05) / max(0.02, math.cos(math.radians(lat))))) for i in range(400)]
+    for i, a, b in points:
+        held = G.Centres(1.5)
+        held.join(a, b, 1, i)
+        for j, y, x in points[:60]:
+            assert (G.Centres.join.__get__(_copy(held))(y, x, 1, -1 - j) == i) == (G._km(a, b, y, x) <= 1.5)
+
+
+def _copy(held):
+    out = G.Centres(held.radius)
+    out.centres, out.cells = list(held.centres), {k: set(v) for k, v in held.cells.items()}
+    return out
 
 
 def test_equal_coordinates_join_together(spark):
