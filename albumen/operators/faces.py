@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from .iterate import components, cut
 from .maintain import assign_faces
-from .vectors import cosine, robust_centroid, similarity_pairs
+from .vectors import cosine, robust_centroid, similarity_groups, similarity_pairs
 
 
-def _against(faces: DataFrame, known: DataFrame, least: float = -1.5) -> DataFrame:
-    """(face_id, person_id, sim) of every face and named face."""
-    refs = known.select(F.col("face_id").alias("ref_id"), "person_id", "embedding")
-    return similarity_pairs(faces, refs, least).join(refs.select("ref_id", "person_id"), "ref_id")
+def _one(rows: DataFrame) -> DataFrame:
+    """rows as the references of one group."""
+    return rows.select(F.lit(0).alias("person_id"), "embedding")
 
 
 def recognise_faces(faces: DataFrame, best: float = 0.55, margin: float = 0.08, support: float = 0.45) -> DataFrame:
@@ -26,8 +25,7 @@ def recognise_faces(faces: DataFrame, best: float = 0.55, margin: float = 0.08,
     """
     known = faces.filter("assignment = 'named' and embedding is not null")
     sizes = known.groupBy("person_id").agg(F.count(F.lit(1)).alias("size"))
-    pairs = _against(faces.filter("assignment = 'unassigned' and embedding is not null"), known, 0.0)
-    per = pairs.groupBy("face_id", "person_id").agg(F.max("sim").alias("top"), F.count_if(F.col("sim") >= support).alias("sup")).join(sizes, "person_id")
+    per = similarity_groups(faces.filter("assignment = 'unassigned'"), known, 0.0, support).join(sizes, "person_id")
     w = Window.partitionBy("face_id").orderBy(F.desc("top"), "person_id")
     ranked = per.withColumn("r", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("top").over(w), F.lit(0.0)))
     ok = (F.col("r") == 1) & (F.col("top") >= best) & (F.col("top") - F.col("second") >= margin) & ((F.col("size") < 3) | (F.col("sup") >= 2))
@@ -37,8 +35,7 @@ def recognise_faces(faces: DataFrame, best: float = 0.55, margin: float = 0.08,
 def suggest_matches(faces: DataFrame, k: int = 3, least: float = 0.35) -> DataFrame:
     """(face_id, person_id, sim, rank): up to k (1 to 8) persons for each unassigned face."""
     k = min(8, max(1, k))
-    pairs = _against(faces.filter("assignment = 'unassigned' and embedding is not null"), faces.filter("assignment = 'named' and embedding is not null"), least)
-    per = pairs.groupBy("face_id", "person_id").agg(F.max("sim").alias("sim"))
+    per = similarity_groups(faces.filter("assignment = 'unassigned'"), faces.filter("assignment = 'named'"), least).select("face_id", "person_id", F.col("top").alias("sim"))
     return per.withColumn("rank", F.row_number().over(Window.partitionBy("face_id").orderBy(F.desc("sim"), "person_id"))).filter(F.col("rank") <= k)
 
 
@@ -48,7 +45,7 @@ def propagate_name(faces: DataFrame, seeds: DataFrame, least: float = 0.40, with
     vectors = faces.join(named.withColumnRenamed("person_id", "_p"), "face_id").select("face_id", F.col("_p").alias("person_id"), "embedding")
     states = ("unassigned", "skipped") if with_skipped else ("unassigned",)
     free = faces.filter(F.col("assignment").isin(*states)).join(named.select("face_id"), "face_id", "left_anti")
-    near = _against(free, vectors, least).groupBy("face_id").agg(F.max_by("person_id", F.struct("sim", -F.col("person_id"))).alias("person_id"))
+    near = similarity_groups(free, vectors, least).groupBy("face_id").agg(F.max_by("person_id", F.struct("top", -F.col("person_id"))).alias("person_id"))
     return assign_faces(faces, named.unionByName(near.select("face_id", "person_id")))
 
 
@@ -57,14 +54,14 @@ def propagate_skip(faces: DataFrame, seeds: DataFrame, least: float = 0.30) -> D
     from .maintain import set_assignment
 
     live = faces.join(seeds.select("face_id").distinct(), "face_id", "left_semi").filter("assignment <> 'named'")
-    near = similarity_pairs(faces.filter("assignment = 'unassigned'"), live.select(F.col("face_id").alias("ref_id"), "embedding"), least).select("face_id").distinct()
+    near = similarity_groups(faces.filter("assignment = 'unassigned'"), _one(live), least).select("face_id")
     return set_assignment(faces, "skipped", near.unionByName(live.select("face_id")).distinct())
 
 
 def skip_on_insert(new: DataFrame, faces: DataFrame, clusters: DataFrame, face_least: float = 0.25, cluster_least: float = 0.30) -> DataFrame:
     """new faces with assignment: skipped near a skipped face or a centroid of a skipped cluster(cluster_id, n, embedding) of two or more."""
-    a = similarity_pairs(new, faces.filter("assignment = 'skipped'").select(F.col("face_id").alias("ref_id"), "embedding"), face_least).select("face_id")
-    b = similarity_pairs(new, clusters.filter("n >= 2").select(F.col("cluster_id").alias("ref_id"), "embedding"), cluster_least).select("face_id")
+    a = similarity_groups(new, _one(faces.filter("assignment = 'skipped'")), face_least).select("face_id")
+    b = similarity_groups(new, _one(clusters.filter("n >= 2")), cluster_least).select("face_id")
     hit = a.unionByName(b).distinct().withColumn("_s", F.lit(True))
     return new.join(hit, "face_id", "left").withColumn("assignment", F.when(F.col("_s"), "skipped").otherwise("unassigned")).drop("_s")
 
@@ -77,10 +74,10 @@ def triage_unknown(faces: DataFrame, shown: DataFrame, best: float = 0.65, margi
     """
     free = faces.filter("assignment = 'unassigned' and embedding is not null")
     centres = robust_centroid(faces.filter("assignment = 'named' and embedding is not null"), "person_id").filter("n >= 2").select(F.col("person_id").alias("ref_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    known = similarity_pairs(free, centres, -1.5)
-    w = Window.partitionBy("face_id").orderBy(F.desc("sim"), "ref_id")
-    top = known.withColumn("r", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("sim").over(w), F.lit(0.0))).filter("r = 1").select("face_id", F.col("ref_id").alias("_p"), F.col("sim").alias("_k"), "second")
-    bad = similarity_pairs(free, faces.filter("assignment = 'skipped'").select(F.col("face_id").alias("ref_id"), "embedding"), -1.5).groupBy("face_id").agg(F.max("sim").alias("_s"))
+    known = similarity_groups(free, centres, -1.5, group="ref_id", keep=2)
+    w = Window.partitionBy("face_id").orderBy(F.desc("top"), "ref_id")
+    top = known.withColumn("r", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("top").over(w), F.lit(0.0))).filter("r = 1").select("face_id", F.col("ref_id").alias("_p"), F.col("top").alias("_k"), "second")
+    bad = similarity_groups(free, _one(faces.filter("assignment = 'skipped'")), -1.5).select("face_id", F.col("top").alias("_s"))
     rows = free.select("face_id").join(top, "face_id", "left").join(bad, "face_id", "left").join(shown.select("face_id", F.lit(True).alias("_seen")).distinct(), "face_id", "left")
     k, s = F.coalesce("_k", F.lit(-1.0)), F.coalesce("_s", F.lit(-1.0))
     name = (k >= best) & (k - F.col("second") >= margin) & (k > s)

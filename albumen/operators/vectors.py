@@ -76,36 +76,76 @@ def _matrix(column) -> np.ndarray:
 
 def similarity_pairs(rows: DataFrame, refs: DataFrame, least: float, row_id: str = "face_id", ref_id: str = "ref_id", col: str = "embedding") -> DataFrame:
     """(row_id, ref_id, sim): every pair of unit vectors whose product is at least `least`. Rows without a vector take no part."""
-    rows, refs = rows.select(row_id, col).filter(F.col(col).isNotNull()), refs.select(ref_id, F.col(col)).filter(F.col(col).isNotNull())
-    kinds = f"{row_id} {rows.schema[row_id].dataType.simpleString()}, {ref_id} {refs.schema[ref_id].dataType.simpleString()}, sim double"
-    about = refs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(col)), F.lit(0)).alias("d")).first()
 
     def hits(ids, vectors, ref_ids, ref_vectors):
-        if not len(vectors) or not len(ref_vectors) or vectors.shape[1] != ref_vectors.shape[1]:
-            return
         for lo in range(0, len(ref_vectors), BLOCK):
             sims = vectors.astype(np.float64) @ ref_vectors[lo : lo + BLOCK].astype(np.float64).T
             i, j = np.nonzero(sims >= least)
             if len(i):
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ref_ids.take(pa.array(j + lo)), pa.array(sims[i, j])], [row_id, ref_id, "sim"])
 
+    return _products(rows, refs, row_id, ref_id, col, hits, "sim double")
+
+
+def similarity_groups(rows: DataFrame, refs: DataFrame, least: float, support: float = 2.0, row_id: str = "face_id", group: str = "person_id", col: str = "embedding", keep: int | None = None) -> DataFrame:
+    """(row_id, group, top, sup): for each row and group of references the greatest product, from `least` on, and how many
+    reach `support`. The kernel brings a block of references down to its groups before anything leaves the task, and these
+    states are merged by key.
+
+    keep: only the best groups of each row matter; where every group is one reference, a block sends no more than those.
+    """
+
+    def hits(ids, vectors, keys, ref_vectors):
+        names = keys.to_numpy(zero_copy_only=False)
+        order = np.argsort(names, kind="stable")
+        for lo in range(0, len(order), BLOCK):
+            at = order[lo : lo + BLOCK]
+            first = np.flatnonzero(np.r_[True, names[at[1:]] != names[at[:-1]]])
+            sims = vectors.astype(np.float64) @ ref_vectors[at].astype(np.float64).T
+            top = np.maximum.reduceat(sims, first, axis=1)
+            sup = np.add.reduceat((sims >= support).astype(np.int64), first, axis=1)
+            ok = top >= least
+            if keep is not None and top.shape[1] > keep:
+                best = np.argsort(-top, axis=1, kind="stable")[:, :keep]  # equal ones by the group's order
+                among = np.zeros_like(ok)
+                np.put_along_axis(among, best, True, axis=1)
+                ok &= among
+            i, j = np.nonzero(ok)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), keys.take(pa.array(at[first[j]])), pa.array(top[i, j]), pa.array(sup[i, j])], [row_id, group, "top", "sup"])
+
+    states = _products(rows, refs, row_id, group, col, hits, "top double, sup long")
+    return states.groupBy(row_id, group).agg(F.max("top").alias("top"), F.sum("sup").alias("sup"))
+
+
+def _products(rows: DataFrame, refs: DataFrame, row_id: str, key: str, col: str, hits, found: str) -> DataFrame:
+    """What hits(row ids, row vectors, reference keys, reference vectors) gives for blocks of rows and references, all with all."""
+    rows, refs = rows.select(row_id, col).filter(F.col(col).isNotNull()), refs.select(key, F.col(col)).filter(F.col(col).isNotNull())
+    kinds = f"{row_id} {rows.schema[row_id].dataType.simpleString()}, {key} {refs.schema[key].dataType.simpleString()}, {found}"
+    about = refs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(col)), F.lit(0)).alias("d")).first()
+
+    def met(ids, vectors, keys, ref_vectors):
+        if len(vectors) and len(ref_vectors) and vectors.shape[1] == ref_vectors.shape[1]:
+            yield from hits(ids, vectors, keys, ref_vectors)
+
     if about.n * about.d * 4 <= BROADCAST_BYTES:
         table = refs.toArrow().combine_chunks()
-        blob = rows.sparkSession.sparkContext.broadcast((table[ref_id].combine_chunks() if len(table) else pa.array([], pa.int64()), _matrix(table[col])))
+        blob = rows.sparkSession.sparkContext.broadcast((table[key].combine_chunks() if len(table) else pa.array([], pa.int64()), _matrix(table[col])))
 
         def run(batches):
-            ref_ids, ref_vectors = blob.value
+            keys, ref_vectors = blob.value
             for batch in batches:
                 for lo in range(0, len(batch), BLOCK):
                     part = batch.slice(lo, BLOCK)
-                    yield from hits(part.column(0), _matrix(part.column(1)), ref_ids, ref_vectors)
+                    yield from met(part.column(0), _matrix(part.column(1)), keys, ref_vectors)
 
         return rows.mapInArrow(run, kinds)
 
     n = rows.agg(F.count(F.lit(1)).alias("n")).first().n
     row_cuts, ref_cuts = max(1, -(-n // BLOCK)), max(1, -(-about.n // BLOCK))
     left = rows.withColumn("rc", F.pmod(F.xxhash64(row_id), F.lit(row_cuts)).cast("int")).groupBy("rc").agg(F.collect_list(F.struct(F.col(row_id).alias("i"), F.col(col).alias("v"))).alias("l"))
-    right = refs.withColumn("fc", F.pmod(F.xxhash64(ref_id), F.lit(ref_cuts)).cast("int")).groupBy("fc").agg(F.collect_list(F.struct(F.col(ref_id).alias("i"), F.col(col).alias("v"))).alias("r"))
+    # by the vector, so that a group of any size is spread
+    right = refs.withColumn("fc", F.pmod(F.xxhash64(key, col), F.lit(ref_cuts)).cast("int")).groupBy("fc").agg(F.collect_list(F.struct(F.col(key).alias("i"), F.col(col).alias("v"))).alias("r"))
     # each cut of the rows goes to each block of references: (cuts x blocks) tasks' worth of products
     both = left.withColumn("fc", F.explode(F.sequence(F.lit(0), F.lit(ref_cuts - 1)))).repartition(row_cuts * ref_cuts if row_cuts * ref_cuts < 10_000 else 10_000, "rc", "fc").join(right, "fc").select("l", "r")
 
@@ -113,7 +153,7 @@ def similarity_pairs(rows: DataFrame, refs: DataFrame, least: float, row_id: str
         for batch in batches:
             for k in range(len(batch)):
                 left, right = batch.column(0)[k].values, batch.column(1)[k].values
-                yield from hits(left.field("i"), _matrix(left.field("v")), right.field("i"), _matrix(right.field("v")))
+                yield from met(left.field("i"), _matrix(left.field("v")), right.field("i"), _matrix(right.field("v")))
 
     return both.mapInArrow(blocks, kinds)
 

@@ -297,3 +297,21 @@ def test_exports_come_back(spark, tmp_path):
     assert {r.photo_id: r.gps and r.gps.lat for r in spark.read.json(f"{tmp_path}/json").collect()} == {1: None, 2: 1.0}
     I.export_markdown(photos, tags, f"{tmp_path}/md")
     assert "### y.jpg" in [r.value for r in spark.read.text(f"{tmp_path}/md").collect()]
+
+
+@pytest.mark.parametrize("limit", [1 << 25, 64])
+def test_best_of_each_group(spark, monkeypatch, limit):
+    monkeypatch.setattr(V, "BROADCAST_BYTES", limit)
+    m = unit(np.random.default_rng(6), 90, 6)
+    df = vectors(spark, m).repartition(3)
+    refs = df.withColumn("person_id", (F.col("face_id") % 4).cast("long"))
+    sims = m.astype(float) @ m.astype(float).T
+    got = {(r.face_id, r.person_id): (round(r.top, 6), r.sup) for r in V.similarity_groups(df, refs, 0.1, 0.4).collect()}
+    want = {(i, g): (round(sims[i, g::4].max(), 6), int((sims[i, g::4] >= 0.4).sum())) for i in range(90) for g in range(4) if sims[i, g::4].max() >= 0.1}
+    assert got == want
+    two = V.similarity_groups(df, df.withColumnRenamed("face_id", "person_id"), -1.5, keep=2).collect()
+    best = {i: {j for j in sorted(range(90), key=lambda j: (-sims[i, j], j))[:2]} for i in range(90)}
+    found = {}
+    for r in two:
+        found.setdefault(r.face_id, set()).add(r.person_id)
+    assert all(best[i] <= found[i] for i in best) and max(map(len, found.values())) <= 4
