@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.iterate import cut
 
-def dense_positions(df: DataFrame, key: str, descending: bool = False, name: str = "rank") -> DataFrame:
-    """df with 1-based positions by a unique whole-number key.
 
-    Rows are numbered within ranges of the key and ranges get offsets from their counts; only one row for each range is
-    ever gathered.
-    """
-    bounds = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / 256))
-    cut = df.crossJoin(F.broadcast(bounds)).withColumn("_b", F.floor((F.col(key) - F.col("lo")) / width))
-    cut = cut.withColumn("_b", -F.col("_b") if descending else F.col("_b")).drop("lo", "hi")
-    sizes = cut.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+def ranges(df: DataFrame, key: str, descending: bool = False) -> DataFrame:
+    """df in order of key, with _part and _at: the range partition of a row and its place there. Bounds come from a sample of
+    the keys, so ranges hold about as many rows each however the keys lie."""
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = F.desc(key) if descending else F.asc(key)
-    within = cut.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(order)))
-    return within.join(F.broadcast(before), "_b").withColumn(name, F.col("_r") + F.col("_before")).drop("_b", "_r", "_before")
+    dealt = df.repartitionByRange(n, order).sortWithinPartitions(order)
+    return cut(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+
+
+def dense_positions(df: DataFrame, key: str, descending: bool = False, name: str = "rank") -> DataFrame:
+    """df with 1-based positions by a unique key. Ranges get offsets from their counts: one row for each is ever gathered."""
+    dealt = ranges(df, key, descending)
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_before"))
+    return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")

@@ -74,15 +74,73 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+#: Vectors that pivots are chosen from, how many pivots, and rows of a block that is multiplied.
+SAMPLE, PIVOTS, TILE = 4096, 32, 512
+
+
+def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
+    """Vectors of the sample that lie far from one another: each next one is the farthest from all before."""
+    if not len(sample):
+        return sample.astype(np.float64)
+    m = sample.astype(np.float64)
+    at = [0]
+    far = np.linalg.norm(m - m[0], axis=1)
+    while len(at) < min(n, len(m)) and far.max() > 1e-9:
+        at.append(int(far.argmax()))
+        far = np.minimum(far, np.linalg.norm(m - m[at[-1]], axis=1))
+    return m[at]
+
+
+class Tiles:
+    """Vectors in order of their nearest pivot, cut into tiles, each with the range of its distances to every pivot."""
+
+    def __init__(self, m: np.ndarray, pivots: np.ndarray, size: int = TILE):
+        m = m.astype(np.float64)
+        squares = (m * m).sum(1)
+        d = np.sqrt(np.maximum(0, squares[:, None] + (pivots * pivots).sum(1)[None] - 2 * m @ pivots.T))
+        cell = d.argmin(1) if len(m) else np.zeros(0, np.int64)
+        self.order = np.argsort(cell, kind="stable")
+        heads = np.flatnonzero(np.r_[True, np.diff(cell[self.order]) > 0]) if len(m) else np.zeros(0, np.int64)
+        ends = np.r_[heads[1:], len(m)]
+        self.heads = np.array([x for a, b in zip(heads, ends, strict=True) for x in range(a, b, size)], np.int64)
+        self.ends = np.r_[self.heads[1:], len(m)][: len(self.heads)]
+        self.vectors = m[self.order]
+        if len(m):
+            self.low, self.high = (f.reduceat(d[self.order], self.heads, axis=0) for f in (np.minimum, np.maximum))
+            self.squares = np.maximum.reduceat(squares[self.order], self.heads)
+
+    def meets(self, other: Tiles, least: float) -> np.ndarray:
+        """Which tiles of other can hold a vector whose product with one of a tile is `least`: by the triangle inequality,
+        distances of such two to any pivot differ by no more than their own distance."""
+        if not len(self.heads) or not len(other.heads):
+            return np.zeros((len(self.heads), len(other.heads)), bool)
+        eps = np.sqrt(np.maximum(0, self.squares[:, None] + other.squares[None] - 2 * least)) + 1e-5
+        gap = np.maximum(other.low[None] - self.high[:, None], self.low[:, None] - other.high[None]).max(2)
+        return gap <= eps
+
+
 def similarity_pairs(rows: DataFrame, refs: DataFrame, least: float, row_id: str = "face_id", ref_id: str = "ref_id", col: str = "embedding") -> DataFrame:
-    """(row_id, ref_id, sim): every pair of unit vectors whose product is at least `least`. Rows without a vector take no part."""
+    """(row_id, ref_id, sim): every pair of unit vectors whose product is at least `least`. Rows without a vector take no part.
+
+    Pivots are chosen from a sample of SAMPLE references; they decide which tiles are multiplied, never the result. Each
+    block of rows and of references is put in order of its nearest pivots, and only tiles that can hold a pair meet.
+    """
+    sample = refs.select(col).filter(F.col(col).isNotNull()).orderBy(F.xxhash64(col)).limit(SAMPLE).toArrow()
+    pivots = choose_pivots(_matrix(sample[col]))
+    held: list = [None, None]  # the references that a task was sent last, and their tiles
 
     def hits(ids, vectors, ref_ids, ref_vectors):
-        for lo in range(0, len(ref_vectors), BLOCK):
-            sims = vectors.astype(np.float64) @ ref_vectors[lo : lo + BLOCK].astype(np.float64).T
+        if not len(pivots) or vectors.shape[1] != pivots.shape[1]:
+            return
+        if held[0] is not ref_vectors:
+            held[:] = ref_vectors, Tiles(ref_vectors, pivots)
+        mine, theirs = Tiles(vectors, pivots), held[1]
+        for a, b in zip(*np.nonzero(mine.meets(theirs, least)), strict=True):
+            x, y = slice(mine.heads[a], mine.ends[a]), slice(theirs.heads[b], theirs.ends[b])
+            sims = mine.vectors[x] @ theirs.vectors[y].T
             i, j = np.nonzero(sims >= least)
             if len(i):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ref_ids.take(pa.array(j + lo)), pa.array(sims[i, j])], [row_id, ref_id, "sim"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(mine.order[x][i])), ref_ids.take(pa.array(theirs.order[y][j])), pa.array(sims[i, j])], [row_id, ref_id, "sim"])
 
     return _products(rows, refs, row_id, ref_id, col, hits, "sim double")
 

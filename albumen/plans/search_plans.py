@@ -131,13 +131,13 @@ CONTEXT = "len(list_filter(tags, lambda t: contains(t, 'hot') OR contains(t, 'sm
 SEEN2 = SEEN.replace("FROM tags GROUP", "FROM said GROUP")
 
 
-@query("search_routes", f""", said AS (SELECT photo_id, CASE WHEN tag = 'red plate' THEN 'kırmızı tabak' ELSE tag END AS tag FROM tags), {SEEN2}, {VT.format(tags="said")}, f5 AS (SELECT photo_id, {CONTEXT} AS c FROM seen WHERE photo_id IN ({_start('plate')} UNION {_text(['plate'])})), hit AS (
+@query("search_routes", f""", said AS (SELECT photo_id, CASE WHEN tag = 'red plate' THEN 'kırmızı tabak' ELSE tag END AS tag FROM tags), {SEEN2}, {VT.format(tags="said")}, f5 AS (SELECT photo_id, {CONTEXT} AS c FROM seen WHERE photo_id IN ({_start('plate')} UNION {_text(['plate'])})), f7 AS (SELECT photo_id, {CONTEXT} AS c FROM seen WHERE photo_id IN ({ALL_OF} UNION (SELECT photo_id FROM ({_multi(MANY)}) WHERE NOT EXISTS ({ALL_OF})) UNION {_text(MANY)})), hit AS (
 {_hit(1, _best(['red']) + ' + ' + _best(['xyzzyqq']), _multi(['red']) + " UNION " + _text(['red', 'xyzzyqq']))}
 UNION ALL {_hit(2, _best(['person']) + ' + ' + _best(['3']), _named('person 3') + " UNION " + _text(['person']))}
 UNION ALL {_hit(3, _best(['kırmızı', 'kirmizi']) + ' + ' + _best(['anvil']), _multi(['red', 'kirmizi', 'anvil']) + " UNION " + _text(['kirmizi', 'anvil']) + " UNION SELECT photo_id FROM descriptions WHERE len(list_intersect(regexp_extract_all(strip_accents(lower(description)), '[\\p{L}\\p{N}]+'), ['red', 'kirmizi', 'anvil'])) > 0")}
-UNION ALL {_hit(5, _best(['plate', 'plat']), f"SELECT photo_id FROM f5 WHERE c > 0 OR (SELECT count(*) FROM f5 WHERE c > 0) < 2", context=CONTEXT)}
+UNION ALL {_hit(5, _best(['plate', 'plat']), "SELECT photo_id FROM f5 WHERE c > 0 OR (SELECT count(*) FROM f5 WHERE c > 0) < 2", context=CONTEXT)}
 UNION ALL {_hit(6, '0', _named('3'), "NOT contains(path, 'hot') AND len(list_filter(tags, lambda t: contains(t, 'hot'))) = 0")}
-UNION ALL {_hit(7, ' + '.join(_best([w]) for w in MANY), f"{ALL_OF} UNION (SELECT photo_id FROM ({_multi(MANY)}) WHERE NOT EXISTS ({ALL_OF})) UNION {_text(MANY)}")})
+UNION ALL {_hit(7, ' + '.join(_best([w]) for w in MANY), "SELECT photo_id FROM f7 WHERE c > 0 OR (SELECT count(*) FROM f7 WHERE c > 0) < 2", context=CONTEXT)})
 {RANKED} UNION ALL SELECT 4, photo_id, 0.0, rank FROM (SELECT photo_id, row_number() OVER (ORDER BY regexp_extract(path, '[^/]*$'), photo_id) AS rank FROM photos WHERE NOT private AND photo_id IN (SELECT photo_id FROM said WHERE tag = 'kırmızı tabak')) WHERE rank <= 500""", ("photos", "tags", "descriptions", "faces", "persons"))
 def _(lib):
     tags = lib.tags.withColumn("tag", F.when(F.col("tag") == "red plate", "kırmızı tabak").otherwise(F.col("tag")))

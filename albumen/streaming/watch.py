@@ -68,21 +68,65 @@ def live(state: DataFrame) -> DataFrame:
     return state.filter(~F.col("deleted"))
 
 
-def changes_since(state: DataFrame, cursor) -> DataFrame:
-    """What another device has yet to see."""
-    return state.filter(F.col("updated_at") > F.lit(cursor))
+def changes_since(state: DataFrame, cursor, kinds: list[str] | None = None, cut_after: int | None = None) -> DataFrame:
+    """What another device has yet to see: rows written after the cursor, of these kinds, tombstones among them.
 
-
-def merge_stream(changes: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the merged state of a change stream under state_path: a version for the last batch and for the one before,
-    which a batch that is run again starts from."""
+    cut_after: a page of about that many rows, in order of writing; rows of one time are never parted, so the greatest
+    updated_at of a page (`next_cursor`) is where the next one starts.
+    """
+    out = state.filter(F.col("updated_at") > F.lit(cursor))
+    out = out if kinds is None else out.filter(F.col("kind").isin(*kinds))
+    if cut_after is None:
+        return out
+    last = out.select("updated_at").orderBy("updated_at").limit(cut_after).agg(F.max("updated_at").alias("_last"))
+    return out.join(F.broadcast(last), F.col("updated_at") <= F.col("_last")).drop("_last")
+
+
+def next_cursor(page: DataFrame, cursor) -> DataFrame:
+    """One row: the cursor after a page; the same where it is empty."""
+    return page.agg(F.coalesce(F.max("updated_at"), F.lit(cursor)).alias("next_cursor"))
+
+
+def _held(spark: SparkSession, state_path: str, below: int | None = None) -> dict[int, list[tuple[int, str]]]:
+    """For each bucket its versions in order, of batches that were written whole (and come before batch `below`)."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(state_path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[int, list[tuple[int, str]]] = {}
+    for done in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/v*/_SUCCESS")) or []:
+        folder = done.getPath().getParent()
+        version = int(folder.getName()[1:])
+        if below is None or version < below:
+            for part in fs.listStatus(folder):
+                if part.isDirectory() and (name := part.getPath().getName()).startswith("bucket="):
+                    found.setdefault(int(name[7:]), []).append((version, part.getPath().toString()))
+    return {b: sorted(v) for b, v in found.items()}
+
+
+def merged_state(spark: SparkSession, schema, state_path: str, buckets: list[int] | None = None, below: int | None = None) -> DataFrame:
+    """The state that merge_stream keeps: of every bucket its last version."""
+    held = _held(spark, state_path, below)
+    paths = [held[b][-1][1] for b in (sorted(held) if buckets is None else buckets) if b in held]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def merge_stream(changes: DataFrame, state_path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keeps the merged state of a change stream under state_path, in buckets of the key's hash.
+
+    A batch reads and writes only the buckets that its changes fall in, so what it writes follows the batch and not the
+    state. Each touched bucket gets a version of the batch's number; a batch that is run again starts from the versions
+    before its own and writes the same. The version before the last is kept for that, older ones go.
+    """
 
     def put(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.schema(batch.schema).parquet(f"{state_path}/v{batch_id - 1}") if batch_id else spark.createDataFrame([], batch.schema)
-        merge_changes(before, batch).write.mode("overwrite").parquet(f"{state_path}/v{batch_id}")
-        if batch_id > 1:
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/v{batch_id - 2}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        rows = cut(batch.withColumn("bucket", F.pmod(F.xxhash64("kind", "photo_hash", "tag"), F.lit(buckets)).cast("int")))
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # `buckets` rows at most
+        before = merged_state(spark, batch.schema, state_path, touched, batch_id)
+        merged = merge_changes(before, rows.drop("bucket")).withColumn("bucket", F.pmod(F.xxhash64("kind", "photo_hash", "tag"), F.lit(buckets)).cast("int"))
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state_path}/v{batch_id}")
+        for versions in (v for b, v in _held(spark, state_path).items() if b in touched):
+            for _, old in versions[:-2]:
+                path = spark._jvm.org.apache.hadoop.fs.Path(old)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

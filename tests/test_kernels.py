@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pytest
 from albumen.functions import text as X
+from albumen.functions.order import dense_positions, ranges
 from albumen.operators import faces as A
 from albumen.operators import filters as L
 from albumen.operators import geo as G
@@ -315,3 +316,28 @@ def test_best_of_each_group(spark, monkeypatch, limit):
     for r in two:
         found.setdefault(r.face_id, set()).add(r.person_id)
     assert all(best[i] <= found[i] for i in best) and max(map(len, found.values())) <= 4
+
+
+def test_few_tiles_meet_and_no_pair_is_lost(spark):
+    m = unit(np.random.default_rng(7), 3000, 24, groups=40, noise=0.05)
+    pivots = V.choose_pivots(m[:: len(m) // 500])
+    tiles = V.Tiles(m, pivots, 64)
+    meets = tiles.meets(tiles, 0.8)
+    sims = m.astype(float) @ m.astype(float).T
+    a, b = np.nonzero(sims >= 0.8)
+    place = np.empty(len(m), int)
+    place[tiles.order] = np.repeat(np.arange(len(tiles.heads)), tiles.ends - tiles.heads)
+    assert meets[place[a], place[b]].all() and meets.mean() < 0.2
+    df = vectors(spark, m)
+    got = {(r.face_id, r.ref_id) for r in V.similarity_pairs(df.repartition(3), df.withColumnRenamed("face_id", "ref_id"), 0.8).collect()}
+    assert got == set(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_positions_of_keys_that_lie_together(spark):
+    keys = [*range(1000), *(10**12 + 10**9 * i for i in range(100))]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(5)
+    for down in (False, True):
+        got = {r.k: r["rank"] for r in dense_positions(df, "k", down).collect()}
+        assert got == {k: i + 1 for i, k in enumerate(sorted(keys, reverse=down))}
+    sizes = [r["count"] for r in ranges(df, "k").groupBy("_part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) <= 1.5 * len(keys) / 4
