@@ -46,19 +46,20 @@ def bare(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, "^[^\\p{L}\\p{N}%$€£°]+|[^\\p{L}\\p{N}%$€£°]+$", ""))
 
 
-def template(raw: Column) -> Column:
-    """Template words of an array of words; one for each word."""
+def _pairs(raw: Column) -> Column:
+    """(low, t) of each of an array of words: in lower case without marks, and as template."""
 
     def one(w: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get(raw, i - 1)).otherwise(F.lit("."))
         low = bare(w)
-        return (
-            F.when(w.rlike(r"^\p{Ll}+$"), F.when(w.isin(*UNITS), "<unit>").otherwise(w))  # most words: nothing to strip
-            .when(w.rlike("[0-9]"), "<num>")
+        other = (
+            F.when(w.rlike("[0-9]"), "<num>")
             .when(low.isin(*UNITS), "<unit>")
             .when(w.rlike("^\\P{L}*\\p{Lu}\\p{Ll}+\\P{L}*$") & ~before.rlike("[.!?:]\\P{L}*$"), "<name>")
             .otherwise(low)
         )
+        pair = lambda low, t: F.struct(low.alias("low"), t.alias("t"))
+        return F.when(w.rlike(r"^\p{Ll}+$"), pair(w, F.when(w.isin(*UNITS), "<unit>").otherwise(w))).otherwise(pair(low, other))  # most words: nothing to strip
 
     return F.transform(raw, one)
 
@@ -66,8 +67,7 @@ def template(raw: Column) -> Column:
 def _tokens(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """keys, and tokens, an array of (low, t) of a text's words: in lower case without marks, and as templates; words of marks alone go."""
     raw = df.select(*keys, words(F.col(text)).alias("w"))
-    pairs = F.zip_with(F.transform("w", bare), template(F.col("w")), lambda low, t: F.struct(low.alias("low"), t.alias("t")))
-    return raw.select(*keys, F.filter(pairs, lambda x: x["low"] != "").alias("tokens"))
+    return raw.select(*keys, F.filter(_pairs(F.col("w")), lambda x: x["low"] != "").alias("tokens"))
 
 
 def _starts(n: Column, k: int) -> Column:
@@ -83,15 +83,11 @@ def _hashed(df: DataFrame, *keys: str) -> DataFrame:
 def _windows() -> Column:
     """An array of (pos, win) of the columns of _hashed: each window's words, and its templates if enough are plain."""
 
-    def at(i: Column) -> Column:
-        held = F.slice("held", i, F.lit(WINDOW))
-        free = F.size(F.filter(held, lambda x: ~x))
-        low = F.xxhash64(F.slice("low", i, F.lit(WINDOW)))
-        both = F.array(low, F.xxhash64(F.slice("t", i, F.lit(WINDOW))))
-        wins = F.when(F.array_contains(held, True) & (free >= LEAST_PLAIN), both).otherwise(F.array(low))
-        return F.transform(wins, lambda x: F.struct((i - 1).alias("pos"), x.alias("win")))
-
-    return F.flatten(F.transform(_starts(F.size("low"), WINDOW), at))
+    starts = _starts(F.size("low"), WINDOW)
+    free = lambda i: F.size(F.array_remove(F.slice("held", i, F.lit(WINDOW)), True))
+    mixed = F.filter(starts, lambda i: free(i).between(LEAST_PLAIN, WINDOW - 1))
+    prints = lambda words, at: F.transform(at, lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.slice(words, i, F.lit(WINDOW))).alias("win")))
+    return F.concat(prints("low", starts), prints("t", mixed))
 
 
 def _whole(k: int, i: Column) -> Column:
