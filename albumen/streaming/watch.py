@@ -12,9 +12,10 @@ from ..operators.iterate import cut
 from ..sources.media import SCHEMA, classify_media, content_hash, only_media
 
 
-def watched_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """A stream of the media files below a folder, with content hashes."""
-    files = spark.readStream.schema(SCHEMA).format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+def watched_files(spark: SparkSession, folder: str, pattern: str = "*", max_files: int | None = None) -> DataFrame:
+    """A stream of the media files below a folder, with content hashes; at most max_files of them in a batch."""
+    reader = spark.readStream.schema(SCHEMA).format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    files = (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).load(folder)
     return only_media(files).select("path", "length", "modificationTime", content_hash().alias("hash"), classify_media().alias("media_type"))
 
 
@@ -23,11 +24,25 @@ def debounce(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["path"])
 
 
-def watch_ingest(files: DataFrame, library_path: str, checkpoint: str, available_now: bool = True, after=None) -> StreamingQuery:
+def settled(events: DataFrame, quiet: str = "5 seconds", delay: str = "1 minute", ts: str = "modificationTime") -> DataFrame:
+    """The last event of each path once no other came for `quiet`, with the columns of events.
+
+    Events of a path that lie closer than `quiet` are one session, however long it is; of equal times the greatest row
+    counts. A session is given out when the watermark (the latest time less `delay`) has passed its end; events that come
+    later than that are lost, and so are those without a time. Repeated events change nothing.
+    """
+    rest = [c for c in events.columns if c not in ("path", ts)]
+    calm = events.withWatermark(ts, delay).groupBy(F.session_window(ts, quiet), "path").agg(F.max(F.struct(ts, *rest)).alias("last"))
+    return calm.select("path", "last.*").select(*events.columns)
+
+
+def watch_ingest(files: DataFrame, library_path: str, checkpoint: str, available_now: bool = True, after=None, progress_path: str | None = None) -> StreamingQuery:
     """Appends what is new to the Parquet library(path, length, modificationTime, hash, media_type) at library_path.
 
     Files of one batch are taken once for each path and content. A batch that is run again after a failure finds its own
-    rows in the library and adds nothing. after(batch_rows, batch_id) sees the rows that were added.
+    rows in the library and adds nothing. after(batch_rows, batch_id) sees the rows that were added. files may be
+    `settled`: then a path that is made and changed is taken once, as it was last. progress_path keeps what was scanned
+    of each folder, in a folder for each batch that a repeated batch writes again; `scan_progress` reads it.
     """
 
     def put(batch: DataFrame, batch_id: int) -> None:
@@ -36,6 +51,10 @@ def watch_ingest(files: DataFrame, library_path: str, checkpoint: str, available
         # cut off from the library, which is about to change
         new = cut(ingest_new_files(batch, library, dedupe_within_batch=True).filter("not path_conflict").select(*batch.columns))
         new.write.mode("append").parquet(library_path)
+        if progress_path is not None:
+            folder = F.regexp_replace("path", "/[^/]*$", "").alias("folder")
+            seen = batch.groupBy(folder).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+            seen.write.mode("overwrite").parquet(f"{progress_path}/batch={batch_id}")
         if after is not None:
             after(new, batch_id)
 
@@ -46,6 +65,12 @@ def watch_ingest(files: DataFrame, library_path: str, checkpoint: str, available
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
 
 
+def scan_progress(spark: SparkSession, progress_path: str) -> DataFrame:
+    """(folder, files, bytes, last_batch) of what the batches of watch_ingest have scanned so far."""
+    rows = spark.read.schema("folder string, files long, bytes long, batch long").parquet(progress_path)
+    return rows.groupBy("folder").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), F.max("batch").alias("last_batch"))
+
+
 def watch_state(watch: DataFrame, added: DataFrame) -> DataFrame:
     """watch folders after the added files: last_checked moves to the latest."""
     return touch_watch_folders(watch, added.select(F.regexp_replace("path", r"/[^/]*$", "").alias("folder"), F.col("modificationTime").alias("ts")))

@@ -3,8 +3,10 @@
 import datetime as dt
 import random
 
+import pytest
 from albumen.sources.media import list_media
 from albumen.streaming import watch as W
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 
@@ -40,6 +42,39 @@ def test_debounce(spark, tmp_path):
     assert sorted(r.path for r in spark.table("calm").collect()) == ["a", "b"]
 
 
+def test_a_changed_file_is_taken_as_it_was_last(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1, 12)
+    row = lambda path, s, h: (f"/p/{path}.jpg", 10 + s, t + dt.timedelta(seconds=s), h, "image")
+    schema = "path string, length long, modificationTime timestamp, hash string, media_type string"
+    steps = [[row("a", 0, "half"), row("b", 1, "b")], [row("a", 4, "more"), row("a", 8, "whole"), row("a", 8, "whole"), (None, 1, t, "n", "image")], [row("later", 600, "l")], [row("b", 3, "late")]]
+    for events in steps:
+        spark.createDataFrame(events, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/ev")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/ev")
+        W.watch_ingest(W.settled(stream), f"{tmp_path}/lib", f"{tmp_path}/ck").awaitTermination()
+    got = {r.path: (r.hash, r.length) for r in spark.read.parquet(f"{tmp_path}/lib").filter("path IS NOT NULL").collect()}
+    assert got == {"/p/a.jpg": ("whole", 18), "/p/b.jpg": ("b", 11)}
+
+
+def test_a_scan_goes_on_after_a_failure(spark, tmp_path):
+    inbox, lib, ck, done = tmp_path / "in", f"{tmp_path}/lib", f"{tmp_path}/ck", f"{tmp_path}/done"
+    for i in range(6):
+        put(inbox / ("a" if i < 4 else "b"), f"{i}.jpg", b"x" * (i + 1))
+    scan = lambda after: W.watch_ingest(W.watched_files(spark, str(inbox), max_files=3), lib, ck, after=after, progress_path=done)
+
+    def fail(new, batch_id):  # written, not yet committed
+        raise RuntimeError("lost")
+
+    with pytest.raises(StreamingQueryException):
+        scan(fail).awaitTermination()
+    assert spark.read.parquet(lib).count() == 3
+    added = []
+    scan(lambda new, i: added.append((i, new.count()))).awaitTermination()
+    assert added == [(0, 0), (1, 3)]
+    assert sorted(r.length for r in spark.read.parquet(lib).collect()) == [1, 2, 3, 4, 5, 6]
+    got = {r.folder.rsplit("/", 1)[1]: (r.files, r.bytes) for r in W.scan_progress(spark, done).collect()}
+    assert got == {"a": (4, 10), "b": (2, 11)}
+
+
 def test_state_and_queue(spark):
     t = dt.datetime(2024, 1, 1)
     added = spark.createDataFrame([("/p/x/1.jpg", t), ("/q/2.jpg", t)], "path string, modificationTime timestamp")
