@@ -152,3 +152,11 @@ def test_a_text_of_megabytes(spark, documents):
     text = f"{sentence(rng, 150000)} {item.upper()} {sentence(rng, 150000)}"
     got = D.contaminated(documents([(1, text), (2, sentence(rng, 50))]), bench_of(spark, [(1, item)])).collect()
     assert [(r.doc_id, r.n_words) for r in got] == [(1, 30)]
+
+
+def test_kept_rows_keep_their_columns(spark, documents):
+    rng = random.Random(10)
+    item = question(rng, 20)
+    docs = documents([(1, item.lower()), (1, "another text under the id"), (None, item.upper()), (2, None), (3, "")]).selectExpr("*", "7 AS item_id", "'x' AS _gone", "0 AS tk")
+    kept = D.keep_clean(docs, bench_of(spark, [(1, item), (2, None), (3, "")]))
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(1, "another text under the id"), (2, ""), (3, "")]
