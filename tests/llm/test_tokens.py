@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -31,6 +32,42 @@ def test_ids_are_those_of_tiktoken(spark, documents, ranks):
     assert collections.Counter(map(tuple, got)) == collections.Counter(want)
 
 
+def test_very_long_pieces_are_those_of_tiktoken(spark, documents, ranks):
+    import tiktoken
+
+    coder = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(ranks)}, special_tokens={})
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(letters, k=n)) for letters, n in (("acgt", 200_000), ("etaoinshrdlu", 60_000), ("漢字語文日本", 20_000), ("a", 9_999), ("ab", bpe.LONG + 1))]
+    rows = [(i, f"so {t} it, {t[:3000]}") for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.roundtrip_digest(documents(rows), ranks, P.PATTERN).collect()}
+    for i, t in rows:
+        ids = coder.encode_ordinary(t)
+        assert got[i] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_folded_pieces_in_vocabularies_whose_longer_tokens_come_first():
+    import tiktoken
+
+    rng = random.Random(3)
+    for _ in range(100):
+        tokens = [bytes([b]) for b in range(256)]
+        more = sorted({bytes(rng.choices(b"abc", k=rng.randint(2, 5))) for _ in range(40)})
+        rng.shuffle(more)
+        tokens += more
+        coder = tiktoken.Encoding("odd", pat_str="[a-c]+", mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+        table, piece = bpe.PairTable(tokens), bytes(rng.choices(b"abc", k=rng.choice([2, 300, 3000])))
+        assert bpe._merge_folded(table.byte[np.frombuffer(piece, np.uint8)], table).tolist() == coder.encode_ordinary(piece.decode())
+
+
+def test_token_columns_may_clash(documents, ranks):
+    df = documents([(1, "hello there")])
+    more = df.selectExpr("*", "1 AS n_tokens", "2 AS ids_sha256", "3 AS decoded_sha256", "4 AS ids", "5 AS n")
+    assert bpe.roundtrip_digest(more, ranks, P.PATTERN).collect() == bpe.roundtrip_digest(df, ranks, P.PATTERN).collect()
+    path = P.path("word_bpe_49k.json")
+    more = df.selectExpr("*", "1 AS start", "2 AS n_tokens", "3 AS ids_crc32", "4 AS ids", "5 AS part")
+    assert tokenbin.written_digest(more, path).collect() == tokenbin.written_digest(df, path).collect()
+
+
 def test_encode_and_decode(spark, documents, ranks):
     df = documents([(1, "hello there"), (2, None)])
     back = {r.doc_id: bytes(r.text_bytes) for r in bpe.decode(bpe.encode(df, ranks, P.PATTERN), ranks).collect()}
