@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from ..operators import geo as G
 from ..operators import pixels as P
 from ..operators import search as H
 from ..operators.filters import photo_summary
+from ..operators.iterate import shared_folder
+from ..operators.postings import Postings
 from ..streaming import watch as W
 from .registry import query
 
@@ -58,6 +61,20 @@ def _(lib):
     return H.search_path(lib.photos.withColumn("description", F.lit(None).cast("string")), asked(lib, [(1, "urg a heic")]))
 
 
+@query("search_kept", """, texts AS (SELECT p.photo_id, regexp_split_to_array(lower(p.path || ' ' || coalesce(d.description, '')), '[^a-z0-9äöüßéèêçàñóíúáâîôûëï]+') AS w FROM photos p LEFT JOIN descriptions d USING (photo_id) WHERE NOT p.private)
+SELECT CAST(1 AS BIGINT) AS query_id, photo_id FROM texts WHERE len(list_filter(w, lambda x: starts_with(x, 'urg') OR starts_with(x, 'heic'))) > 0
+UNION ALL SELECT 2, photo_id FROM texts WHERE len(list_filter(w, lambda x: starts_with(x, 'thonou') OR starts_with(x, 'schber'))) > 0""", ("photos", "descriptions"))
+def _(lib):
+    """Paths are indexed first; described photos are then indexed anew with their descriptions, private ones go."""
+    kept = Postings(lib.spark, f"{shared_folder(lib.spark)}/postings-{uuid.uuid4().hex}")
+    kept.add(0, H.token_table(lib.photos, "photo_id", "path", "text"))
+    said = lib.photos.filter("not private").join(lib.descriptions, "photo_id").select("photo_id", F.concat_ws(" ", "path", "description").alias("text"))
+    kept.add(1, H.token_table(said, "photo_id", "text", "text"), said.select(F.col("photo_id").alias("doc")).union(lib.photos.filter("private").select("photo_id")))
+    kept.compact()
+    words = asked(lib, [(1, "urg heic"), (2, "thonou schber")])
+    return H.search_any_word(kept.read(words, prefix=True), words, ["doc"], prefix=True).withColumnRenamed("doc", "photo_id")
+
+
 @query("search_description", "SELECT CAST(1 AS BIGINT) AS query_id, photo_id FROM descriptions WHERE len(list_intersect(regexp_split_to_array(lower(description), '[^a-z0-9äöüßéèêçàñóíúáâîôûëï]+'), ['thonou', 'schber'])) > 0", ("descriptions",))
 def _(lib):
     return H.search_description(lib.descriptions, asked(lib, [(1, "thonou schber x")]))
