@@ -218,6 +218,26 @@ def test_leaks(spark, documents):
     assert decontaminate.contaminated(documents(rows), bench.limit(0)).count() == 0
 
 
+CLASHING = ["tk", "n_words", "size", "first", "last", "said", "win", "pos", "ipos", "diag", "item_id", "kind", "w", "h", "low", "t", "tokens", "score", "labels", "gram", "_gone", "_gone_text", "rejected", "held_out"]
+
+
+def test_further_columns_may_clash(spark, documents):
+    bench = spark.createDataFrame([(7, ITEM), (8, None)], "item_id long, text string")
+    docs = documents([(1, f"Some words. {ITEM} more words"), (2, "released under the MIT license"), (3, None), (4, "plain words of no one"), (4, "12 ..")])
+    more = docs.selectExpr("*", *[f"'x' AS {c}" for c in CLASHING if c not in docs.columns])
+    odd = bench.selectExpr("*", *[f"'x' AS {c}" for c in CLASHING if c not in bench.columns], "'x' AS doc_id")
+    rows = lambda df: collections.Counter(map(tuple, df.collect()))
+    assert rows(licenses.scan(more)) == rows(licenses.scan(docs))
+    found = rows(decontaminate.contaminated(more, odd))
+    assert found == rows(decontaminate.contaminated(docs, bench)) and [r[:2] for r in found] == [(1, 7)]
+    clean = decontaminate.keep_clean(more, odd)
+    assert clean.columns == more.columns and rows(clean) == rows(more.filter("doc_id <> 1"))
+    model = langid.learn(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    known = langid.keep_identified(more, model)
+    assert known.columns == more.columns and rows(known) == rows(langid.keep_identified(docs, model).selectExpr("*", *[f"'x' AS {c}" for c in CLASHING if c not in docs.columns]))
+    assert known.count() == 3
+
+
 def test_slots_must_agree(spark, documents):
     item = "from 10 to 10 then back from 20 to 10 with the same slow train every single morning"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
