@@ -341,3 +341,10 @@ def test_positions_of_keys_that_lie_together(spark):
         assert got == {k: i + 1 for i, k in enumerate(sorted(keys, reverse=down))}
     sizes = [r["count"] for r in ranges(df, "k").groupBy("_part").count().collect()]
     assert len(sizes) == 4 and max(sizes) <= 1.5 * len(keys) / 4
+
+
+def test_letters_of_their_own_do_not_fold(spark):
+    texts = spark.createDataFrame([(1, "über ßchber"), (2, "SCHBÉR"), (3, "søk"), (4, "sok łodz")], "photo_id long, description string")
+    asked = spark.createDataFrame([(1, "schber"), (2, "sok"), (3, "lodz")], "query_id long, text string")
+    got = H.search_description(texts, asked).collect()
+    assert {(r.query_id, r.photo_id) for r in got} == {(1, 2), (2, 4)}
