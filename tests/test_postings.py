@@ -111,3 +111,11 @@ def test_a_stream_keeps_the_last_text(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
         keep_postings(spark.readStream.schema(schema).parquet(folder), kept, "text", str(tmp_path / "ck")).awaitTermination()
     assert sorted(map(tuple, kept.read().select("doc", "token").collect())) == [(1, "sea"), (3, "red"), (4, "mole"), (4, "red")]
+
+
+def test_starts_of_words_keep_letters_of_their_own(spark, tmp_path):
+    kept = Postings(spark, str(tmp_path / "p"))
+    kept.add(0, table(spark, [(1, "über ßchberin"), (2, "Schbérin"), (3, "ßchberin")]))
+    words = asked(spark, "schber", "ßch")
+    got = H.search_any_word(kept.read(words, prefix=True), words, ["doc"], prefix=True).collect()
+    assert {(r.query_id, r.doc) for r in got} == {(0, 2), (1, 1), (1, 3)}
