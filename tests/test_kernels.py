@@ -348,3 +348,36 @@ def test_letters_of_their_own_do_not_fold(spark):
     asked = spark.createDataFrame([(1, "schber"), (2, "sok"), (3, "lodz")], "query_id long, text string")
     got = H.search_description(texts, asked).collect()
     assert {(r.query_id, r.photo_id) for r in got} == {(1, 2), (2, 4)}
+
+
+@pytest.mark.parametrize("name", ["perceptual_hash", "blur_metrics", "dominant_colours"])
+def test_pixels_of_one_small_table_are_made_by_many_tasks(spark, name):
+    out = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    parts = out.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(parts) >= 4 and max(r["count"] for r in parts) < 2 * 1500 / len(parts)
+
+
+def test_pixel_kernels_equal_plain_ones():
+    rng = np.random.default_rng(7)
+    for h, w in ((6, 6), (7, 9), (33, 100), (256, 256), (2100, 20)):
+        for grey in (rng.integers(0, 256, (3, h, w), np.uint8), rng.integers(0, 2, (3, h, w), np.uint8) * np.uint8(255)):
+            got = P.blur(grey)
+            g = grey.astype(float)
+            lap = g[:, :-2, 1:-1] + g[:, 2:, 1:-1] + g[:, 1:-1, :-2] + g[:, 1:-1, 2:] - 4 * g[:, 1:-1, 1:-1]
+            y, x, n, m = int((h - 2) * 0.3), int((w - 2) * 0.3), h - 2, w - 2
+            patches = [lap[:, n * i // 4 : n * (i + 1) // 4, m * j // 4 : m * (j + 1) // 4].var(axis=(1, 2)) for i in range(4) for j in range(4)]
+            assert np.allclose(got["overall"], lap.var(axis=(1, 2))) and np.allclose(got["patch_max"], np.max(patches, axis=0))
+            assert np.allclose(got["center"], lap[:, y : n - y, x : m - x].var(axis=(1, 2)))
+    for shape in ((5, 1, 1, 3), (5, 2, 2, 3), (4, 9, 17, 3), (3, 48, 48, 3)):
+        for rgb in (rng.integers(0, 256, shape, np.uint8), rng.integers(0, 2, shape, np.uint8), np.full(shape, 9, np.uint8)):
+            want = []
+            for image in rgb:
+                p = image.reshape(-1, 3).astype(float)
+                k = min(5, len(p))
+                centre = p[np.arange(k) * len(p) // k]
+                for _ in range(4):
+                    near = ((p[:, None] - centre[None]) ** 2).sum(axis=2).argmin(axis=1)
+                    centre = np.array([p[near == i].mean(axis=0) if (near == i).any() else centre[i] for i in range(k)])
+                order = sorted(range(k), key=lambda i: -(near == i).sum())
+                want.append(["#%02x%02x%02x" % tuple(int(v + 1e-9) for v in centre[i]) for i in order if (near == i).any()])
+            assert P.dominants(rgb) == want
