@@ -381,3 +381,11 @@ def test_pixel_kernels_equal_plain_ones():
                 order = sorted(range(k), key=lambda i: -(near == i).sum())
                 want.append(["#%02x%02x%02x" % tuple(int(v + 1e-9) for v in centre[i]) for i in order if (near == i).any()])
             assert P.dominants(rgb) == want
+
+
+def test_repeated_search_texts_are_parsed_once(spark):
+    said = [(i, f"t{i}", ["cats Or dog before:2weeks", "beach* -old", None, ""][i % 4]) for i in range(40)]
+    rows = spark.createDataFrame(said, "query_id long, photo_id string, text string")
+    plain = {r.query_id: r for r in H.parse_searches(rows, F.lit("2024-03-31")).collect()}
+    got = {r.query_id: r for r in H.parse_repeated(rows, F.lit("2024-03-31")).collect()}
+    assert len(got) == 40 and all(got[i].asDict(True) == plain[i].asDict(True) for i in plain) and got[3].photo_id == "t3"
