@@ -216,6 +216,40 @@ def _products(rows: DataFrame, refs: DataFrame, row_id: str, key: str, col: str,
     return both.mapInArrow(blocks, kinds)
 
 
+#: Queries that meet a block of rows at once.
+QUERY_BLOCK = 256
+
+
+class Best:
+    """The k rows nearest to each query so far, ties to the lower id. Queries meet a block of rows QUERY_BLOCK at a time, and
+    only rows that reach a query's k-th best are ordered, so what is held is k rows a query and one product of two blocks."""
+
+    def __init__(self, n: int, k: int, least: float):
+        self.k, self.worst = k, np.full(n, least, np.float64)
+        self.held: list = [None] * -(-n // QUERY_BLOCK)  # (query, row, sim) of each block of queries, in order
+
+    def take(self, queries: np.ndarray, m: np.ndarray, names: np.ndarray) -> None:
+        for b, lo in enumerate(range(0, len(queries), QUERY_BLOCK)):
+            sims = queries[lo : lo + QUERY_BLOCK].astype(np.float64) @ m.T
+            q, r = np.nonzero(sims >= self.worst[lo : lo + QUERY_BLOCK, None])
+            if len(q):
+                self._merge(b, lo, (q + lo, names[r], sims[q, r]))
+
+    def _merge(self, b: int, lo: int, new: tuple) -> None:
+        q, r, s = new if self.held[b] is None else (np.concatenate(x) for x in zip(self.held[b], new, strict=True))
+        order = np.lexsort((r, -s, q))
+        q, r, s = q[order], r[order], s[order]
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+        kept = place < self.k
+        self.held[b] = q[kept], r[kept], s[kept]
+        last = place == self.k - 1
+        self.worst[q[last]] = s[last]
+
+    def rows(self):
+        return (h for h in self.held if h is not None)
+
+
 def topk_per_query(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "face_id", query_id: str = "query_id", col: str = "embedding", least: float = -2.0, group: str | None = None) -> DataFrame:
     """(query_id, row_id, sim, rank): the k rows nearest to each query, ties to the lower id.
 
@@ -233,24 +267,20 @@ def topk_per_query(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "f
             out = part if out is None else out.unionByName(part)
         return out
     table = q.toArrow().combine_chunks()
-    blob = rows.sparkSession.sparkContext.broadcast((table[query_id].combine_chunks() if len(table) else pa.array([], pa.int64()), _matrix(table[col]).astype(np.float64)))
+    blob = rows.sparkSession.sparkContext.broadcast((table[query_id].combine_chunks() if len(table) else pa.array([], pa.int64()), _matrix(table[col])))
 
     def run(batches):
         ids, vectors = blob.value
+        best, row_kind = Best(len(ids), k, least), None
         for batch in batches:
+            row_kind = batch.schema.field(0).type
             for lo in range(0, len(batch), BLOCK):
                 part = batch.slice(lo, BLOCK)
                 m = _matrix(part.column(1)).astype(np.float64)
-                if not len(ids) or not len(m) or m.shape[1] != vectors.shape[1]:
-                    continue
-                sims = vectors @ m.T
-                names = np.asarray(part.column(0))
-                order = np.lexsort((np.broadcast_to(names, sims.shape), -sims), axis=1)[:, :k]
-                qi = np.repeat(np.arange(len(ids)), order.shape[1])
-                ri = order.ravel()
-                s = sims[qi, ri]
-                ok = np.flatnonzero(s >= least)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(qi[ok])), part.column(0).take(pa.array(ri[ok])), pa.array(s[ok])], [query_id, row_id, "sim"])
+                if len(ids) and len(m) and m.shape[1] == vectors.shape[1]:
+                    best.take(vectors, m, np.asarray(part.column(0)))
+        for qi, ri, sims in best.rows():
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(qi)), pa.array(ri, row_kind), pa.array(sims)], [query_id, row_id, "sim"])
 
     kinds = f"{query_id} {q.schema[query_id].dataType.simpleString()}, {row_id} {rows.schema[row_id].dataType.simpleString()}, sim double"
     best = rows.mapInArrow(run, kinds)
