@@ -389,3 +389,49 @@ def test_repeated_search_texts_are_parsed_once(spark):
     plain = {r.query_id: r for r in H.parse_searches(rows, F.lit("2024-03-31")).collect()}
     got = {r.query_id: r for r in H.parse_repeated(rows, F.lit("2024-03-31")).collect()}
     assert len(got) == 40 and all(got[i].asDict(True) == plain[i].asDict(True) for i in plain) and got[3].photo_id == "t3"
+
+
+def below_explode(df):
+    """The part of the plan that runs before rows are taken apart."""
+    return df._jdf.queryExecution().optimizedPlan().toString().split("Generate", 1)[1]
+
+
+def test_watched_folders_meet_each_folder_once(spark):
+    photos = spark.createDataFrame([("/a/b",)] * 5 + [("/a",), ("/ab",), (None,)], "folder string").repartition(2)
+    out = L.watch_folder_counts(spark.createDataFrame([("/a",), ("/a/b/",), ("/c",)], "path string"), photos)
+    assert {r.path: r.n for r in out.collect()} == {"/a": 6, "/a/b/": 5, "/c": 0} and "Aggregate" in below_explode(out)
+
+
+def test_phrases_meet_each_tag_once(spark):
+    tags = spark.createDataFrame([(1, "hot red plate"), (1, "red plate"), (2, "red hot plate"), (3, "Red-Plate"), (4, None)], "photo_id long, tag string").repartition(2)
+    out = H.search_tags_phrase(tags, spark.createDataFrame([(1, "red plate"), (2, "plate"), (3, "")], "query_id long, text string"))
+    assert sorted(map(tuple, out.collect())) == [(1, 1), (1, 3), (2, 1), (2, 2), (2, 3)] and "Aggregate" in below_explode(out)
+
+
+def test_terms_of_each_text_are_looked_up_once(spark):
+    d = spark.createDataFrame([("red car", "kızıl araba", None), ("red", "kırmızı", None), ("bank", "kıyı", ["River"]), ("bank", "banka", None)], "source string, target string, context array<string>")
+    said = ["Red Car", "car red", "river bank red", "bank", "car", None, "", " red car ", "Red"] * 3
+    out = H.translate_terms(spark.createDataFrame(list(enumerate(said)), "query_id long, text string").repartition(3), d)
+    want = {"Red Car": ["kızıl araba"], " red car ": ["kızıl araba"], "car red": ["kırmızı"], "Red": ["kırmızı"], "river bank red": ["kıyı", "kırmızı"], "bank": ["banka"]}
+    assert {r.query_id: r.terms for r in out.collect()} == {i: want[t] for i, t in enumerate(said) if t in want} and "Aggregate" in below_explode(out)
+
+
+def test_best_rows_of_many_queries_in_blocks():
+    rng = np.random.default_rng(3)
+    queries, rows = rng.integers(-2, 3, (600, 4)).astype(float), rng.integers(-2, 3, (700, 4)).astype(float)  # many ties
+    names = rng.permutation(700)
+    best = V.Best(600, 7, -3.0)
+    for lo in range(0, 700, 90):
+        best.take(queries, rows[lo : lo + 90], names[lo : lo + 90])
+        assert sum(len(q) for q, _, _ in best.rows()) <= 600 * 7
+    got = [(int(q), int(r), float(s)) for block in best.rows() for q, r, s in zip(*block, strict=True)]
+    sims = queries @ rows.T
+    assert got == [(i, b, -a) for i in range(600) for a, b in sorted((-s, n) for s, n in zip(sims[i], names, strict=True) if s >= -3)[:7]]
+
+
+def test_one_task_gives_k_rows_a_query(spark):
+    m = np.random.default_rng(4).normal(size=(5000, 4))
+    rows = vectors(spark, m).coalesce(1)
+    out = V.topk_per_query(rows, rows.filter("face_id < 3").withColumnRenamed("face_id", "query_id"), 2)
+    assert [[r.face_id for r in sorted(out.collect(), key=lambda r: r["rank"]) if r.query_id == q] for q in range(3)] == [np.argsort(-(m @ m[q]))[:2].tolist() for q in range(3)]
+    assert V.topk_per_query(rows, rows.filter("false").withColumnRenamed("face_id", "query_id"), 2).count() == 0
