@@ -91,23 +91,32 @@ def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
     return m[at]
 
 
+def _distances(m: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of vectors to pivots, and the vectors' squares."""
+    m = m.astype(np.float64)
+    squares = (m * m).sum(1)
+    return np.sqrt(np.maximum(0, squares[:, None] + (pivots * pivots).sum(1)[None] - 2 * m @ pivots.T)), squares
+
+
 class Tiles:
     """Vectors in order of their nearest pivot, cut into tiles, each with the range of its distances to every pivot."""
 
     def __init__(self, m: np.ndarray, pivots: np.ndarray, size: int = TILE):
-        m = m.astype(np.float64)
-        squares = (m * m).sum(1)
-        d = np.sqrt(np.maximum(0, squares[:, None] + (pivots * pivots).sum(1)[None] - 2 * m @ pivots.T))
-        cell = d.argmin(1) if len(m) else np.zeros(0, np.int64)
+        blocks = [m[lo : lo + BLOCK] for lo in range(0, len(m), BLOCK)]
+        cell = np.concatenate([_distances(x, pivots)[0].argmin(1) for x in blocks]) if len(m) else np.zeros(0, np.int64)
         self.order = np.argsort(cell, kind="stable")
         heads = np.flatnonzero(np.r_[True, np.diff(cell[self.order]) > 0]) if len(m) else np.zeros(0, np.int64)
         ends = np.r_[heads[1:], len(m)]
         self.heads = np.array([x for a, b in zip(heads, ends, strict=True) for x in range(a, b, size)], np.int64)
         self.ends = np.r_[self.heads[1:], len(m)][: len(self.heads)]
-        self.vectors = m[self.order]
+        self.vectors = m[self.order]  # as they came; a tile is widened when it is multiplied
         if len(m):
-            self.low, self.high = (f.reduceat(d[self.order], self.heads, axis=0) for f in (np.minimum, np.maximum))
-            self.squares = np.maximum.reduceat(squares[self.order], self.heads)
+            far = [_distances(self.vectors[a:b], pivots) for a, b in zip(self.heads, self.ends, strict=True)]
+            self.low, self.high = (np.array([f(d, axis=0) for d, _ in far]) for f in (np.min, np.max))
+            self.squares = np.array([q.max() for _, q in far])
+
+    def tile(self, i: int) -> np.ndarray:
+        return self.vectors[self.heads[i] : self.ends[i]].astype(np.float64)
 
     def meets(self, other: Tiles, least: float) -> np.ndarray:
         """Which tiles of other can hold a vector whose product with one of a tile is `least`: by the triangle inequality,
@@ -137,7 +146,7 @@ def similarity_pairs(rows: DataFrame, refs: DataFrame, least: float, row_id: str
         mine, theirs = Tiles(vectors, pivots), held[1]
         for a, b in zip(*np.nonzero(mine.meets(theirs, least)), strict=True):
             x, y = slice(mine.heads[a], mine.ends[a]), slice(theirs.heads[b], theirs.ends[b])
-            sims = mine.vectors[x] @ theirs.vectors[y].T
+            sims = mine.tile(a) @ theirs.tile(b).T
             i, j = np.nonzero(sims >= least)
             if len(i):
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(mine.order[x][i])), ref_ids.take(pa.array(theirs.order[y][j])), pa.array(sims[i, j])], [row_id, ref_id, "sim"])

@@ -435,3 +435,10 @@ def test_one_task_gives_k_rows_a_query(spark):
     out = V.topk_per_query(rows, rows.filter("face_id < 3").withColumnRenamed("face_id", "query_id"), 2)
     assert [[r.face_id for r in sorted(out.collect(), key=lambda r: r["rank"]) if r.query_id == q] for q in range(3)] == [np.argsort(-(m @ m[q]))[:2].tolist() for q in range(3)]
     assert V.topk_per_query(rows, rows.filter("false").withColumnRenamed("face_id", "query_id"), 2).count() == 0
+
+
+def test_tiles_keep_vectors_as_they_came():
+    m = np.random.default_rng(2).normal(size=(5000, 8)).astype(np.float32)
+    tiles = V.Tiles(m, V.choose_pivots(m[:500]))
+    assert tiles.vectors.dtype == np.float32 and tiles.tile(0).dtype == np.float64
+    assert np.array_equal(np.concatenate([tiles.tile(i) for i in range(len(tiles.heads))]), m[tiles.order].astype(float)) and sorted(tiles.order) == list(range(5000))
