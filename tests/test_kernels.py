@@ -442,3 +442,26 @@ def test_tiles_keep_vectors_as_they_came():
     tiles = V.Tiles(m, V.choose_pivots(m[:500]))
     assert tiles.vectors.dtype == np.float32 and tiles.tile(0).dtype == np.float64
     assert np.array_equal(np.concatenate([tiles.tile(i) for i in range(len(tiles.heads))]), m[tiles.order].astype(float)) and sorted(tiles.order) == list(range(5000))
+
+
+def test_search_computes_the_summaries_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, ["red plate"], 1, f"/lib/{i}.jpg", None, "image", False, 3, False, None) for i in range(20)]
+    photos = spark.createDataFrame(rows, "photo_id long, tags array<string>, tag_count long, path string, description string, media_type string, favorite boolean, rating int, private boolean, date_taken date")
+    tags = photos.select("photo_id", F.explode("tags").alias("tag"))
+    asked = spark.createDataFrame([(1, "red plate"), (2, "rating:3"), (3, "redplate")], "query_id long, text string")
+    found = H.search(asked, photos.mapInArrow(counted, photos.schema), tags, spark.createDataFrame([], "group_id int, term string")).collect()
+    assert {r.query_id for r in found} == {1, 2, 3} and made.value == 20
+
+
+def test_ascii_and_other_texts_fold_alike(spark):
+    texts = ["PLATE 7", "İSTANBUL", "Kırmızı ÇAY", "ÅNGSTRÖM ßa", "", None, "áΩ"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    was = F.translate(F.lower(F.translate("t", X.DOTTED, "i")), X.ACCENTED, X.PLAIN)
+    assert all(r.a == r.b for r in frame.select(X.fold(F.col("t")).alias("a"), was.alias("b")).collect())
