@@ -8,7 +8,8 @@ other one. Hits are summed by offset diagonal, split into runs at gaps, and a lo
 consistency: each value in a slot of the item must always stand for one value in the document, and the other way round; a
 run with slots that clash is cut down to its longest stretch without them. So a question with other numbers or names is
 caught, and a chance likeness of placeholders is not. Words that agree as they stand, but for case and outer marks, need
-no such check. Items too short for a run are looked for word by word, by one hash of the whole item.
+no such check. A document's window is only made where all its pairs of neighbouring words are pairs of the benchmark, by
+a table of hash slots; this skips windows that could not be joined. Items too short for a run are looked for word by word, by one hash of the whole item.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ LEAST_WORDS = 12
 LEAST_PLAIN = 3
 #: Rows of benchmark windows (a hash and two numbers each) and ids of candidates up to which that side is broadcast.
 BROADCAST_ROWS = 1 << 18
+#: Hash slots of pairs of neighbouring words that the benchmark has; where all are taken, nothing is skipped.
+PAIR_SLOTS = 1 << 16
 #: Bytes of benchmark words up to which they are broadcast.
 BROADCAST_BYTES = 16 << 20
 
@@ -80,12 +83,45 @@ def _hashed(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, hashes.alias("h")).select(*keys, F.col("h.low").alias("low"), F.col("h.t").alias("t"), F.col("h.held").alias("held"))
 
 
-def _windows() -> Column:
-    """An array of (pos, win) of the columns of _hashed: each window's words, and its templates if enough are plain."""
+def _pair_slots(hashes: str, of=lambda slot: slot) -> Column:
+    """of(hash slot) of each word and the next one; the last has no next one."""
+    after = F.slice(hashes, F.lit(2), F.greatest(F.size(hashes) - 1, F.lit(0)))
+    return F.zip_with(hashes, after, lambda x, y: of(F.xxhash64(x, y).bitwiseAND(F.lit(PAIR_SLOTS - 1)).cast("int")))
 
-    starts = _starts(F.size("low"), WINDOW)
+
+def _seen_pairs(items: DataFrame) -> bytearray:
+    """A byte for each slot, 1 where a pair of the items, as words or as templates, falls in it. items: of _hashed."""
+    pairs = F.concat(*[F.slice(_pair_slots(c), F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))) for c in ("low", "t")])
+    seen = bytearray(PAIR_SLOTS)
+    for row in items.select(F.explode(pairs).alias("slot")).distinct().toLocalIterator():  # PAIR_SLOTS rows at most
+        seen[row.slot] = 1
+    return seen
+
+
+def _with_met(h: DataFrame, seen: bytearray) -> DataFrame:
+    """h of _hashed with low_met and t_met: whether a word and the next one may be a pair of the benchmark."""
+    met = lambda c: _pair_slots(c, lambda slot: F.substring(F.lit(seen), slot + 1, F.lit(1)) == F.lit(bytearray(b"\1"))).alias(f"{c}_met")
+    return h.select("*", met("low"), met("t"))
+
+
+def _all_met(c: str, i: Column, k: int) -> Column:
+    """Whether the k words from the i-th on may stand in the benchmark, by their pairs."""
+    every = F.lit(True)
+    for j in (*range(0, k - 1, 2), *range(1, k - 1, 2)):
+        pair = F.get(f"{c}_met", i + (j - 1))
+        every = every & pair if j else pair
+    return every
+
+
+def _windows(met: bool = False) -> Column:
+    """An array of (pos, win) of the columns of _hashed: each window's words, and its templates if enough are plain. met:
+    without those that stand nowhere in the benchmark, by the columns of _with_met."""
+
+    every = _starts(F.size("low"), WINDOW)
+    pick = lambda c: F.filter(every, lambda i: _all_met(c, i, WINDOW)) if met else every
+    starts = pick("low")
     free = lambda i: F.size(F.array_remove(F.slice("held", i, F.lit(WINDOW)), True))
-    mixed = F.filter(starts, lambda i: free(i).between(LEAST_PLAIN, WINDOW - 1))
+    mixed = F.filter(pick("t"), lambda i: free(i).between(LEAST_PLAIN, WINDOW - 1))
     prints = lambda words, at: F.transform(at, lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.slice(words, i, F.lit(WINDOW))).alias("win")))
     return F.concat(prints("low", starts), prints("t", mixed))
 
@@ -99,8 +135,9 @@ _SHORT = -1  # the position of a short item's hash
 
 
 def _short(k: int) -> Column:
-    """An array of (pos, win) of all runs of k words, to meet items of k words."""
-    return F.transform(_starts(F.size("low"), k), lambda i: F.struct(F.lit(_SHORT).alias("pos"), _whole(k, i).alias("win")))
+    """An array of (pos, win) of the runs of k words whose pairs may be of the benchmark, to meet items of k words."""
+    starts = F.filter(_starts(F.size("low"), k), lambda i: _all_met("low", i, k))
+    return F.transform(starts, lambda i: F.struct(F.lit(_SHORT).alias("pos"), _whole(k, i).alias("win")))
 
 
 def _marks(items: DataFrame, sizes: list[int]) -> DataFrame:
@@ -169,9 +206,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     sizes = sorted(r.n for r in b.select(F.size("tokens").alias("n")).filter(F.col("n") <= LEAST_WORDS).distinct().collect())  # LEAST_WORDS rows at most
     marks = store(_marks(b, sizes), "item-windows")
     small = marks.count() <= BROADCAST_ROWS
-    h = _hashed(_tokens(d, "text", "doc_id", "tk"), "doc_id", "tk")
+    h = _with_met(_hashed(_tokens(d, "text", "doc_id", "tk"), "doc_id", "tk"), _seen_pairs(_hashed(b, "item_id")))
     short = [_short(k) for k in sizes]
-    prints = F.concat(_windows(), F.array_distinct(F.concat(*short))) if short else _windows()
+    prints = F.concat(_windows(True), F.array_distinct(F.concat(*short))) if short else _windows(True)
     windows = h.select("doc_id", "tk", F.explode(prints).alias("x")).select("doc_id", "tk", "x.pos", "x.win")
     hits = windows.join(F.broadcast(marks) if small else marks, "win").select("doc_id", "tk", "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("diag"))
     hits = store(hits, "hits")

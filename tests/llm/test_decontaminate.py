@@ -160,3 +160,13 @@ def test_kept_rows_keep_their_columns(spark, documents):
     docs = documents([(1, item.lower()), (1, "another text under the id"), (None, item.upper()), (2, None), (3, "")]).selectExpr("*", "7 AS item_id", "'x' AS _gone", "0 AS tk")
     kept = D.keep_clean(docs, bench_of(spark, [(1, item), (2, None), (3, "")]))
     assert kept.columns == docs.columns and sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(1, "another text under the id"), (2, ""), (3, "")]
+
+
+def test_windows_without_the_benchmarks_pairs_are_not_made(spark):
+    item = "how many red plates of 12 cm does Anna need to fill the two shelves"
+    texts = [(1, "quite another story that shares no pair of words with it at all"), (2, f"so then {item} and no more")]
+    hashed = lambda rows: D._hashed(D._tokens(spark.createDataFrame(rows, "id long, text string"), "text", "id"), "id")
+    seen = D._seen_pairs(hashed([(0, item)]).withColumnRenamed("id", "item_id"))
+    made = D._with_met(hashed(texts), seen).select("id", D.F.size(D._windows(True)).alias("some"), D.F.size(D._windows()).alias("every"))
+    got = {r.id: (r.some, r.every) for r in made.collect()}
+    assert got[1][0] == 0 < got[1][1] and 0 < got[2][0] < got[2][1]
