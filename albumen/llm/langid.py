@@ -28,6 +28,8 @@ CALIBRATE = 0.25
 #: At most this share of the calibration rows may be rejected, and no prediction of a probability of 0.5 or more.
 REJECTED = 0.002
 UNKNOWN = "und"
+#: Texts that a Python worker is sent at once, and bytes of them whose subwords are made at once: a byte takes some 150 more.
+TEXTS, SUBWORD_BYTES = 512, 1 << 18
 
 _STREAM = np.full(256, 0x20, np.uint8)
 _STREAM[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -140,7 +142,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offs in slices(batch.column(0)):
+            for lo, hi, data, offs in slices(batch.column(0), SUBWORD_BYTES):
                 row, bucket = subwords(data, offs)
                 both, count = np.unique(row * BUCKETS + bucket, return_counts=True)
                 of, idx = both // BUCKETS, both % BUCKETS
@@ -169,7 +171,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     def run(batches):
         model = shared.value
         for batch in batches:
-            for lo, hi, data, offs in slices(batch.column(1)):
+            for lo, hi, data, offs in slices(batch.column(1), SUBWORD_BYTES):
                 letter = batch.column(3).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
                 if model is None:
                     lang, score, low = [UNKNOWN] * (hi - lo), np.zeros(hi - lo), np.ones(hi - lo, bool)
@@ -192,10 +194,11 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     Rows are judged by their own text: null texts and texts without a letter go, whatever else stands under their id.
     Repeated rows stay or go together; an empty table, or one without a label, is left without rows.
     """
-    from .storage import spare, store
+    from .storage import short_batches, spare, store
 
-    model = learn(docs) if model is None else model
-    keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text")  # a prediction follows from the text alone
     k = spare(docs, "_gone_text")
-    gone = store(predict(keyed, model).filter("rejected").select(F.col("doc_id").alias(k)).distinct(), "rejected")
+    with short_batches(docs.sparkSession, TEXTS):
+        model = learn(docs) if model is None else model
+        keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text")  # a prediction follows from the text alone
+        gone = store(predict(keyed, model).filter("rejected").select(F.col("doc_id").alias(k)).distinct(), "rejected")
     return docs.join(gone, F.xxhash64(docs["text"]) == gone[k], "left_anti")

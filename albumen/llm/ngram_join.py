@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import discard, spare, store
+from .storage import discard, short_batches, spare, store
 from .textops import mix, shingle_sets, slices, words_of
 
 #: Counters of shingle frequency, over all documents; only the order of work depends on them.
@@ -44,6 +44,8 @@ FRUITFUL = 0.05
 LONGS = 32
 #: Parts of the hash range whose counts bound the overlap (the suffix filter).
 PARTS = 16
+#: Texts that a Python worker is sent at once, and bytes of them that are hashed at once: both are held several times over.
+TEXTS, HASHED_BYTES = 512, 1 << 18
 
 
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -54,7 +56,7 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for lo, hi, data, offs in slices(batch.column(1)):
+            for lo, hi, data, offs in slices(batch.column(1), HASHED_BYTES):
                 rows, grams = shingle_sets(words_of(data, offs, lower=True), k)
                 n = np.bincount(rows, minlength=hi - lo)
                 counts += np.bincount((grams & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
@@ -93,7 +95,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, counts) -> DataFrame:
         freq = counts.value
         salt_from = 16 * int(freq.mean()) + SALT_ROWS
         for batch in batches:
-            for _lo, hi, data, offs in slices(batch.column(0)):
+            for _lo, hi, data, offs in slices(batch.column(0), HASHED_BYTES):
                 rows, grams = shingle_sets(words_of(data, offs, lower=True), k)
                 n = np.bincount(rows, minlength=len(offs) - 1)
                 classes = _class_of(rows, grams, n)
@@ -116,15 +118,15 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     def run(batches):
         for batch in batches:
             a_rows, b_rows, at = batch.column(2), batch.column(3), 0
-            while at < len(batch):  # as many pairs at once as fit in a few MB of text
+            while at < len(batch):  # as many pairs at once as fit in half a MB of text
                 to, total = at, 0
-                while to < len(batch) and (to == at or total < 1 << 21):
+                while to < len(batch) and (to == at or total < 2 * HASHED_BYTES):
                     total += len(a_rows[to].as_buffer()) + len(b_rows[to].as_buffer())
                     to += 1
                 sets = []
                 for column in (a_rows, b_rows):
                     part, base = column.slice(at, to - at), []
-                    for lo, _hi, data, offs in slices(part):
+                    for lo, _hi, data, offs in slices(part, HASHED_BYTES):
                         rows, grams = shingle_sets(words_of(data, offs, lower=True), k)
                         base.append((rows + lo, grams))
                     sets.append((np.concatenate([r for r, _ in base]), np.concatenate([g for _, g in base])))
@@ -226,6 +228,11 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     they have one. Texts of any length are taken whole. An empty table gives no rows. Further columns are ignored,
     whatever their names. with_text_key adds tk, xxhash64 of the text.
     """
+    with short_batches(docs.sparkSession, TEXTS):
+        return _components_of(docs, id_col, text_col, k, percent, with_text_key)
+
+
+def _components_of(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, with_text_key: bool) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     first = store(_signatures(docs, k), "signatures")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, new_path, spare, store
+from .storage import discard, new_path, short_batches, spare, store
 from .textops import gram_hashes, mix, slices, word_hashes, words_of
 
 GRAM = 5
@@ -32,6 +32,8 @@ MAX_RUNS = 2
 BATCHES = 3
 #: Ids or keys up to this many are sent to every task; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
+#: Texts that a Python worker is sent at once.
+TEXTS = 1024
 
 
 def _windows(data: np.ndarray, offs: np.ndarray, window: int):
@@ -319,7 +321,8 @@ def _removals(docs: DataFrame, window: int, batches: int) -> tuple[DataFrame, Da
 
 def _marked(docs: DataFrame, window: int, batches: int, with_text: bool) -> DataFrame:
     docs = _keys(docs)
-    gone, copies = _removals(docs, window, batches)
+    with short_batches(docs.sparkSession, TEXTS):
+        gone, copies = _removals(docs, window, batches)
     return marked(docs, gone, copies, window, with_text)
 
 
@@ -356,7 +359,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, batches: int = BATCHES) ->
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = _marked(slim, window, batches, True).filter("n_removed > 0").dropDuplicates(["doc_id", "k", "l"])
     i, k, l, kept = (spare(docs, x) for x in ("_id", "_k", "_l", "_kept"))
-    cut = store(found.select(F.col("doc_id").alias(i), F.col("k").alias(k), F.col("l").alias(l), F.col("kept").alias(kept)), "cut")
+    with short_batches(docs.sparkSession, TEXTS):
+        cut = store(found.select(F.col("doc_id").alias(i), F.col("k").alias(k), F.col("l").alias(l), F.col("kept").alias(kept)), "cut")
     here = docs["text"]
     out = docs.join(cut, (docs["doc_id"] == cut[i]) & (F.xxhash64(here) == cut[k]) & (F.xxhash64(F.lit(7), here) == cut[l]), "left")
     touched = F.col(i).isNotNull()
