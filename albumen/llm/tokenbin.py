@@ -12,12 +12,14 @@ Files: Parquet as the container, a chunk in each row, rows and files in ascendin
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
-from collections.abc import Iterator
 from itertools import chain
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,13 +30,17 @@ BLOCK = 1024
 #: Ids in a chunk, about; a longer document is a chunk of its own.
 CHUNK = 1 << 21
 #: Distinct words whose ids a worker keeps; beyond that it starts afresh, which costs time only.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+#: Texts whose words are looked up at once.
+SLICE_TEXTS = 1024
 #: Ids are below 2 ** ID_BITS.
 ID_BITS = 16
-_CLASSES = ID_BITS + 1
+#: Ids of up to so many bits are one class.
+_LEAST_BITS = 8
+_CLASSES = ID_BITS - _LEAST_BITS + 1
 _HIT1, _HIT2 = _CLASSES, _CLASSES + 1
 _SYMBOLS = _CLASSES + 2
-_SLOTS = 1 << 10
+_SLOTS = 1 << 9
 _LIMIT = 1 << 13
 _TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
 _U = np.uint64
@@ -114,7 +120,9 @@ class _Model:
         self.before, self.last = self.last, ids.astype(np.int64)
 
 
-_BITS = np.array([int(i).bit_length() for i in range(1 << ID_BITS)], np.int64)
+_BITS = np.array([max(int(i).bit_length() - _LEAST_BITS, 0) for i in range(1 << ID_BITS)], np.int64)  # the class of each id
+_RAW = np.array([_LEAST_BITS, *range(_LEAST_BITS, ID_BITS), 0, 0], np.uint64)  # bits that a symbol leaves open
+_HEAD = np.array([0, *(1 << b for b in range(_LEAST_BITS, ID_BITS)), 0, 0], np.int64)
 
 
 def encode_blocks(ids: np.ndarray) -> tuple[list[bytes], list[int]]:
@@ -151,7 +159,7 @@ def encode_blocks(ids: np.ndarray) -> tuple[list[bytes], list[int]]:
         step = span[:live] // total
         lo = low[:live] + step * under
         sp = step * freq
-        bits = np.where(symbol < _CLASSES, np.maximum(symbol - 1, 0), 0).astype(np.uint64)
+        bits = _RAW.take(symbol)
         sp >>= bits
         lo += sp * (s.astype(np.uint64) & ((_U(1) << bits) - _U(1)))
         low[:live], span[:live] = lo, sp
@@ -200,11 +208,11 @@ def decode_blocks(blocks: list[bytes], sums: list[int], n: int) -> np.ndarray:
         under, freq = model.bounds(symbol)
         lo = low[:live] + step * under
         sp = step * freq
-        bits = np.where(symbol < _CLASSES, np.maximum(symbol - 1, 0), 0).astype(np.uint64)
+        bits = _RAW.take(symbol)
         sp >>= bits
         rest = np.minimum((code[:live] - lo) // sp, (_U(1) << bits) - _U(1))
         lo += sp * rest
-        s = np.where(symbol == 0, 0, (1 << np.maximum(symbol - 1, 0)) | rest.astype(np.int64))
+        s = _HEAD.take(symbol) | rest.astype(np.int64)
         s = np.where(symbol == _HIT1, model.id1, np.where(symbol == _HIT2, model.id2, s)).astype(np.int64)
         low[:live], span[:live] = lo, sp
         grid[:live, t] = s
@@ -229,8 +237,20 @@ def decode_blocks(blocks: list[bytes], sums: list[int], n: int) -> np.ndarray:
     return ids
 
 
+#: Letters below it are the same to Python and to the tokenizer, in lower case too but for a sigma at the end of a word.
+_SIMPLE = "\u0530"
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: The character that the byte-level vocabulary writes for each byte.
+_BYTE_CHARS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+
+
 class _Words:
-    """Ids of a text, word by word; the tokenizer drops white space, so a word's ids do not depend on its neighbours."""
+    """Ids of texts, word by word; the tokenizer drops white space, so a word's ids do not depend on its neighbours.
+
+    Each different word of a slice of texts is looked up once. A new word of Latin, Greek or Cyrillic letters is one piece
+    to the tokenizer, and ASCII marks after it another, so its model alone is asked for the letters in lower case; other
+    words and marks go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         import os
@@ -239,21 +259,81 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.shared = list(range(1 << ID_BITS))
-
-    def ids(self, texts: list[str | None]) -> Iterator[list[int]]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.memo})
-        if len(self.memo) + len(new) > CACHE_WORDS:
-            self.memo.clear()
-            new = list({w for ws in split for w in ws})
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[word] = tuple(map(self.shared.__getitem__, found.ids))
-        for ws in split:
-            yield list(chain.from_iterable(map(self.memo.__getitem__, ws)))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.stems: dict[str, list[int]] = {}
+        self.marks: dict[str, list[int]] = {"": []}
+        self.flat, self.filled = np.zeros(1 << 20, np.uint16), 0
+        self.start, self.size = np.zeros(CACHE_WORDS, np.int64), np.zeros(CACHE_WORDS, np.int64)
+
+    def _stem(self, word: str) -> tuple[str, str]:
+        stem = word.rstrip(punctuation)
+        low = stem.lower()
+        if low.isalpha() and (stem.isascii() or max(stem) < _SIMPLE and "\u03a3" not in stem and unicodedata.is_normalized("NFC", stem)):
+            return low, word[len(stem) :]  # one piece that the tokenizer's normaliser leaves as it is
+        return word, ""
+
+    def _encode(self, stems: list[str]) -> None:
+        plain, tokenize = [], self.tokenizer.model.tokenize
+        for stem in stems:
+            if stem.isascii() and stem.isalpha():
+                self.stems[stem] = [x.id for x in tokenize(stem)]
+            elif stem.isalpha() and max(stem) < _SIMPLE and stem == stem.lower() and unicodedata.is_normalized("NFC", stem):
+                self.stems[stem] = [x.id for x in tokenize(stem.encode().decode("latin-1").translate(_BYTE_CHARS))]
+            else:
+                plain.append(stem)
+        for stem, found in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
+            self.stems[stem] = found.ids
+
+    def _learn(self, new: list[str]) -> None:
+        cut = list(map(self._stem, new))
+        self._encode(list({stem for stem, _ in cut if stem not in self.stems}))
+        for mark in {mark for _, mark in cut if mark not in self.marks}:
+            self.marks[mark] = self.tokenizer.encode(mark, add_special_tokens=False).ids
+        ids = [self.stems[stem] + self.marks[mark] if mark else self.stems[stem] for stem, mark in cut]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        first, total = len(self.memo), int(size.sum())
+        if first + len(new) > len(self.size):  # a slice with more different words than are kept
+            more = first + len(new) - len(self.size)
+            self.start, self.size = np.append(self.start, np.zeros(more, np.int64)), np.append(self.size, np.zeros(more, np.int64))
+        if self.filled + total > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros(max(total, len(self.flat)), np.uint16))
+        self.flat[self.filled : self.filled + total] = np.fromiter(chain.from_iterable(ids), np.uint16, total)
+        self.size[first : first + len(new)] = size
+        self.start[first : first + len(new)] = self.filled + np.cumsum(size) - size
+        self.filled += total
+        self.memo.update(zip(new, range(first, first + len(new)), strict=True))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all the texts, how many each has); null counts as empty."""
+        words = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if new := [w for w in names if w not in self.memo]:
+            if len(self.memo) + len(new) > CACHE_WORDS:
+                self._clear()
+                new = names
+            self._learn(new)
+        at = np.fromiter(map(self.memo.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+        size = self.size[at]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        out = self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(total)]
+        word_ends = np.r_[0, ends][words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return out, np.diff(word_ends)
+
+
+_held: dict[str, _Words] = {}
+
+
+def _words(path: str) -> _Words:
+    """The words of this worker, which go on from task to task."""
+    if path not in _held:
+        _held.clear()
+        _held[path] = _Words(path)
+    return _held[path]
 
 
 _CHUNK_SCHEMA = "part int, before long, doc_ids array<long>, lengths array<int>, n long, blocks array<binary>, sums array<long>"
@@ -266,7 +346,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
     def run(batches):
         from pyspark import TaskContext
 
-        words, part = _Words(tokenizer), TaskContext.get().partitionId()
+        words, part = _words(tokenizer), TaskContext.get().partitionId()
         done, held, names, lengths, total = 0, [], [], [], 0
 
         def chunk():
@@ -279,14 +359,17 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
             return out
 
         for batch in batches:
-            texts, of = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for lo in range(0, len(texts), 256):
-                for name, ids in zip(of[lo : lo + 256], words.ids(texts[lo : lo + 256]), strict=True):
-                    ids.append(end_id)
-                    held.append(np.array(ids, np.int64))
+            for lo in range(0, len(batch), SLICE_TEXTS):
+                ids, sizes = words.ids(batch.column(1).slice(lo, SLICE_TEXTS))
+                ends = np.cumsum(sizes)
+                ids = np.insert(ids, ends, end_id)
+                at, of = 0, batch.column(0).slice(lo, SLICE_TEXTS).to_pylist()
+                for name, size in zip(of, (sizes + 1).tolist(), strict=True):
+                    held.append(ids[at : at + size])
                     names.append(name)
-                    lengths.append(len(ids))
-                    total += len(ids)
+                    lengths.append(size)
+                    total += size
+                    at += size
                     if total >= CHUNK:
                         yield chunk()
         if names:

@@ -113,3 +113,27 @@ def test_files_hold_the_librarys_ids(spark, documents):
     drop = lambda rs: collections.Counter(r for r in rs if r[0] not in (1, 7))  # noqa: E731  ids of several rows: their order is free
     assert drop(map(tuple, got)) == drop(want)
     assert tokenbin.written_digest(documents([]), P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_words_are_looked_up_once_and_have_the_librarys_ids():
+    import pyarrow as pa
+
+    words = tokenbin._Words(P.path("word_bpe_49k.json"))
+    texts = ["don't. x's, ’s. É. É, İ. क़. Σ, ΑΣ. ﬁ. Å. ... ,. a.. a., ,a .b", "<|endoftext|>a á. e\u0301. a\xa0b. 한. ab\tcd. \x1cx. KK. ß. ǅ, ½.", None, "", " ", "it's' THE!!&&& the== ª. º, ʰ. ͅ. ŉ. привет, ЁЖ: λόγος; a1. 漢."]
+    texts += [t for _, t in corpus(3)]
+    want = [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):  # the second time every word is known
+        ids, sizes = words.ids(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    assert tokenbin._words(P.path("word_bpe_49k.json")) is tokenbin._words(P.path("word_bpe_49k.json"))  # kept from task to task
+
+
+def test_slices_with_more_words_than_are_kept(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokenbin, "CACHE_WORDS", 7)
+    words = tokenbin._Words(P.path("word_bpe_49k.json"))
+    for text in ["one two three", "four five six seven eight", " ".join(f"w{i}" for i in range(30)), "one w3 nine"]:
+        ids, sizes = words.ids(pa.array([text, None, "one."]))
+        want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in (text, "", "one.")]
+        assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(x) for x in want]
