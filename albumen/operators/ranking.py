@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import cut
 from .stats import duplicate_groups, entity_counts, taken, visible
 
 
@@ -13,6 +14,8 @@ def extension(path: str = "path") -> Column:
 
 
 # fixed values
+#: Tags that a task orders, about.
+ROWS_A_TASK = 250_000
 RAW_ORIGINALS = ("cr2", "cr3", "nef", "arw", "dng", "orf", "rw2", "raf", "pef", "srw", "x3f", "3fr")
 
 
@@ -145,7 +148,13 @@ def map_points(photos: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def dedupe_tags_by_case(tags: DataFrame, order: str = "tag_id") -> DataFrame:
-    """One tag of those alike but for case: one that starts with a capital, else the lowest id."""
+    """One tag of those alike but for case: one that starts with a capital, else the lowest id.
+
+    The rows are written down and counted first, so that a task orders about ROWS_A_TASK of them, however many there are.
+    """
+    tags = cut(tags)
+    parts = max(int(tags.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tags.count() // ROWS_A_TASK))
+    tags = tags.withColumn("_k", F.lower("tag")).repartition(parts, "photo_id", "_k")
     upper = F.substring("tag", 1, 1) != F.lower(F.substring("tag", 1, 1))
-    w = Window.partitionBy("photo_id", F.lower("tag")).orderBy(upper.desc(), order)
-    return tags.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    w = Window.partitionBy("photo_id", "_k").orderBy(upper.desc(), order)
+    return tags.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_k")
