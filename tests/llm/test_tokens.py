@@ -137,3 +137,33 @@ def test_slices_with_more_words_than_are_kept(monkeypatch):
         ids, sizes = words.ids(pa.array([text, None, "one."]))
         want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in (text, "", "one.")]
         assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(x) for x in want]
+
+
+def test_words_that_differ_by_case_and_marks_are_one_lookup():
+    import pyarrow as pa
+
+    words = tokenbin._Words(P.path("word_bpe_49k.json"))
+    texts = ["Straße straße. STRAßE, x", "straßE! Привет привет?? ПРИВЕТ.", "straße... x."]
+    ids, _ = words.ids(pa.array(texts))
+    assert ids.tolist() == [x for t in texts for x in words.tokenizer.encode(t, add_special_tokens=False).ids]
+    assert sorted(words.memo) == sorted(["straße", "x", "привет", ".", ",", "!", "??", "..."])
+
+
+def test_letters_that_the_model_is_asked_for_have_the_librarys_ids():
+    import pyarrow as pa
+
+    words = tokenbin._Words(P.path("word_bpe_49k.json"))
+    letters = list(map(chr, range(0x80, 0x600)))
+    texts = [form.format(c) for c in letters for form in ("{0}", "x{0}y.", "{0}{0}!", "A{0}", "{0}\u0301e,")]
+    ids, sizes = words.ids(pa.array(texts))
+    want = [x.ids for x in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+
+
+def test_frequencies_of_every_context_sum_up_to_a_power_of_two():
+    model = tokenbin._Model(3)
+    model.seen[:] = np.random.default_rng(2).integers(0, 64, model.seen.shape)
+    model.seen[:, 3], model.seen[4, 3] = 0, 1000
+    model.refresh()
+    of_each = np.diff(model.run[: tokenbin._SYMBOLS + 1].astype(int), axis=0)
+    assert (of_each > 0).all() and (of_each.sum(0) == 1 << tokenbin._SCALE).all()
