@@ -69,7 +69,7 @@ def quality_gate(df: DataFrame, least: float, col: str = "embedding") -> DataFra
     return df.withColumn(col, F.when(norm(col) >= least, F.col(col)))
 
 
-def _matrix(column) -> np.ndarray:
+def matrix(column) -> np.ndarray:
     flat = np.asarray(column.flatten() if not isinstance(column, pa.ChunkedArray) else column.combine_chunks().flatten(), np.float32)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
@@ -91,7 +91,7 @@ def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
     return m[at]
 
 
-def _distances(m: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def distances(m: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distances of vectors to pivots, and the vectors' squares."""
     m = m.astype(np.float64)
     squares = (m * m).sum(1)
@@ -103,7 +103,7 @@ class Tiles:
 
     def __init__(self, m: np.ndarray, pivots: np.ndarray, size: int = TILE):
         blocks = [m[lo : lo + BLOCK] for lo in range(0, len(m), BLOCK)]
-        cell = np.concatenate([_distances(x, pivots)[0].argmin(1) for x in blocks]) if len(m) else np.zeros(0, np.int64)
+        cell = np.concatenate([distances(x, pivots)[0].argmin(1) for x in blocks]) if len(m) else np.zeros(0, np.int64)
         self.order = np.argsort(cell, kind="stable")
         heads = np.flatnonzero(np.r_[True, np.diff(cell[self.order]) > 0]) if len(m) else np.zeros(0, np.int64)
         ends = np.r_[heads[1:], len(m)]
@@ -111,7 +111,7 @@ class Tiles:
         self.ends = np.r_[self.heads[1:], len(m)][: len(self.heads)]
         self.vectors = m[self.order]  # as they came; a tile is widened when it is multiplied
         if len(m):
-            far = [_distances(self.vectors[a:b], pivots) for a, b in zip(self.heads, self.ends, strict=True)]
+            far = [distances(self.vectors[a:b], pivots) for a, b in zip(self.heads, self.ends, strict=True)]
             self.low, self.high = (np.array([f(d, axis=0) for d, _ in far]) for f in (np.min, np.max))
             self.squares = np.array([q.max() for _, q in far])
 
@@ -135,7 +135,7 @@ def similarity_pairs(rows: DataFrame, refs: DataFrame, least: float, row_id: str
     block of rows and of references is put in order of its nearest pivots, and only tiles that can hold a pair meet.
     """
     sample = refs.select(col).filter(F.col(col).isNotNull()).orderBy(F.xxhash64(col)).limit(SAMPLE).toArrow()
-    pivots = choose_pivots(_matrix(sample[col]))
+    pivots = choose_pivots(matrix(sample[col]))
     held: list = [None, None]  # the references that a task was sent last, and their tiles
 
     def hits(ids, vectors, ref_ids, ref_vectors):
@@ -185,10 +185,43 @@ def similarity_groups(rows: DataFrame, refs: DataFrame, least: float, support: f
     return states.groupBy(row_id, group).agg(F.max("top").alias("top"), F.sum("sup").alias("sup"))
 
 
+def similarity_counts(rows: DataFrame, refs: DataFrame, least: float, row_id: str = "face_id", ref_id: str = "ref_id", col: str = "embedding") -> DataFrame:
+    """(row_id, n): for each row and block of references, how many of another id reach `least`."""
+
+    def hits(ids, vectors, keys, ref_vectors):
+        own, names = (x.to_numpy(zero_copy_only=False) for x in (ids, keys))
+        n = np.zeros(len(own), np.int64)
+        for lo in range(0, len(names), BLOCK):
+            near = vectors.astype(np.float64) @ ref_vectors[lo : lo + BLOCK].astype(np.float64).T >= least
+            n += (near & (own[:, None] != names[None, lo : lo + BLOCK])).sum(1)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(some)), keys.take(pa.array(np.zeros(len(some), np.int64))), pa.array(n[some])], [row_id, ref_id, "n"])
+
+    return _products(rows, refs, row_id, ref_id, col, hits, "n long").select(row_id, "n")
+
+
+def similarity_least(rows: DataFrame, refs: DataFrame, least: float, row_id: str = "face_id", key: str = "label", col: str = "embedding") -> DataFrame:
+    """(row_id, key): for each row and block of references, the smallest key of those that reach `least`."""
+
+    def hits(ids, vectors, keys, ref_vectors):
+        names = keys.to_numpy(zero_copy_only=False)
+        order = np.argsort(names, kind="stable")
+        first = np.full(len(vectors), -1)
+        for lo in range(0, len(order), BLOCK):
+            left = np.flatnonzero(first < 0)
+            near = vectors[left].astype(np.float64) @ ref_vectors[order[lo : lo + BLOCK]].astype(np.float64).T >= least
+            some = near.any(1)
+            first[left[some]] = order[lo + near[some].argmax(1)]
+        met = np.flatnonzero(first >= 0)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(met)), keys.take(pa.array(first[met]))], [row_id, key])
+
+    return _products(rows, refs, row_id, key, col, hits, "").select(row_id, key)
+
+
 def _products(rows: DataFrame, refs: DataFrame, row_id: str, key: str, col: str, hits, found: str) -> DataFrame:
     """What hits(row ids, row vectors, reference keys, reference vectors) gives for blocks of rows and references, all with all."""
     rows, refs = rows.select(row_id, col).filter(F.col(col).isNotNull()), refs.select(key, F.col(col)).filter(F.col(col).isNotNull())
-    kinds = f"{row_id} {rows.schema[row_id].dataType.simpleString()}, {key} {refs.schema[key].dataType.simpleString()}, {found}"
+    kinds = f"{row_id} {rows.schema[row_id].dataType.simpleString()}, {key} {refs.schema[key].dataType.simpleString()}{', ' * bool(found)}{found}"
     about = refs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(col)), F.lit(0)).alias("d")).first()
 
     def met(ids, vectors, keys, ref_vectors):
@@ -197,14 +230,14 @@ def _products(rows: DataFrame, refs: DataFrame, row_id: str, key: str, col: str,
 
     if about.n * about.d * 4 <= BROADCAST_BYTES:
         table = refs.toArrow().combine_chunks()
-        blob = rows.sparkSession.sparkContext.broadcast((table[key].combine_chunks() if len(table) else pa.array([], pa.int64()), _matrix(table[col])))
+        blob = rows.sparkSession.sparkContext.broadcast((table[key].combine_chunks() if len(table) else pa.array([], pa.int64()), matrix(table[col])))
 
         def run(batches):
             keys, ref_vectors = blob.value
             for batch in batches:
                 for lo in range(0, len(batch), BLOCK):
                     part = batch.slice(lo, BLOCK)
-                    yield from met(part.column(0), _matrix(part.column(1)), keys, ref_vectors)
+                    yield from met(part.column(0), matrix(part.column(1)), keys, ref_vectors)
 
         return rows.mapInArrow(run, kinds)
 
@@ -220,7 +253,7 @@ def _products(rows: DataFrame, refs: DataFrame, row_id: str, key: str, col: str,
         for batch in batches:
             for k in range(len(batch)):
                 left, right = batch.column(0)[k].values, batch.column(1)[k].values
-                yield from met(left.field("i"), _matrix(left.field("v")), right.field("i"), _matrix(right.field("v")))
+                yield from met(left.field("i"), matrix(left.field("v")), right.field("i"), matrix(right.field("v")))
 
     return both.mapInArrow(blocks, kinds)
 
@@ -276,7 +309,7 @@ def topk_per_query(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "f
             out = part if out is None else out.unionByName(part)
         return out
     table = q.toArrow().combine_chunks()
-    blob = rows.sparkSession.sparkContext.broadcast((table[query_id].combine_chunks() if len(table) else pa.array([], pa.int64()), _matrix(table[col])))
+    blob = rows.sparkSession.sparkContext.broadcast((table[query_id].combine_chunks() if len(table) else pa.array([], pa.int64()), matrix(table[col])))
 
     def run(batches):
         ids, vectors = blob.value
@@ -285,7 +318,7 @@ def topk_per_query(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "f
             row_kind = batch.schema.field(0).type
             for lo in range(0, len(batch), BLOCK):
                 part = batch.slice(lo, BLOCK)
-                m = _matrix(part.column(1)).astype(np.float64)
+                m = matrix(part.column(1)).astype(np.float64)
                 if len(ids) and len(m) and m.shape[1] == vectors.shape[1]:
                     best.take(vectors, m, np.asarray(part.column(0)))
         for qi, ri, sims in best.rows():

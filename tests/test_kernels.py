@@ -111,6 +111,38 @@ def test_clusters(spark):
     assert again == want
 
 
+@pytest.mark.parametrize("noise, eps, min_pts, absorb", [(0.35, 0.6, 2, 0.7), (0.6, 0.75, 3, 0.9), (0.1, 0.3, 1, 1.2)])
+def test_clusters_of_many_blocks(spark, monkeypatch, noise, eps, min_pts, absorb):
+    monkeypatch.setattr(A, "BLOCK", 16)
+    m = unit(np.random.default_rng(8), 150, 6, groups=7, noise=noise)
+    got = {r.face_id: r.cluster_id for r in A.cluster_faces(vectors(spark, m), eps=eps, min_pts=min_pts, absorb=absorb).collect()}
+    assert got == dbscan(m, eps, min_pts, absorb)
+
+
+def test_a_chain_through_many_blocks_is_one_cluster(spark, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK", 16)
+    angles = np.random.default_rng(1).permutation(np.r_[np.arange(90) * 0.02, 3 + np.arange(40) * 0.02, 5.5])
+    m = np.stack([np.cos(angles), np.sin(angles)], 1).astype(np.float32)
+    got = {r.face_id: r.cluster_id for r in A.cluster_faces(vectors(spark, m), eps=0.03, min_pts=2, absorb=0.1).collect()}
+    assert got == dbscan(m, 0.03, 2, 0.1) and len(set(got.values())) == 3
+
+
+def test_clustering_writes_no_table_of_pairs(spark, monkeypatch):
+    written, plain = [], A.cut
+
+    def cut(df):
+        out = plain(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(A, "cut", cut)
+    monkeypatch.setattr(A, "BLOCK", 64)
+    m = unit(np.random.default_rng(3), 300, 6, groups=3, noise=0.1)
+    got = {r.face_id: r.cluster_id for r in A.cluster_faces(vectors(spark, m), eps=0.9, min_pts=2, absorb=0.9).collect()}
+    assert got == dbscan(m, 0.9, 2, 0.9)
+    assert max(written) <= 300, written
+
+
 def test_nms(spark):
     rows = [(1, 1, 0, 0, 10, 10, 0.9), (1, 2, 1, 1, 11, 11, 0.8), (1, 3, 20, 20, 30, 30, 0.1), (2, 4, 0, 0, 10, 10, 0.5), (2, 5, 0, 0, 10, 10, 0.5)]
     df = spark.createDataFrame(rows, "photo_id long, face_id long, x1 int, y1 int, x2 int, y2 int, score double")
