@@ -497,3 +497,41 @@ def test_ascii_and_other_texts_fold_alike(spark):
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
     was = F.translate(F.lower(F.translate("t", X.DOTTED, "i")), X.ACCENTED, X.PLAIN)
     assert all(r.a == r.b for r in frame.select(X.fold(F.col("t")).alias("a"), was.alias("b")).collect())
+
+
+def _edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, was = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(was[j] + 1, row[-1] + 1, was[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_fuzzy_tags_looks_at_every_tag(spark):
+    rng = random.Random(6)
+    words = {"".join(rng.choice("abç") for _ in range(rng.randrange(13))) for _ in range(500)}
+    for _ in range(400):  # terms with up to three edits
+        word = list(rng.choice(["abcab", "abçabca", "abcabcab", "çabbacabca"]))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(word))
+            word[at : at + rng.randrange(2)] = rng.choice(["", "a", "ç"])
+        words.add("".join(word))
+    uses = {w: 1 + rng.randrange(2) for w in sorted(words)}
+    tags = spark.createDataFrame([(i, w.upper() if i else w) for w, n in uses.items() for i in range(n)] + [(0, None)], "photo_id long, tag string")
+    terms = [(i, w) for i, w in enumerate(["", "ab", "abca", "abcab", "Abçabca", "abcabcab", "çabbacabca", "cab", "bbbbbbbbbbbb", "cab"])] + [(99, None)]
+    found = H.fuzzy_tags(tags, spark.createDataFrame(terms, "query_id long, term string")).collect()
+    budget = lambda w: 0 if len(w) <= 4 else 1 if len(w) <= 7 else 2
+    want = {(i, w, t, _edits(w.lower(), t), n) for i, w in terms if w is not None for t, n in uses.items() if _edits(w.lower(), t) <= budget(w)}
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
+    assert max(sum(x[0] == i for x in want) for i, _ in terms) > 30
+
+
+def test_search_finds_near_tags_beside_many_used_ones(spark):
+    named = [(i, f"used {i % 250}") for i in range(500)] + [(1000 + i, f"redplat{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(40)]
+    rows = [(i, [t], 1, f"/lib/{i}.jpg", None, "image", False, 3, False, None) for i, t in named]
+    photos = spark.createDataFrame(rows, "photo_id long, tags array<string>, tag_count long, path string, description string, media_type string, favorite boolean, rating int, private boolean, date_taken date")
+    tags = photos.select("photo_id", F.explode("tags").alias("tag"))
+    asked = spark.createDataFrame([(1, "redplatte")], "query_id long, text string")
+    found = H.search(asked, photos, tags, spark.createDataFrame([], "group_id int, term string")).collect()
+    assert {r.photo_id for r in found} == {i for i, t in named if _edits("redplatte", t) <= 2} and len(found) == 40
