@@ -535,3 +535,20 @@ def test_search_finds_near_tags_beside_many_used_ones(spark):
     asked = spark.createDataFrame([(1, "redplatte")], "query_id long, text string")
     found = H.search(asked, photos, tags, spark.createDataFrame([], "group_id int, term string")).collect()
     assert {r.photo_id for r in found} == {i for i, t in named if _edits("redplatte", t) <= 2} and len(found) == 40
+
+
+def test_pixels_are_decoded_where_they_are_looked_at(spark):
+    rows = [(i, 48, 48, b"%d" % i) for i in range(5)] + [(7, 48, 48, b"none"), (8, 48, 48, b"short"), (9, 48, 48, None)]
+    files = spark.createDataFrame(rows, "photo_id long, width int, height int, pixels binary")
+    image = lambda name, n: np.random.default_rng(int(name)).integers(0, 256, n, np.uint8).tobytes()
+    decode = lambda n: lambda b: {b"none": None, b"short": b"xyz"}[bytes(b)] if b[:1].isalpha() else image(b, n)
+    raw = lambda n: spark.createDataFrame([(*r[:3], image(r[3], n)) for r in rows[:5]], files.schema)
+    for of, n in ((P.blur_metrics, 48 * 48), (P.dominant_colours, 48 * 48 * 3)):
+        got = sorted(map(tuple, of(files, decode=decode(n)).collect()))
+        assert got == sorted(map(tuple, of(raw(n)).collect())) and [r[0] for r in got] == list(range(5))
+
+
+@pytest.mark.parametrize("name", ["perceptual_hash", "blur_metrics", "dominant_colours"])
+def test_pixel_queries_pass_python_once(spark, name):
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "sha2" not in plan.lower()
