@@ -552,3 +552,18 @@ def test_pixels_are_decoded_where_they_are_looked_at(spark):
 def test_pixel_queries_pass_python_once(spark, name):
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "sha2" not in plan.lower()
+
+
+def test_colours_of_near_ties_are_those_of_double_precision():
+    rgb = np.zeros((3, 1, 7, 3), np.uint8)
+    rgb[1, 0, :, 0] = [10, 200, 90, 90, 170, 105, 104]  # 105 is as near to 10 as to 200
+    rgb[2, 0, :, 1] = np.arange(7)
+    for k in (2, 3, 5):
+        for image, got in zip(rgb, P.dominants(rgb, k), strict=True):
+            p = image.reshape(-1, 3).astype(float)
+            centre = p[np.arange(k) * 7 // k]
+            for _ in range(4):
+                near = ((p[:, None] - centre[None]) ** 2).sum(axis=2).argmin(axis=1)
+                centre = np.array([p[near == i].mean(axis=0) if (near == i).any() else centre[i] for i in range(k)])
+            order = sorted(range(k), key=lambda i: -(near == i).sum())
+            assert got == ["#%02x%02x%02x" % tuple(int(v + 1e-9) for v in centre[i]) for i in order if (near == i).any()]
