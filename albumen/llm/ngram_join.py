@@ -192,14 +192,19 @@ def _may_link(percent: int):
     return near & (F.lit(100 + percent) * most >= F.lit(percent) * (F.col("n_a") + F.col("n_b")))
 
 
-def _may_overlap(percent: int):
-    """The suffix filter on bitmaps: shingles in buckets that the other class leaves empty are not shared."""
+def _marked() -> list:
+    """A class's bitmap as one array, and how many of its buckets are set.
+
+    Spelled out column by column, the test of a pair would be a method too long for the JVM to compile.
+    """
+    bits = [F.col(c) for c in _BITMAP]
+    return [F.array(*bits).alias("bits"), sum(map(F.bit_count, bits[1:]), F.bit_count(bits[0])).alias("set")]
 
-    def alone(x: str, y: str):
-        counts = [F.bit_count(F.col(f"{c}_{x}").bitwiseAND(F.bitwise_not(F.col(f"{c}_{y}")))) for c in _BITMAP]
-        return sum(counts[1:], counts[0])
 
-    most = F.least(F.col("n_a") - alone("a", "b"), F.col("n_b") - alone("b", "a"))
+def _may_overlap(percent: int):
+    """The suffix filter on bitmaps: shingles in buckets that the other class leaves empty are not shared."""
+    both = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, c: s + c)
+    most = both + F.least(F.col("n_a") - F.col("set_a"), F.col("n_b") - F.col("set_b"))
     return F.lit(100 + percent) * most >= F.lit(percent) * (F.col("n_a") + F.col("n_b"))
 
 
@@ -267,9 +272,9 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
         # all pairs once they are in proportion to the posts, or leaders bring little; else leaders first
         sizes = here.groupBy("gram").agg(F.count(F.lit(1)).cast("double").alias("c")).agg(F.sum("c").alias("rows"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).first()
         last = turn >= LEADER_ROUNDS or not fruitful or (sizes.pairs or 0) <= PAIRS_PER_POST * (sizes.rows or 0)
-        one = lambda x: [F.col("class").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "dead", "root", *(_BITMAP if last else ()))]]
+        one = lambda x: [F.col("class").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "dead", "root", *(("bits", "set") if last else ()))]]
         if last:
-            bits = first.filter("kind = 0").join(here.select(F.col("class").alias("c")).distinct(), "c").groupBy(F.col("c").alias("class")).agg(*[F.first(s).alias(s) for s in _BITMAP])
+            bits = first.filter("kind = 0").join(here.select(F.col("class").alias("c")).distinct(), "c").groupBy(F.col("c").alias("class")).agg(*[F.first(s).alias(s) for s in _BITMAP]).select("class", *_marked())
             marked = store(here.join(bits, "class"), "marked")
             pairs = marked.select("gram", *one("b")).join(marked.select("gram", *one("a")), "gram").filter((F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b")) & _may_link(percent) & _may_overlap(percent))
         else:

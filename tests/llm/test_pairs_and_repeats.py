@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from albumen.llm import ngram_join, substring_dedup
 from pyspark.sql import functions as F
@@ -78,6 +79,28 @@ def test_components_with_leaders_are_the_same(spark, documents, monkeypatch, rou
     assert components(spark, documents, rows) == collections.Counter(linked(rows))
 
 
+def test_bitmaps_bound_overlaps_in_a_test_short_enough_to_compile(spark):
+    rng = random.Random(8)
+    whole = [rng.getrandbits(64) for _ in range(60)]
+    sets = [np.array(sorted(rng.sample(whole, rng.randrange(1, 60)) + [rng.getrandbits(64) for _ in range(rng.randrange(20))]), np.uint64) for _ in range(60)]
+    bits = ngram_join._bitmaps(np.repeat(np.arange(60), [len(g) for g in sets]), np.concatenate(sets), 60)
+    rows = [(i, len(g), *[column[i].as_py() for column in bits]) for i, g in enumerate(sets)]
+    marked = spark.createDataFrame(rows, ["class", "n", *ngram_join._BITMAP]).select("class", "n", *ngram_join._marked())
+    side = lambda x: marked.select(*[F.col(c).alias(f"{c}_{x}") for c in marked.columns])
+    pairs = side("a").crossJoin(side("b")).filter("class_a < class_b")
+    kept = pairs.filter(ngram_join._may_overlap(75))
+    got = {(r.class_a, r.class_b) for r in kept.select("class_a", "class_b").collect()}
+
+    def bound(i, j):
+        a, b = ({int(g) >> 20 & 2047 for g in sets[x]} for x in (i, j))
+        return min(len(sets[i]) - len(a - b), len(sets[j]) - len(b - a))
+
+    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if 175 * bound(i, j) >= 75 * (len(sets[i]) + len(sets[j]))}
+    links = {(i, j) for i in range(60) for j in range(i + 1, 60) if 100 * len(set(sets[i]) & set(sets[j])) >= 75 * len(set(sets[i]) | set(sets[j]))}
+    assert links and links <= got and len(got) < 60 * 59 // 2
+    assert str(ngram_join._may_overlap(75)).lower().count("bit_count") <= 1  # it was 2 * LONGS: a method that the JVM does not compile
+
+
 def test_ids_that_are_null_or_shared_by_texts(spark, documents):
     rng = random.Random(4)
     a, b, c = (sentence(rng, 40) for _ in range(3))
